@@ -204,7 +204,10 @@ def with_views(sql: str, *names: str) -> str:
     if not views:
         return sql.strip()
     ctes = ",\n".join(f"{v} AS (\n{duckdb_text(v)}\n)" for v in views)
-    return f"WITH {ctes}\n{sql.strip()}"
+    body = sql.strip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
 
 
 class Fixtures:
