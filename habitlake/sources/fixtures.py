@@ -153,10 +153,25 @@ SELECT event_id AS id, CASE WHEN event_id % 19 = 0 THEN '{{"activity_name": 5' E
  '","activity_points":', CAST(event_id % 21 - 10 AS STRING), ',"activity_duration":', CAST(CAST(floor(value) AS INT) AS STRING),
  ',"activity_description":"d","one_time":"', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, '"}}') END AS value
 FROM {events}""",
+    # goal requests: every click sets a goal; some dates carry an offset, some are junk
+    "goal_requests": """
+SELECT event_id AS id, user_id,
+ CASE WHEN event_id % 13 = 0 THEN concat('day ', CAST(event_id AS STRING))
+  WHEN event_id % 5 = 0 THEN concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '+02:00')
+  ELSE date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") END AS goal_date,
+ CAST(floor(value) AS INT) % 50 AS goal_points, ts AS requested_at
+FROM {events} WHERE event_type = 'click'""",
 }
 
 # Views whose DuckDB text cannot come from the rewrite rules (array literals).
 DUCKDB_OVERRIDES = {
+    "goal_requests": """
+SELECT event_id AS id, user_id,
+ CASE WHEN event_id % 13 = 0 THEN concat('day ', CAST(event_id AS VARCHAR))
+  WHEN event_id % 5 = 0 THEN concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '+02:00')
+  ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS goal_date,
+ CAST(floor(value) AS INT) % 50 AS goal_points, ts AS requested_at
+FROM {events} WHERE event_type = 'click'""",
     "team_activities": """
 SELECT p_partkey AS id, p_partkey % 25 AS team_id, p_name AS activity_name, p_size - 25 AS points,
  DATE '2024-01-01' + CAST(p_partkey % 400 AS INT) AS created_at,
