@@ -50,12 +50,12 @@ def cascade_delete_users(tables: dict[str, DataFrame], user_ids: DataFrame) -> d
     blocked = req.join(reduce(DataFrame.unionByName, blockers).distinct(), "uid", "left_semi") if blockers \
         else req.limit(0)
     doomed = req.join(blocked, "uid", "left_anti")
-    out = {"blocked": blocked.withColumnRenamed("uid", "id")}
+    out = dict(tables)
+    out["blocked"] = blocked.withColumnRenamed("uid", "id")
     out["users"] = tables["users"].join(doomed.withColumnRenamed("uid", "id"), "id", "left_anti")
     for t, c in USER_CASCADES:
         if t in tables:
-            cur = out.get(t, tables[t])
-            out[t] = cur.join(doomed.withColumnRenamed("uid", c), c, "left_anti").select(*tables[t].columns)
+            out[t] = out[t].join(doomed.withColumnRenamed("uid", c), c, "left_anti").select(*tables[t].columns)
     if "team_user_roles" in tables and "team_memberships" in tables:
         gone_m = tables["team_memberships"].join(doomed.withColumnRenamed("uid", "user_id"), "user_id", "left_semi")
         out["team_user_roles"] = tables["team_user_roles"].join(
