@@ -148,10 +148,14 @@ SELECT event_id AS seq, user_id*10 + event_id % 11 AS id, user_id, concat('v', C
  CAST(floor(value) AS INT) AS points,
  CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'I' ELSE 'U' END AS op
 FROM {events}""",
+    # JSON log requests; every 19th is cut off, every 3rd names an activity id
+    # (every 9th a malformed one)
     "requests_json": """
 SELECT event_id AS id, CASE WHEN event_id % 19 = 0 THEN '{{"activity_name": 5' ELSE concat('{{"activity_name":"', event_type,
  '","activity_points":', CAST(event_id % 21 - 10 AS STRING), ',"activity_duration":', CAST(CAST(floor(value) AS INT) AS STRING),
- ',"activity_description":"d","one_time":"', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, '"}}') END AS value
+ ',"activity_description":"d","one_time":"', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, '"',
+ CASE WHEN event_id % 3 = 0 THEN concat(',"activity_id":"', CASE WHEN event_id % 9 = 0 THEN 'x' ELSE '' END,
+  CAST(user_id * 10 + event_id % 10 AS STRING), '"') ELSE '' END, '}}') END AS value
 FROM {events}""",
     # goal requests: every click sets a goal; some dates carry an offset, some are junk
     "goal_requests": """
@@ -220,6 +224,8 @@ def with_views(sql: str, *names: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{v} AS (\n{duckdb_text(v)}\n)" for v in views)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
