@@ -50,9 +50,12 @@ _INT = _flips("r.after > g.goal_points AND r.after - r.points <= g.goal_points",
 _V = ("user_activity_logs", "user_goals")
 
 
-@register("goal_transitions", f"""
+_G2_SQL = f"""
 WITH {_DG}, {_RUN}, {_REF}
-SELECT user_id, date, id, logged_at, transition FROM flips WHERE transition IS NOT NULL""", _V)
+SELECT user_id, date, id, logged_at, transition FROM flips WHERE transition IS NOT NULL"""
+
+
+@register("goal_transitions", _G2_SQL, _V)
 def _g2(fx):
     return G.goal_transitions(fx.user_activity_logs, fx.user_goals, "reference")
 

@@ -6,6 +6,7 @@ deployment; only values that are unset get a local default here, as in tests.
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,6 +24,7 @@ REQUIRED_CONF = {
 def get_session(master: str = "local[8]", app: str = "habitlake",
                 shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench (UI off, no server)."""
+    os.environ.setdefault("PYTHONWARNINGS", "ignore::FutureWarning")  # pandas noise in Python workers
     spark = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.ui.enabled", "false")
