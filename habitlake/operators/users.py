@@ -73,3 +73,53 @@ def account_kind(users: DataFrame) -> DataFrame:
     has_pw = F.col("google_id").isNull()
     return users.select("id", "username", "email", has_pw.alias("has_password"),
                         F.when(has_pw, F.lit(None).cast("string")).otherwise(F.col("google_id")).alias("google_id"))
+
+
+EMAIL_TAKEN = "Email already exists"        # fixed values: the reference's
+USERNAME_TAKEN = "Username already exists"  # registration error messages
+
+
+def admit_registrations(users: DataFrame, requests: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Decide sign-up requests in request-id order: reject when the
+    email (tested first) or the username is held by an existing user or by
+    an earlier *accepted* request; a rejected request claims nothing.
+
+    Sequential in the reference; here rounds of a parallel fixpoint: a
+    request that is the earliest undecided one in both its email group and
+    its username group is accepted (its sequential outcome cannot change),
+    and undecided requests sharing a key with one accepted in the round
+    are rejected. Each round decides at least the earliest undecided
+    request, and usually far more. Lineage is cut each round with a
+    reliable checkpoint in the shared checkpoint folder."""
+    spark = requests.sparkSession
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    taken_e = users.select(F.col("email").alias("_e")).distinct().withColumn("_te", F.lit(True))
+    taken_u = users.select(F.col("username").alias("_u")).distinct().withColumn("_tu", F.lit(True))
+    r = requests.select("id", "email", "username")
+    st = (r.join(taken_e, r.email == taken_e._e, "left").join(taken_u, r.username == taken_u._u, "left")
+          .select("id", "email", "username",
+                  F.when(F.col("_te"), F.lit(EMAIL_TAKEN)).when(F.col("_tu"), F.lit(USERNAME_TAKEN))
+                  .alias("outcome")))
+    st = st.checkpoint()
+    for _ in range(max_rounds):
+        und = st.where(F.col("outcome").isNull())
+        if und.isEmpty():
+            break
+        me = und.groupBy("email").agg(F.min("id").alias("_me"))
+        mu = und.groupBy("username").agg(F.min("id").alias("_mu"))
+        acc = (und.join(me, "email").join(mu, "username")
+               .where((F.col("id") == F.col("_me")) & (F.col("id") == F.col("_mu"))))
+        acc_id = acc.select("id", F.lit(True).alias("_a"))
+        acc_e = acc.select(F.col("email").alias("_ae")).distinct().withColumn("_he", F.lit(True))
+        acc_u = acc.select(F.col("username").alias("_au")).distinct().withColumn("_hu", F.lit(True))
+        j = (st.join(acc_id, "id", "left").join(acc_e, st.email == acc_e._ae, "left")
+             .join(acc_u, st.username == acc_u._au, "left"))
+        new = (F.when(F.col("outcome").isNotNull(), F.col("outcome"))
+               .when(F.col("_a"), F.lit("accepted"))
+               .when(F.col("_he"), F.lit(EMAIL_TAKEN))
+               .when(F.col("_hu"), F.lit(USERNAME_TAKEN)))
+        st = j.select("id", "email", "username", new.alias("outcome")).checkpoint()
+    else:
+        raise RuntimeError("admission did not converge")
+    return st.select("id", "outcome")

@@ -368,3 +368,25 @@ SELECT s.id, s.title, s.description, u.username, 0 AS upvote FROM suggestions s
           ("suggestions", "users"))
 def _b3(fx):
     return B.add_suggestions(fx.suggestions.select("id", "title", "description", "user_id"), fx.users)
+
+
+@register("admit_registrations", """
+WITH RECURSIVE o AS (
+ SELECT row_number() OVER (ORDER BY r.id) AS rn, r.id, r.email, r.username,
+  CASE WHEN r.email IN (SELECT email FROM users) THEN 'Email already exists'
+       WHEN r.username IN (SELECT username FROM users) THEN 'Username already exists' END AS pre
+ FROM registrations r),
+s AS (
+ SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS outcome,
+  CAST([] AS VARCHAR[]) AS emails, CAST([] AS VARCHAR[]) AS names
+ UNION ALL
+ SELECT o.rn, o.id, x.outcome,
+  CASE WHEN x.outcome = 'accepted' THEN list_append(s.emails, o.email) ELSE s.emails END,
+  CASE WHEN x.outcome = 'accepted' THEN list_append(s.names, o.username) ELSE s.names END
+ FROM s JOIN o ON o.rn = s.rn + 1,
+ LATERAL (SELECT CASE WHEN o.pre IS NOT NULL THEN o.pre
+   WHEN list_contains(s.emails, o.email) THEN 'Email already exists'
+   WHEN list_contains(s.names, o.username) THEN 'Username already exists' ELSE 'accepted' END AS outcome) x)
+SELECT id, outcome FROM s WHERE rn > 0""", ("registrations", "users"))
+def _u3(fx):
+    return U.admit_registrations(fx.users, fx.registrations)
