@@ -63,3 +63,4 @@ def null_split_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFra
     extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key]
     unmatched = left.where(F.col(key).isNull()).select("*", *extra)
     return matched.unionByName(unmatched)
+

@@ -19,8 +19,9 @@ from ..sources.fixtures import DEFAULT_CATALOG
 # Fixed value: the reference's extraction pattern, with Go's ASCII classes
 # spelled out (\w = [0-9A-Za-z_], \s = [\t\n\f\r ]) so the JVM engine
 # matches exactly what RE2 matches.
-_W, _S = r"[0-9A-Za-z_]", r"[\t\n\f\r ]"
-EXTRACT_PATTERN = rf"Activity[0-9]*:{_S}*((?:{_W}|{_S})+),{_S}*Duration[0-9]*:{_S}*([0-9]+)"
+_S = r"[\t\n\f\r ]"
+_WS = r"[0-9A-Za-z_\t\n\f\r ]"  # \w or \s, one class (no alternation to backtrack through)
+EXTRACT_PATTERN = rf"Activity[0-9]*:{_S}*({_WS}+),{_S}*Duration[0-9]*:{_S}*([0-9]+)"
 
 
 # ---------------------------------------------------------------- I1 ----
@@ -42,7 +43,8 @@ def extract_activities(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     inside the row (arrays + higher-order functions): no shuffle."""
     names = F.regexp_extract_all("text", F.lit(EXTRACT_PATTERN), 1)
     durs = F.regexp_extract_all("text", F.lit(EXTRACT_PATTERN), 2)
-    t = texts.select("id", "user_id", names.alias("_n"), durs.alias("_d"))
+    extra = [c for c in texts.columns if c not in ("id", "user_id", "text")]  # carried along
+    t = texts.select("id", "user_id", *extra, names.alias("_n"), durs.alias("_d"))
     pairs = F.transform("_n", lambda n, i: F.struct(
         n.alias("activity"), F.element_at("_d", i + 1).alias("raw"), i.alias("pos")))
     t = t.withColumn("_p", pairs)
@@ -52,9 +54,9 @@ def extract_activities(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = t.withColumn("_reason", reason)
     keep = F.filter("_p", lambda p: ~F.exists("_p", lambda q: (q["activity"] == p["activity"]) & (q["pos"] > p["pos"])))
     good = (t.where(F.col("_reason").isNull())
-            .select("id", "user_id", F.size(keep).alias("n_activities"), F.inline(keep))
+            .select("id", "user_id", *extra, F.size(keep).alias("n_activities"), F.inline(keep))
             .select("id", "user_id", "activity", F.col("raw").try_cast("bigint").alias("duration"), "pos",
-                    "n_activities"))
+                    "n_activities", *extra))
     rejects = t.where(F.col("_reason").isNotNull()).select("id", "user_id", F.col("_reason").alias("reason"))
     return good, rejects
 
@@ -69,24 +71,28 @@ def match_activities(extracted: DataFrame, acts: DataFrame, synonyms: DataFrame,
     after lower/trim, equal through the synonym table, or within
     ``max_edits`` edits. Replaces the reference's per-pair model call.
 
-    Synonyms are a fixed small table (broadcast); the catalog join is an
-    equi-join on user_id with an OR residual — never all pairs of users."""
-    e = extracted.select("id", "user_id", "activity", _norm("activity").alias("_key"))
-    syn = F.broadcast(synonyms.select(_norm("term").alias("_key"), _norm("canonical").alias("_canon")))
-    ek = e.join(syn, "_key", "left")  # one row per canonical name (or one with NULL)
-    cat = acts.select("user_id", F.col("id").alias("activity_id"), "name", "points", "activity_type",
-                      _norm("name").alias("_cname"))
-    cond = ((F.col("_cname") == F.col("_key")) | (F.col("_cname") == F.col("_canon"))
-            | (F.levenshtein("_cname", "_key", max_edits) >= 0 if max_edits > 0 else F.lit(False)))
-    m = ek.join(cat, "user_id").where(cond)
-    hits = (m.groupBy("id", "activity")
-            .agg(F.array_sort(F.collect_set(F.struct("activity_id", "name", "points", "activity_type")))
-                 .alias("matched")))
-    return (extracted.join(hits, ["id", "activity"], "left")
-            .select(*extracted.columns,
-                    F.coalesce("matched", F.array().cast(
-                        "array<struct<activity_id:bigint,name:string,points:int,activity_type:string>>"))
-                    .alias("matched"))
+    Each user's catalog becomes one array row (a catalog is what the
+    reference itself loads per request), joined to the pairs on user_id —
+    one row per pair, no pair × catalog fan-out — and the match test runs
+    as a higher-order ``filter`` inside the row. Synonyms, a fixed small
+    table grouped per term, are broadcast."""
+    syn = F.broadcast(synonyms.groupBy(_norm("term").alias("_key"))
+                      .agg(F.collect_set(_norm("canonical")).alias("_canons")))
+    cat = (acts.groupBy("user_id").agg(F.collect_list(F.struct(
+        F.col("id").alias("activity_id"), "name", "points", "activity_type", _norm("name").alias("_cname")))
+        .alias("_cat")))
+    ek = extracted.withColumn("_key", _norm("activity")).join(syn, "_key", "left").join(cat, "user_id", "left")
+
+    def hit(c):
+        k = F.col("_key")
+        t = (c["_cname"] == k) | F.coalesce(F.array_contains("_canons", c["_cname"]), F.lit(False))
+        return t | (F.levenshtein(c["_cname"], k, max_edits) >= 0) if max_edits > 0 else t
+
+    found = F.filter(F.coalesce("_cat", F.array().cast(cat.schema["_cat"].dataType)), hit)
+    matched = F.array_sort(F.transform(found, lambda c: F.struct(
+        c["activity_id"].alias("activity_id"), c["name"].alias("name"), c["points"].alias("points"),
+        c["activity_type"].alias("activity_type"))))
+    return (ek.select(*extracted.columns, matched.alias("matched"))
             .withColumn("n_matched", F.size("matched")))
 
 
@@ -98,16 +104,18 @@ def classify_matches(matched: DataFrame) -> DataFrame:
     outcome = F.when(n == 1, F.lit("log")).when(n > 1, F.lit("ambiguous")).otherwise(F.lit("unknown"))
     name = (F.when(n == 0, F.col("activity"))
             .when((n > 1) & (F.col("n_activities") > 1), F.col("activity")))
+    extra = [c for c in matched.columns if c not in ("id", "user_id", "activity", "duration", "n_matched",
+                                                     "matched", "pos", "n_activities")]
     return matched.select("id", "user_id", "activity", outcome.alias("outcome"), "duration", name.alias("name"),
-                          "n_matched", "matched", "pos", "n_activities")
+                          "n_matched", "matched", "pos", "n_activities", *extra)
 
 
 # ---------------------------------------------------------------- I5 ----
-def daily_cap_admission(logs: DataFrame, cap: int = DAILY_MINUTES_CAP) -> DataFrame:
+def daily_cap_admission(logs: DataFrame, cap: int = DAILY_MINUTES_CAP, keep: tuple[str, ...] = ()) -> DataFrame:
     """In (logged_at, id) order per user-day accept a log iff accepted
     minutes + duration ≤ cap; a rejected log adds nothing. Rows with
     ``forced`` true (already stored logs) always count and are always
-    accepted.
+    accepted. Columns in ``keep`` ride along with each row.
 
     Not a window sum: the state depends on earlier decisions. One shuffle
     on (user, day), then a sorted array folded by the higher-order
@@ -116,19 +124,25 @@ def daily_cap_admission(logs: DataFrame, cap: int = DAILY_MINUTES_CAP) -> DataFr
     forced = F.col("forced") if "forced" in logs.columns else F.lit(False)
     rows = logs.select("id", "user_id", F.to_date("logged_at").alias("day"),
                        F.struct("logged_at", "id", F.col("duration").cast("bigint").alias("d"),
-                                forced.alias("f")).alias("r"))
+                                forced.alias("f"), *keep).alias("r"))
     grp = rows.groupBy("user_id", "day").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    out_t = "array<struct<id:bigint,accepted:boolean,minutes_after:bigint>>"
-    init = F.struct(F.lit(0).cast("bigint").alias("acc"), F.array().cast(out_t).alias("out"))
+    # the fold keeps one decision per row, in row order; rows rejoin their
+    # payload by position afterwards
+    init = F.struct(F.lit(0).cast("bigint").alias("acc"), F.array().cast("array<bigint>").alias("after"))
 
     def step(s, x):
         ok = x["f"] | (s["acc"] + x["d"] <= cap)
         acc = F.when(ok, s["acc"] + x["d"]).otherwise(s["acc"])
-        rec = F.struct(x["id"].alias("id"), ok.alias("accepted"), acc.alias("minutes_after"))
-        return F.struct(acc.alias("acc"), F.concat(s["out"], F.array(rec)).alias("out"))
-
-    folded = grp.select("user_id", "day", F.aggregate("rs", init, step)["out"].alias("out"))
-    return folded.select("user_id", "day", F.inline("out"))
+        mark = F.when(ok, acc).otherwise(-acc - 1)  # sign carries the decision
+        return F.struct(acc.alias("acc"), F.concat(s["after"], F.array(mark)).alias("after"))
+
+    folded = grp.select("user_id", "day", "rs", F.aggregate("rs", init, step)["after"].alias("after"))
+    z = F.arrays_zip(F.col("rs").alias("r"), F.col("after").alias("a"))
+    out = folded.select("user_id", "day", F.explode(z).alias("z"))
+    return out.select("user_id", "day", F.col("z.r.id").alias("id"), (F.col("z.a") >= 0).alias("accepted"),
+                      F.when(F.col("z.a") >= 0, F.col("z.a")).otherwise(-F.col("z.a") - 1).alias("minutes_after"),
+                      F.col("z.r.logged_at").alias("logged_at"), F.col("z.r.f").alias("forced"),
+                      *[F.col(f"z.r.{k}").alias(k) for k in keep])
 
 
 # ---------------------------------------------------------------- I6 ----

@@ -28,12 +28,15 @@ def owner_flags(tur: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def user_teams(memberships: DataFrame, teams: DataFrame, tur: DataFrame, roles: DataFrame) -> DataFrame:
-    """Each user's teams with owner flag 0/1."""
+    """Each user's teams with owner flag 0/1.
+
+    The owner flag is reduced per membership before the join, so there is
+    no role fan-out to group away afterwards: (team_id, user_id) is a
+    unique key of memberships (checked by the integrity audit, M4)."""
     m = memberships.select(F.col("id").alias("team_membership_id"), "team_id", "user_id")
     j = (m.join(teams.select(F.col("id").alias("team_id"), "name"), "team_id")
          .join(owner_flags(tur, roles), "team_membership_id", "left"))
-    return j.groupBy("user_id", "team_id", "name").agg(
-        F.max(F.coalesce("is_owner", F.lit(0))).cast("int").alias("is_owner"))
+    return j.select("user_id", "team_id", "name", F.coalesce("is_owner", F.lit(0)).cast("int").alias("is_owner"))
 
 
 def team_info(ids: DataFrame, teams: DataFrame) -> DataFrame:
@@ -69,22 +72,24 @@ def visible_team_activities(pairs: DataFrame, memberships: DataFrame, tur: DataF
     whose ``activity_roles`` share a role with the member; an empty role
     array means owners only, a member without roles sees none.
 
-    Equi-joins only: owners join on team_id; other members join the
-    exploded activity roles on (team_id, role_name). Duplicates from
-    several shared roles are removed on the (pair, activity) key."""
+    Members of a team who hold the same set of roles see the same
+    activities, so visibility is decided once per (team, role set) — a few
+    sets per team — against the team's activities, and members are then
+    equi-joined on (team_id, role set). No members × activities product
+    is formed beyond the rows the answer itself contains, and no
+    output-sized de-duplication shuffle is needed."""
     m = memberships.select(F.col("id").alias("team_membership_id"), "team_id", "user_id")
-    pr = (pairs.select("user_id", "team_id").distinct().join(m, ["user_id", "team_id"])
-          .join(membership_roles(tur, roles), "team_membership_id")
-          .select("user_id", "team_id", "role_name").distinct())
+    member_sets = (pairs.select("user_id", "team_id").distinct().join(m, ["user_id", "team_id"])
+                   .join(membership_roles(tur, roles), "team_membership_id")
+                   .groupBy("user_id", "team_id", "team_membership_id")
+                   .agg(F.array_sort(F.collect_set("role_name")).alias("role_set")))
+    sets = member_sets.select("team_id", "role_set").distinct()
     a = acts.select(F.col("id").alias("activity_id"), "team_id", "activity_name", "points", "created_at",
                     "activity_roles")
-    owners = pr.where(F.col("role_name") == OWNER).select("user_id", "team_id")
-    by_owner = owners.join(a.select("activity_id", "team_id"), "team_id")
-    others = pr.where(F.col("role_name") != OWNER).join(owners, ["user_id", "team_id"], "left_anti")
-    act_roles = a.select("activity_id", "team_id", F.explode("activity_roles").alias("role_name"))
-    by_role = others.join(act_roles, ["team_id", "role_name"]).select("user_id", "team_id", "activity_id")
-    vis = by_owner.unionByName(by_role).dropDuplicates(["user_id", "team_id", "activity_id"])
-    return vis.join(a.drop("team_id"), "activity_id").select(
+    visible = (sets.join(a, "team_id")
+               .where(F.array_contains("role_set", OWNER)
+                      | F.coalesce(F.arrays_overlap("role_set", "activity_roles"), F.lit(False))))
+    return member_sets.join(visible, ["team_id", "role_set"]).select(
         "user_id", "team_id", F.col("activity_id").alias("id"), "activity_name", "points", "created_at",
         F.col("created_at").alias("updated_at"))
 

@@ -90,7 +90,7 @@ r AS (SELECT id, user_id, day, rn, d <= 1440 AS accepted, CASE WHEN d <= 1440 TH
   FROM r JOIN o ON o.user_id = r.user_id AND o.day = r.day AND o.rn = r.rn + 1)
 SELECT user_id, day, id, accepted, acc AS minutes_after FROM r""", ("user_activity_logs",))
 def _i5(fx):
-    return I.daily_cap_admission(fx.user_activity_logs)
+    return I.daily_cap_admission(fx.user_activity_logs).select("user_id", "day", "id", "accepted", "minutes_after")
 
 
 _REQ = """req AS (SELECT r.id, e.user_id, e.ts AS logged_at, r.value, json_valid(r.value) AS ok,

@@ -12,31 +12,40 @@ from ..operators import ingest as I
 from ..sources.sinks import to_log_responses
 
 
+# new log ids: a reserved range above every stored id, derived from (text id,
+# position) so a replayed batch writes the same rows
+NEW_LOG_ID_BASE = 3_000_000_000_000
+
+
 def text_log_pipeline(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms: DataFrame,
                       cap: int = DAILY_MINUTES_CAP, max_edits: int = 1) -> dict[str, DataFrame]:
     """``texts``: id, user_id, text, logged_at. Returns the accepted new
     logs, the cap-rejected candidates, per-text responses and the texts
     rejected by extraction."""
-    pairs, rejects = I.extract_activities(texts.select("id", "user_id", "text"))
+    pairs, rejects = I.extract_activities(
+        texts.select("id", "user_id", "text", "logged_at", F.col("text").alias("description")))
     cls = I.classify_matches(I.match_activities(pairs, acts, synonyms, max_edits))
-    t = texts.select("id", "logged_at", F.col("text").alias("activity_description"))
-    cand = (cls.where(F.col("outcome") == "log").join(t, "id")
-            .select((F.col("id") * 100 + F.col("pos")).alias("id"), "user_id",
+    cand = (cls.where(F.col("outcome") == "log")
+            .select((F.lit(NEW_LOG_ID_BASE) + F.col("id") * 100 + F.col("pos")).alias("id"), "user_id",
                     F.col("matched")[0]["activity_id"].alias("activity_id"),
                     F.col("duration").cast("int").alias("duration"),
                     score_points(F.col("duration"), F.col("matched")[0]["points"]).alias("points"),
-                    "activity_description", "logged_at"))
+                    F.col("description").alias("activity_description"), "logged_at"))
     # only user-days that receive a candidate need their stored minutes
     days = cand.select("user_id", F.to_date("logged_at").alias("_day")).distinct()
     stored = (logs.withColumn("_day", F.to_date("logged_at")).join(days, ["user_id", "_day"], "left_semi")
-              .select("id", "user_id", "logged_at", "duration", F.lit(True).alias("forced")))
+              .select("id", "user_id", "logged_at", "duration", F.lit(True).alias("forced"),
+                      F.lit(None).cast("bigint").alias("activity_id"), F.lit(None).cast("int").alias("points"),
+                      F.lit(None).cast("string").alias("activity_description")))
+    keep = ("activity_id", "points", "activity_description")
     adm = I.daily_cap_admission(
-        cand.select("id", "user_id", "logged_at", "duration", F.lit(False).alias("forced")).unionByName(stored), cap)
-    dec = adm.select("id", "accepted", "minutes_after")
-    decided = cand.join(dec, "id")
+        cand.select("id", "user_id", "logged_at", "duration", F.lit(False).alias("forced"), *keep)
+        .unionByName(stored), cap, keep=keep + ("duration",))
+    decided = adm.where(~F.col("forced")).select("id", "user_id", "activity_id", "duration", "points",
+                                             "activity_description", F.col("logged_at"), "accepted", "minutes_after")
     return {
         "accepted": decided.where("accepted").drop("accepted", "minutes_after"),
         "over_cap": decided.where(~F.col("accepted")).drop("accepted"),
-        "responses": to_log_responses(cls, texts.select("id", "text")),
+        "responses": to_log_responses(cls),
         "rejects": rejects,
     }

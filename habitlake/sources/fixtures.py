@@ -12,6 +12,7 @@ memberships without a role); no view drops rows to make a check cheaper.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cached_property
 
@@ -238,13 +239,16 @@ class Fixtures:
     nothing is materialised until an operator's plan runs.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, app_dir: str | None = None):
+        self.spark, self.sf_dir, self.app_dir = spark, sf_dir, app_dir
         self._cache: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            if name in BASE_SCHEMAS:
+            stored = os.path.join(self.app_dir, f"{name}.parquet") if self.app_dir else None
+            if stored and os.path.exists(stored):
+                df = self.spark.read.parquet(stored)
+            elif name in BASE_SCHEMAS:
                 df = read_table(self.spark, self.sf_dir, name)
             else:
                 df = self.spark.sql(VIEWS[name].strip(), **{d: self[d] for d in deps(name)})
@@ -259,3 +263,12 @@ class Fixtures:
     @cached_property
     def names(self) -> list[str]:
         return list(VIEWS)
+
+    def materialize(self, app_dir: str, names=None) -> "Fixtures":
+        """Write the application tables once (as a deployment stores them:
+        at least one file per core, so scans split) and return fixtures
+        that read them back instead of re-deriving."""
+        cores = self.spark.sparkContext.defaultParallelism
+        for n in names or list(VIEWS):
+            self[n].repartition(cores).write.mode("overwrite").parquet(os.path.join(app_dir, f"{n}.parquet"))
+        return Fixtures(self.spark, self.sf_dir, app_dir)

@@ -34,12 +34,15 @@ def _activity_json(m):
                     m["points"].alias("points"), m["activity_type"].alias("type"))
 
 
-def to_log_responses(classified: DataFrame, texts: DataFrame) -> DataFrame:
+def to_log_responses(classified: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Per text, the response of the text-logging endpoint: the
     single-activity form, or ``{"activity_logs": [...]}`` when the text
     named several activities. Zero-valued ``omitzero`` fields are left
     out; ``matched_activities`` is always present (null when empty)."""
-    c = classified.join(texts.select("id", F.col("text").alias("description")), "id")
+    if "description" in classified.columns:
+        c = classified
+    else:
+        c = classified.join(texts.select("id", F.col("text").alias("description")), "id")
     matched = F.when(F.size("matched") > 0, F.to_json(F.transform("matched", _activity_json))).otherwise(F.lit("null"))
     rest = F.to_json(F.struct(
         F.when(F.col("outcome") != "log", F.nullif(F.col("duration"), F.lit(0))).alias("duration"),
