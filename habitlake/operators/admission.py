@@ -1,0 +1,105 @@
+"""I5 for very large user-days: the daily minutes cap as a parallel prefix.
+
+Admission is sequential — whether a log fits depends on the logs accepted
+before it — but its state is one number in ``0..cap`` (plus "over the cap",
+reachable only through already-stored logs). So a run of logs is fully
+described by a *transfer function* over those ``cap + 2`` states. A hot
+user-day is range-partitioned by (user, day, logged_at, id) so Spark cuts it
+into row-bounded slices; each task computes its slice's function with numpy,
+the few functions of a user-day are composed in order to give each slice's
+start state, and each slice is replayed from its start. No task ever holds
+more than one slice.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.windows import running_sum
+
+ROWS_PER_SLICE = 500_000  # target rows per task on the hot path
+_KEY = ["user_id", "day", "logged_at", "id"]
+
+
+def _functions(cap: int):
+    over = cap + 1
+
+    def slice_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, key, vec = [], None, None
+        for pdf in batches:
+            for u, dy, pid, d, f in zip(pdf["user_id"], pdf["day"], pdf["_pid"], pdf["d"], pdf["f"]):
+                k = (u, dy, pid)
+                if k != key:
+                    if key is not None:
+                        out.append((*key, vec.tolist()))
+                    key, vec = k, np.arange(cap + 2, dtype=np.int64)
+                if f:
+                    vec = np.minimum(vec + d, over)
+                else:
+                    vec = np.where(vec + d <= cap, vec + d, vec)
+        if key is not None:
+            out.append((*key, vec.tolist()))
+        yield pd.DataFrame(out, columns=["user_id", "day", "_pid", "fn"])
+    return slice_functions
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("_pid")
+    s, starts = 0, []
+    for fn in pdf["fn"]:
+        starts.append(s)
+        s = int(fn[s])
+    return pd.DataFrame({"user_id": pdf["user_id"].values, "day": pdf["day"].values,
+                         "_pid": pdf["_pid"].values, "_start": starts})
+
+
+def _replay(cap: int):
+    over = cap + 1
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, acc = None, 0
+        for pdf in batches:
+            ok = np.empty(len(pdf), dtype=bool)
+            for i, (u, dy, pid, st, d, f) in enumerate(zip(pdf["user_id"], pdf["day"], pdf["_pid"], pdf["_start"],
+                                                            pdf["d"], pdf["f"])):
+                k = (u, dy, pid)
+                if k != key:
+                    key, acc = k, int(st)
+                if f:
+                    acc, ok[i] = min(acc + d, over), True
+                elif acc + d <= cap:
+                    acc, ok[i] = acc + d, True
+                else:
+                    ok[i] = False
+            yield pdf.drop(columns=["_start", "_pid"]).assign(accepted=ok)
+    return replay
+
+
+def admit_hot(rows: DataFrame, cap: int, n_rows: int) -> DataFrame:
+    """``rows``: id, user_id, day, logged_at, d (bigint), f (forced), extras —
+    all from hot user-days. Returns the same rows with ``accepted`` and
+    ``minutes_after``."""
+    n_slices = max(2, math.ceil(n_rows / ROWS_PER_SLICE))
+    r = (rows.repartitionByRange(n_slices, *_KEY).sortWithinPartitions(*_KEY)
+         .withColumn("_pid", F.spark_partition_id()))
+    r = r.checkpoint()  # both passes read the same slices; lineage cut in the shared checkpoint folder
+    fns = r.select("user_id", "day", "_pid", "d", "f").mapInPandas(
+        _functions(cap), "user_id long, day date, _pid int, fn array<bigint>")
+    starts = fns.groupBy("user_id", "day").applyInPandas(
+        _compose, "user_id long, day date, _pid int, _start bigint")
+    # one row per slice of a hot user-day: at most n_slices + hot user-days rows
+    j = r.join(F.broadcast(starts), ["user_id", "day", "_pid"]).sortWithinPartitions(*_KEY)
+    out_schema = T.StructType([f for f in j.schema.fields if f.name not in ("_start", "_pid")]
+                              + [T.StructField("accepted", T.BooleanType())])
+    decided = j.mapInPandas(_replay(cap), out_schema)
+    counted = decided.withColumn("_add", F.when(F.col("accepted"), F.col("d")).otherwise(F.lit(0)))
+    out = running_sum(counted, ["user_id", "day"], ["logged_at", "id"], "_add", "minutes_after",
+                      chunk=F.date_trunc("minute", F.col("logged_at"))).drop("_add")
+    return out.withColumnRenamed("f", "forced")

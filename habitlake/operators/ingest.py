@@ -111,20 +111,40 @@ def classify_matches(matched: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- I5 ----
-def daily_cap_admission(logs: DataFrame, cap: int = DAILY_MINUTES_CAP, keep: tuple[str, ...] = ()) -> DataFrame:
+HOT_USER_DAY_ROWS = 100_000  # user-days above this many logs take the sliced path
+
+
+def daily_cap_admission(logs: DataFrame, cap: int = DAILY_MINUTES_CAP, keep: tuple[str, ...] = (),
+                        hot_rows: int | None = HOT_USER_DAY_ROWS) -> DataFrame:
     """In (logged_at, id) order per user-day accept a log iff accepted
     minutes + duration ≤ cap; a rejected log adds nothing. Rows with
     ``forced`` true (already stored logs) always count and are always
     accepted. Columns in ``keep`` ride along with each row.
 
-    Not a window sum: the state depends on earlier decisions. One shuffle
-    on (user, day), then a sorted array folded by the higher-order
-    ``aggregate`` inside the JVM. The fold holds one user-day, which the
-    cap itself keeps small for accepted rows; see README for the limit."""
+    Not a window sum: the state depends on earlier decisions. A user-day
+    of at most ``hot_rows`` logs is one sorted array folded by the
+    higher-order ``aggregate`` inside the JVM (one shuffle on (user, day)).
+    Larger user-days — found with a partial count per user-day — go through
+    :mod:`.admission`, which slices them by row count across tasks."""
     forced = F.col("forced") if "forced" in logs.columns else F.lit(False)
-    rows = logs.select("id", "user_id", F.to_date("logged_at").alias("day"),
-                       F.struct("logged_at", "id", F.col("duration").cast("bigint").alias("d"),
-                                forced.alias("f"), *keep).alias("r"))
+    base = logs.select("id", "user_id", F.to_date("logged_at").alias("day"), "logged_at",
+                       F.col("duration").cast("bigint").alias("d"), forced.alias("f"), *keep)
+    if hot_rows is None:
+        return _fold(base, cap, keep)
+    sizes = base.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > hot_rows)
+    n_hot, hot_total = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()  # two numbers to the driver
+    if not n_hot:
+        return _fold(base, cap, keep)
+    keys = hot.select("user_id", "day")
+    from .admission import admit_hot
+    cold = _fold(base.join(keys, ["user_id", "day"], "left_anti"), cap, keep)
+    warm = admit_hot(base.join(keys, ["user_id", "day"], "left_semi"), cap, int(hot_total))
+    return cold.unionByName(warm.select(*cold.columns))
+
+
+def _fold(base: DataFrame, cap: int, keep: tuple[str, ...]) -> DataFrame:
+    rows = base.select("user_id", "day", F.struct("logged_at", "id", "d", "f", *keep).alias("r"))
     grp = rows.groupBy("user_id", "day").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     # the fold keeps one decision per row, in row order; rows rejoin their
     # payload by position afterwards
@@ -142,7 +162,7 @@ def daily_cap_admission(logs: DataFrame, cap: int = DAILY_MINUTES_CAP, keep: tup
     return out.select("user_id", "day", F.col("z.r.id").alias("id"), (F.col("z.a") >= 0).alias("accepted"),
                       F.when(F.col("z.a") >= 0, F.col("z.a")).otherwise(-F.col("z.a") - 1).alias("minutes_after"),
                       F.col("z.r.logged_at").alias("logged_at"), F.col("z.r.f").alias("forced"),
-                      *[F.col(f"z.r.{k}").alias(k) for k in keep])
+                      F.col("z.r.d").alias("d"), *[F.col(f"z.r.{k}").alias(k) for k in keep])
 
 
 # ---------------------------------------------------------------- I6 ----

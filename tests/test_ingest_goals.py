@@ -142,3 +142,34 @@ def test_requests_quarantine(spark):
     new_acts, logs = I.ingest_structured_logs(g)
     assert rows(logs, "id", "kind", "activity_id", "points") == [(1, "one_time", None, 3), (4, "specific", 12, 1)]
     assert new_acts.count() == 0
+
+
+def test_cap_admission_sliced_path_matches_loop(spark):
+    """Force every user-day onto the sliced (hot) path and check it against
+    the loop; forced rows can push the total over the cap."""
+    from habitlake.operators import admission
+    rnd = random.Random(5)
+    items, forced = [], set()
+    for i in range(600):
+        at = dt.datetime(2024, 1, 1 + rnd.randrange(2), rnd.randrange(24), rnd.randrange(60), rnd.randrange(60))
+        items.append((at, i, rnd.randrange(2), rnd.choice([0, 5, 60, 300, 700, 1500])))
+        if rnd.random() < 0.1:
+            forced.add(i)
+    logs = df(spark, [(i, u, at, dur, i in forced) for at, i, u, dur in items],
+              "id long, user_id long, logged_at timestamp_ntz, duration int, forced boolean")
+    old = admission.ROWS_PER_SLICE
+    admission.ROWS_PER_SLICE = 37  # many slices per user-day
+    try:
+        got = {r.id: (r.accepted, r.minutes_after) for r in I.daily_cap_admission(logs, hot_rows=10).collect()}
+        cold = {r.id: (r.accepted, r.minutes_after) for r in I.daily_cap_admission(logs, hot_rows=None).collect()}
+    finally:
+        admission.ROWS_PER_SLICE = old
+    want, acc = {}, {}
+    for at, i, u, dur in sorted(items, key=lambda x: (x[0], x[1])):
+        k = (u, at.date())
+        a = acc.get(k, 0)
+        ok = i in forced or a + dur <= 1440
+        acc[k] = a + dur if ok else a
+        want[i] = (ok, acc[k])
+    assert got == want
+    assert cold == want
