@@ -159,12 +159,37 @@ def _pipeline(fx):
     return text_log.text_log_pipeline(_texts(fx), fx.user_activities, fx.user_activity_logs, fx.synonyms)
 
 
-@register("text_log_pipeline")
+_I7 = f"""WITH RECURSIVE {_MATCH},
+cand AS (SELECT {text_log.NEW_LOG_ID_BASE} + m.id * 100 + m.pos AS id, m.user_id, h.activity_id,
+   CAST(m.duration AS INTEGER) AS duration,
+   CAST(round(CAST(m.duration AS DOUBLE) * (CAST(a.points AS DOUBLE) / 60.0)) AS INTEGER) AS points,
+   t.text AS activity_description, e.ts AS logged_at
+   FROM m JOIN hits h ON h.id = m.id AND h.activity = m.activity JOIN user_activities a ON a.id = h.activity_id
+   JOIN extracted_texts t ON t.id = m.id JOIN events e ON e.event_id = m.id WHERE m.n_matched = 1),
+cdays AS (SELECT DISTINCT user_id, CAST(logged_at AS DATE) AS day FROM cand),
+allrows AS (SELECT id, user_id, logged_at, CAST(duration AS BIGINT) AS d, false AS forced FROM cand
+   UNION ALL SELECT l.id, l.user_id, l.logged_at, CAST(l.duration AS BIGINT), true FROM user_activity_logs l
+   JOIN cdays c ON c.user_id = l.user_id AND c.day = CAST(l.logged_at AS DATE)),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(logged_at AS DATE) ORDER BY logged_at, id) AS rn,
+   CAST(logged_at AS DATE) AS day FROM allrows),
+r AS (SELECT id, user_id, day, rn, forced OR d <= 1440 AS accepted, CASE WHEN forced OR d <= 1440 THEN d ELSE 0 END AS acc
+   FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.id, o.user_id, o.day, o.rn, o.forced OR r.acc + o.d <= 1440,
+   CASE WHEN o.forced OR r.acc + o.d <= 1440 THEN r.acc + o.d ELSE r.acc END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.day = r.day AND o.rn = r.rn + 1)"""
+_I7_COLS = "c.id, c.user_id, c.activity_id, c.duration, c.points, c.activity_description, c.logged_at"
+_I7_SQL = f"{_I7}\nSELECT {_I7_COLS} FROM cand c JOIN r ON r.id = c.id WHERE r.accepted"
+_I7_VIEWS = _MV + ("user_activity_logs",)
+
+
+@register("text_log_pipeline", _I7_SQL, _I7_VIEWS)
 def _i7(fx):
     return _pipeline(fx)["accepted"]
 
 
-@register("text_log_over_cap")
+@register("text_log_over_cap", f"""{_I7}
+SELECT {_I7_COLS}, r.acc AS minutes_after FROM cand c JOIN r ON r.id = c.id WHERE NOT r.accepted""", _I7_VIEWS)
 def _i7c(fx):
     return _pipeline(fx)["over_cap"]
 
@@ -179,7 +204,9 @@ def _s4r(fx):
     return sinks.to_report_json(R.productivity_report(fx.user_activity_logs, fx.user_goals, fx.users, START, END))
 
 
-@register("append_logs")
+@register("append_logs", f"""{_I7}
+SELECT {_I7_COLS}, CAST(c.logged_at AS DATE) AS log_date FROM cand c JOIN r ON r.id = c.id WHERE r.accepted""",
+          _I7_VIEWS)
 def _s2(fx):
     """Write the accepted text logs to a fresh folder under the shared
     checkpoint location and read them back with partition discovery."""

@@ -18,7 +18,7 @@ def to_report_json(report: DataFrame) -> DataFrame:
     """R5 rows → the API's JSON document (keys as the reference's
     models; totals as strings, as PostgreSQL numerics arrive there)."""
     pp = F.struct(F.col("productivity_points.total_points").cast("string").alias("total_points"),
-                  F.format_number(F.col("productivity_points.average_points_per_day"), 2)
+                  F.format_string("%.2f", F.col("productivity_points.average_points_per_day"))
                   .alias("average_points"))
     best = F.struct(F.col("best_productivity_day.date").alias("date"),
                     F.col("best_productivity_day.total_points").alias("total_points"))
