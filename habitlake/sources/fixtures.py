@@ -5,9 +5,9 @@ the TPC-H-ish tables by key arithmetic only, so Spark and the DuckDB oracle
 build identical rows. A view is written once in Spark SQL, with its inputs
 as ``{placeholders}``; :func:`duckdb_text` renders the same view for DuckDB.
 
-Modulo arithmetic in these views *derives values* (which activity, which
-text shape, which role) or *shapes the data* (days without a goal,
-memberships without a role); no view drops rows to make a check cheaper.
+Modulo arithmetic in these views only *derives values* (which activity,
+which text shape, which team); rows are selected by attributes of the data
+(event type, order status, market segment), never by id arithmetic.
 """
 
 from __future__ import annotations
@@ -70,14 +70,13 @@ SELECT e.event_id AS id, e.user_id,
  CAST(round(CAST(floor(e.value*4) AS DOUBLE) * (CAST(coalesce(r.points, CAST(e.event_id % 7 AS INT) - 3) AS DOUBLE) / 60e0)) AS INT) AS points,
  e.event_type AS activity_description, e.ts AS logged_at
 FROM {events} e LEFT JOIN {activity_rates} r ON r.k = e.event_id % 11""",
-    # one goal on 2 of 3 logged days; users with id % 10 = 0 set two goals a day
+    # users set a goal on the days they click; users with id % 10 = 0 set two
     "user_goals": """
 SELECT d.user_id*100 + day(d.dt) + d.n*1000000 AS id, d.user_id, d.dt AS goal_date,
  CAST((d.user_id % 5)*5 AS INT) AS goal_points, CAST(d.dt AS TIMESTAMP_NTZ) + INTERVAL 6 HOURS AS created_at,
  CASE WHEN (d.user_id + day(d.dt) + d.n) % 2 = 0 THEN 'completed' ELSE 'not completed' END AS status
 FROM (SELECT user_id, dt, explode(sequence(0, CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END)) AS n
-      FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS dt FROM {events})) d
-WHERE (d.user_id + day(d.dt)) % 3 <> 0""",
+      FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS dt FROM {events} WHERE event_type = 'click')) d""",
     "teams": """
 SELECT n_nationkey AS id, n_name AS name, r_name AS team_industry, 5 + n_nationkey % 4 AS team_size,
  n_nationkey % 2 = 0 AS is_private, n_nationkey AS created_by
@@ -88,12 +87,16 @@ FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {supplier}
     "team_roles": """
 SELECT n.n_nationkey*10 + r.k AS id, r.role_name, n.n_nationkey AS team_id
 FROM (SELECT n_nationkey, explode(sequence(0, 5)) AS k FROM {nation}) n JOIN {role_names} r ON r.k = n.k""",
-    # users with id % 7 = 0 hold no role; (order + team) % 6 thins the rest
+    # a member's roles: the priorities of the user's two latest orders (and
+    # 'owner' where user_id % 25 is the team); HOUSEHOLD customers hold none
     "team_user_roles": """
 SELECT DISTINCT tm.id*10 + tr.id % 10 AS id, tm.id AS team_membership_id, tr.id AS role_id
-FROM {team_memberships} tm JOIN {orders} o ON o.o_custkey = tm.user_id JOIN {team_roles} tr ON tr.team_id = tm.team_id
- AND (tr.role_name = o.o_orderpriority OR (tr.role_name = 'owner' AND tm.user_id % 25 = tm.team_id))
-WHERE tm.user_id % 7 <> 0 AND (o.o_orderkey + tm.team_id) % 6 = 0""",
+FROM {team_memberships} tm JOIN {customer} c ON c.c_custkey = tm.user_id AND c.c_mktsegment <> 'HOUSEHOLD'
+JOIN (SELECT o_custkey, o_orderpriority,
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM {orders}) o
+ ON o.o_custkey = tm.user_id AND o.rn <= 2
+JOIN {team_roles} tr ON tr.team_id = tm.team_id
+ AND (tr.role_name = o.o_orderpriority OR (tr.role_name = 'owner' AND tm.user_id % 25 = tm.team_id))""",
     "team_activities": """
 SELECT p_partkey AS id, p_partkey % 25 AS team_id, p_name AS activity_name, p_size - 25 AS points,
  DATE '2024-01-01' + CAST(p_partkey % 400 AS INT) AS created_at,
