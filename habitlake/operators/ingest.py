@@ -115,7 +115,7 @@ HOT_USER_DAY_ROWS = 100_000  # user-days above this many logs take the sliced pa
 
 
 def daily_cap_admission(logs: DataFrame, cap: int = DAILY_MINUTES_CAP, keep: tuple[str, ...] = (),
-                        hot_rows: int | None = HOT_USER_DAY_ROWS) -> DataFrame:
+                        hot_rows: int | None = HOT_USER_DAY_ROWS, checkpoint_input: bool = False) -> DataFrame:
     """In (logged_at, id) order per user-day accept a log iff accepted
     minutes + duration ≤ cap; a rejected log adds nothing. Rows with
     ``forced`` true (already stored logs) always count and are always
@@ -125,12 +125,18 @@ def daily_cap_admission(logs: DataFrame, cap: int = DAILY_MINUTES_CAP, keep: tup
     of at most ``hot_rows`` logs is one sorted array folded by the
     higher-order ``aggregate`` inside the JVM (one shuffle on (user, day)).
     Larger user-days — found with a partial count per user-day — go through
-    :mod:`.admission`, which slices them by row count across tasks."""
+    :mod:`.admission`, which slices them by row count across tasks. The
+    count runs before the plan is built; when ``logs`` is itself an
+    expensive plan, ``checkpoint_input`` writes it once (reliably, to the
+    shared checkpoint folder) so the count and the fold read the same rows
+    instead of computing them twice."""
     forced = F.col("forced") if "forced" in logs.columns else F.lit(False)
     base = logs.select("id", "user_id", F.to_date("logged_at").alias("day"), "logged_at",
                        F.col("duration").cast("bigint").alias("d"), forced.alias("f"), *keep)
     if hot_rows is None:
         return _fold(base, cap, keep)
+    if checkpoint_input:
+        base = base.checkpoint()
     sizes = base.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > hot_rows)
     n_hot, hot_total = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()  # two numbers to the driver

@@ -40,7 +40,7 @@ def text_log_pipeline(texts: DataFrame, acts: DataFrame, logs: DataFrame, synony
     keep = ("activity_id", "points", "activity_description")
     adm = I.daily_cap_admission(
         cand.select("id", "user_id", "logged_at", "duration", F.lit(False).alias("forced"), *keep)
-        .unionByName(stored), cap, keep=keep + ("duration",))
+        .unionByName(stored), cap, keep=keep + ("duration",), checkpoint_input=True)
     decided = adm.where(~F.col("forced")).select("id", "user_id", "activity_id", "duration", "points",
                                              "activity_description", F.col("logged_at"), "accepted", "minutes_after")
     return {

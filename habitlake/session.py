@@ -22,11 +22,14 @@ REQUIRED_CONF = {
 
 
 def get_session(master: str = "local[8]", app: str = "habitlake",
-                shuffle_partitions: int = 8) -> SparkSession:
+                shuffle_partitions: int = 8, extra_conf: dict | None = None) -> SparkSession:
     """Local session for tests and the bench (UI off, no server)."""
     os.environ.setdefault("PYTHONWARNINGS", "ignore::FutureWarning")  # pandas noise in Python workers
+    b = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        b = b.config(k, v)
     spark = (
-        SparkSession.builder.master(master).appName(app)
+        b.master(master).appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
