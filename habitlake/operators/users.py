@@ -8,20 +8,48 @@ from pyspark.sql import functions as F
 from ..functions.exprs import SEARCH_LIMIT
 
 
+def _trigrams(c):
+    """Distinct lower-case 3-character substrings of a string column."""
+    low = F.lower(c)
+    idx = F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(idx, lambda i: F.substring(low, i, 3)),
+                                     lambda g: F.length(g) == 3))
+
+
 def search_users(searches: DataFrame, users: DataFrame, invitations: DataFrame,
                  limit: int = SEARCH_LIMIT) -> DataFrame:
     """Per search, users whose username ILIKE '%q%' (q unescaped, so
     '%' and '_' act as wildcards), not the caller, flagged when already
     invited to the search's team, by username, first ``limit`` rows.
 
-    The ILIKE match is a non-equi join: the search frame is a request
-    batch, and Spark picks a broadcast nested-loop join only while its
-    measured size is under the broadcast threshold. An invitation repeated
-    to the same team repeats the user, and the limit counts repeats, as in
-    the reference. The top-k runs as a WindowGroupLimit per search."""
+    Candidates come from a trigram index instead of comparing every search
+    with every user: a username matches only if it contains each literal
+    run of q (q split at '%' and '_'), so a search probes the index with the
+    rarest trigram of its longest run, and ILIKE then decides exactly.
+    Searches without a literal run of 3+ characters (or with an escape)
+    cannot use the index;
+    only those are compared with all users (a nested-loop join that Spark
+    broadcasts only under its size threshold). An invitation repeated to
+    the same team repeats the user, and the limit counts repeats, as in the
+    reference; the top-k runs as a WindowGroupLimit per search."""
     s = searches.select("search_id", "q", "team_id", "caller_id")
     u = users.select("id", "username")
-    hits = s.join(u, F.expr("username ILIKE concat('%', q, '%')") & (F.col("id") != F.col("caller_id")))
+    runs = F.split(F.lower("q"), "[%_]")
+    longest = F.aggregate(runs, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
+    # a backslash escapes the next wildcard: such patterns take the exact path
+    usable = (F.length(longest) >= 3) & ~F.col("q").contains("\\")
+    s = s.withColumn("_run", F.when(usable, longest))
+    indexed = s.where(F.col("_run").isNotNull())
+    short = s.where(F.col("_run").isNull())
+    index = u.select("id", F.explode(_trigrams(F.col("username"))).alias("_g"))
+    df_g = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))  # posting-list length per trigram
+    probe = (indexed.select("search_id", F.explode(_trigrams(F.col("_run"))).alias("_g"))
+             .join(df_g, "_g", "left")
+             .groupBy("search_id").agg(F.min_by("_g", F.coalesce("_df", F.lit(0))).alias("_g")))
+    cand = (indexed.join(probe, "search_id").join(index, "_g").drop("_g", "_run").join(u, "id"))
+    like = F.expr("username ILIKE concat('%', q, '%')") & (F.col("id") != F.col("caller_id"))
+    hits = cand.where(like).select("search_id", "q", "team_id", "caller_id", "id", "username").unionByName(
+        short.drop("_run").join(u, like).select("search_id", "q", "team_id", "caller_id", "id", "username"))
     inv = invitations.select(F.col("recipient_id").alias("id"), F.col("team_id").alias("_t"),
                              F.col("id").alias("_inv"))
     j = hits.join(inv, (hits.id == inv.id) & (hits.team_id == inv._t), "left").drop(inv.id)

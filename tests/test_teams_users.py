@@ -111,3 +111,17 @@ def test_compact_changes_idempotent(spark):
     twice = M.compact_changes(base, ch.unionByName(ch), "id", "seq", ["user_id", "name", "points"])
     assert rows(once, "id", "name", "points") == [(1, "a2", 3), (3, "c2", 4)]
     assert rows(once, "id", "name", "points") == rows(twice, "id", "name", "points")
+
+
+def test_search_index_matches_plain_ilike(spark):
+    """The trigram path must give exactly what ILIKE over all users gives."""
+    from pyspark.sql import functions as F
+    names = ["Customer#000000001", "customer#0000001x", "abc_def", "ABCxDEF", "zz%zz", "a\\\\bcd", "xyz"]
+    users = df(spark, [(i, n, f"{i}@x", None) for i, n in enumerate(names)], USERS)
+    inv = df(spark, [], "id long, team_id long, sender_id long, recipient_id long, status string, "
+             "created_at timestamp_ntz, seen boolean")
+    qs = ["00001", "CUSTOMER", "abc_def", "bc%de", "b\\\\_d", "%", "yz", "mer#0000"]
+    s = df(spark, [(i, q, 1, -1) for i, q in enumerate(qs)], "search_id int, q string, team_id long, caller_id long")
+    got = rows(U.search_users(s, users, inv, limit=100), "search_id", "id")
+    want = rows(s.join(users, F.expr("username ILIKE concat('%', q, '%')")), "search_id", "id")
+    assert got == want
