@@ -12,7 +12,7 @@ from ..operators import reports as R
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from ..sources.requests import ingest_requests
-from . import text_log
+from . import q_reports, text_log
 from .registry import END, START, register
 
 
@@ -194,12 +194,44 @@ def _i7c(fx):
     return _pipeline(fx)["over_cap"]
 
 
-@register("text_log_responses")
+@register("text_log_responses", f"""
+WITH {_MATCH},
+cls AS (SELECT m.*, CASE WHEN n_matched = 1 THEN 'log' WHEN n_matched > 1 THEN 'ambiguous' ELSE 'unknown' END AS outcome,
+   CASE WHEN n_matched = 0 THEN activity WHEN n_matched > 1 AND n_activities > 1 THEN activity END AS name
+   FROM m),
+items AS (SELECT c.id, c.user_id, c.pos, c.n_activities,
+   '{{"matched_activities":' || COALESCE((SELECT to_json(list(json_object('activity_id', a.id, 'name', a.name,
+       'points', a.points, 'type', a.activity_type) ORDER BY a.id)) FROM hits h JOIN user_activities a
+       ON a.id = h.activity_id WHERE h.id = c.id AND h.activity = c.activity), 'null')
+   || CASE WHEN r.rest = '' THEN '}}' ELSE ',' || r.rest || '}}' END AS j
+   FROM cls c JOIN extracted_texts t ON t.id = c.id,
+   LATERAL (SELECT concat_ws(',',
+     CASE WHEN c.outcome <> 'log' AND c.duration <> 0 THEN '"duration":' || CAST(c.duration AS VARCHAR) END,
+     CASE WHEN c.outcome <> 'log' AND t.text <> '' THEN '"description":' || to_json(t.text) END,
+     CASE WHEN c.name <> '' THEN '"name":' || to_json(c.name) END) AS rest) r)
+SELECT id, user_id, CASE WHEN MAX(n_activities) = 1 THEN MAX(j)
+  ELSE '{{"activity_logs":[' || string_agg(j, ',' ORDER BY pos) || ']}}' END AS json
+FROM items GROUP BY id, user_id""", _MV)
 def _s4l(fx):
     return _pipeline(fx)["responses"]
 
 
-@register("report_json")
+_D = "strftime({}, '%Y-%m-%dT00:00:00Z')"
+
+
+@register("report_json", f"""
+WITH {q_reports._PPD}, r1 AS ({q_reports._R1}), r2 AS ({q_reports._R2}), r3 AS ({q_reports._R3}), r4 AS ({q_reports._R4}),
+days AS (SELECT user_id, to_json(list(json_object('date', {_D.format('date')}, 'total_points', total_points,
+   'status', status) ORDER BY date, status)) AS arr FROM r3 GROUP BY user_id)
+SELECT r1.user_id, CASE WHEN days.arr IS NULL THEN '[]' ELSE CAST(json_object(
+  'productivity_points', json_object('total_points', CAST(r1.total_points AS VARCHAR),
+     'average_points', printf('%.2f', r1.average_points_per_day)),
+  'best_productivity_day', json_object('date', {_D.format('r2.date')}, 'total_points', r2.total_points),
+  'productivity_days', days.arr,
+  'time', json_object('productive_time', r4.productive_time, 'unproductive_time', r4.unproductive_time))
+  AS VARCHAR) END AS json
+FROM r1 LEFT JOIN r2 ON r2.user_id = r1.user_id LEFT JOIN days ON days.user_id = r1.user_id
+LEFT JOIN r4 ON r4.user_id = r1.user_id""", ("users", "user_activity_logs", "user_goals"))
 def _s4r(fx):
     return sinks.to_report_json(R.productivity_report(fx.user_activity_logs, fx.user_goals, fx.users, START, END))
 

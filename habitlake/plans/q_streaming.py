@@ -8,7 +8,6 @@ oracle is the batch twin's SQL: the streamed result must equal it.
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 
 from pyspark.sql import functions as F

@@ -8,6 +8,7 @@ reference's own query text where one exists.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -55,11 +56,10 @@ def oracles() -> dict[str, str]:
     return {n: q.oracle for n, q in REGISTRY.items() if q.oracle}
 
 
+_MODULES = ("q_daily", "q_reports", "q_streaks", "q_goals", "q_ingest", "q_teams", "q_maintenance", "q_streaming")
+
+
 def _load():
-    from . import (q_daily, q_reports, q_streaks)  # noqa: F401  (registration side effect)
-    for mod in ("q_ingest", "q_goals", "q_teams", "q_users", "q_maintenance", "q_streaming"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if not e.name.endswith(mod):
-                raise
+    """Import the query modules; each registers its queries on import."""
+    for mod in _MODULES:
+        importlib.import_module(f"{__package__}.{mod}")

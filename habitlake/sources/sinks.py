@@ -14,19 +14,28 @@ def append_logs(df: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("log_date").parquet(path))
 
 
+def _api_date(c):
+    """A DATE as the API renders it (a Go time at UTC midnight)."""
+    return F.date_format(c, "yyyy-MM-dd'T'00:00:00'Z'")
+
+
 def to_report_json(report: DataFrame) -> DataFrame:
-    """R5 rows → the API's JSON document (keys as the reference's
-    models; totals as strings, as PostgreSQL numerics arrive there)."""
+    """R5 rows → the API's JSON document: keys as the reference's
+    models, totals as text (PostgreSQL numerics arrive as strings), dates as
+    RFC 3339 times, and ``[]`` for a user without logs in the range (the
+    reference answers with the empty day list and stops there)."""
     pp = F.struct(F.col("productivity_points.total_points").cast("string").alias("total_points"),
                   F.format_string("%.2f", F.col("productivity_points.average_points_per_day"))
                   .alias("average_points"))
-    best = F.struct(F.col("best_productivity_day.date").alias("date"),
+    best = F.struct(_api_date(F.col("best_productivity_day.date")).alias("date"),
                     F.col("best_productivity_day.total_points").alias("total_points"))
     days = F.transform("productivity_days", lambda d: F.struct(
-        d["date"].alias("date"), d["total_points"].alias("total_points"), d["status"].alias("status")))
+        _api_date(d["date"]).alias("date"), d["total_points"].alias("total_points"), d["status"].alias("status")))
     doc = F.struct(pp.alias("productivity_points"), best.alias("best_productivity_day"),
                    days.alias("productivity_days"), F.col("time").alias("time"))
-    return report.select("user_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+    js = F.when(F.size("productivity_days") == 0, F.lit("[]")).otherwise(
+        F.to_json(doc, {"ignoreNullFields": "false"}))
+    return report.select("user_id", js.alias("json"))
 
 
 def _activity_json(m):

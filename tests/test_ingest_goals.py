@@ -4,6 +4,8 @@ import datetime as dt
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from helpers import ACTS, GOALS, LOGS, df, log, rows, ts
 
 from habitlake.operators import goals as G
@@ -137,8 +139,7 @@ def test_requests_quarantine(spark):
                      (4, '{"activity_id":"12","activity_points":6,"activity_duration":10}')], "id long, value string")
     good, bad = ingest_requests(req, I.LOG_REQUEST_SCHEMA)
     assert rows(bad, "id", "reason") == [(2, "decode error"), (3, "bad id")]
-    g = good.withColumn("user_id", good.id).withColumn("logged_at", __import__("pyspark.sql.functions").sql
-                                                       .functions.lit(ts("2024-01-01 00:00:00")))
+    g = good.withColumn("user_id", good.id).withColumn("logged_at", F.lit(ts("2024-01-01 00:00:00")))
     new_acts, logs = I.ingest_structured_logs(g)
     assert rows(logs, "id", "kind", "activity_id", "points") == [(1, "one_time", None, 3), (4, "specific", 12, 1)]
     assert new_acts.count() == 0

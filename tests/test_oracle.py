@@ -35,5 +35,5 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_documented():
     rows_only = set(E.queries()) - set(E.oracle_sql())
     # composite / stateful outputs without a SQL twin (checked by pytest instead)
-    assert rows_only <= {"text_log_pipeline", "text_log_over_cap", "text_log_responses", "report_json",
-                         "append_logs", "reminder_stream"}
+    # the reminder stream's last ticks depend on micro-batch watermarks; tests/test_streaming.py checks it
+    assert rows_only == {"reminder_stream"}
