@@ -90,13 +90,11 @@ def goal_reminders(goals: DataFrame, transitions: DataFrame, logs: DataFrame,
     user-day; ticks from ``sequence`` (at most 24/every per tracker); the
     points at each tick from a union with the logs and one running sum, so
     no log × tick product is formed."""
-    starts = (goals.select("user_id", F.to_date("created_at").alias("date"), F.col("created_at").alias("at"),
-                           F.lit(1).alias("is_start"))
-              .unionByName(transitions.where(F.col("transition") == "uncompleted")
-                           .select("user_id", "date", F.col("logged_at").alias("at"), F.lit(1).alias("is_start"))))
-    stops = transitions.where(F.col("transition") == "completed").select(
-        "user_id", "date", F.col("logged_at").alias("at"), F.lit(0).alias("is_start"))
-    ev = starts.unionByName(stops)
+    # one pass over the flips: 'uncompleted' restarts a tracker, 'completed' stops it
+    flips = transitions.select("user_id", "date", F.col("logged_at").alias("at"),
+                               (F.col("transition") == "uncompleted").cast("int").alias("is_start"))
+    ev = goals.select("user_id", F.to_date("created_at").alias("date"), F.col("created_at").alias("at"),
+                      F.lit(1).alias("is_start")).unionByName(flips)
     w = Window.partitionBy("user_id", "date").orderBy("at", "is_start")
     day_end = (F.col("date") + F.lit(1)).cast("timestamp_ntz")
     trk = (ev.withColumn("end", F.coalesce(F.lead("at").over(w), day_end))
