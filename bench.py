@@ -99,7 +99,10 @@ def _stage_metrics(log_dir: str, groups: list[str]) -> tuple[dict, dict]:
     for path in files:  # Spark 4 writes a folder of rolling event files
         with open(path) as fh:
             for line in fh:
-                ev = json.loads(line)
+                try:
+                    ev = json.loads(line)
+                except ValueError:  # status markers, partial last line
+                    continue
                 kind = ev.get("Event")
                 if kind == "SparkListenerJobStart":
                     g = (ev.get("Properties") or {}).get("spark.jobGroup.id")

@@ -12,11 +12,12 @@ which text shape, which team); rows are selected by attributes of the data
 
 from __future__ import annotations
 
-import os
+import json
 import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .tables import BASE_SCHEMAS, read_table
 
@@ -235,6 +236,36 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def _hpath(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Existence on any Hadoop file system (local, HDFS, object stores)."""
+    p, fs = _hpath(spark, path)
+    return bool(fs.exists(p))
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    p, fs = _hpath(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _hpath(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 class Fixtures:
     """Lazily built application tables of one data directory.
 
@@ -248,9 +279,13 @@ class Fixtures:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            stored = os.path.join(self.app_dir, f"{name}.parquet") if self.app_dir else None
-            if stored and os.path.exists(stored):
-                df = self.spark.read.parquet(stored)
+            stored = f"{self.app_dir.rstrip('/')}/{name}.parquet" if self.app_dir else None
+            if stored and _exists(self.spark, stored):
+                reader = self.spark.read
+                schema_file = stored + ".schema.json"
+                if _exists(self.spark, schema_file):  # known schema: no footer-reading job
+                    reader = reader.schema(T.StructType.fromJson(json.loads(_read_text(self.spark, schema_file))))
+                df = reader.parquet(stored)
             elif name in BASE_SCHEMAS:
                 df = read_table(self.spark, self.sf_dir, name)
             else:
@@ -273,5 +308,8 @@ class Fixtures:
         that read them back instead of re-deriving."""
         cores = self.spark.sparkContext.defaultParallelism
         for n in names or list(VIEWS):
-            self[n].repartition(cores).write.mode("overwrite").parquet(os.path.join(app_dir, f"{n}.parquet"))
+            path = f"{app_dir.rstrip('/')}/{n}.parquet"
+            self[n].repartition(cores).write.mode("overwrite").parquet(path)
+            # the table's schema next to it, as a catalog keeps it
+            _write_text(self.spark, path + ".schema.json", json.dumps(self[n].schema.jsonValue()))
         return Fixtures(self.spark, self.sf_dir, app_dir)
