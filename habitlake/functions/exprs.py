@@ -43,6 +43,18 @@ def on_day(c: Column, day) -> Column:
     return in_range(c, d, d + dt.timedelta(days=1))
 
 
+def prune_days(df: DataFrame, start, end_exclusive) -> DataFrame:
+    """When the frame is a log table partitioned by ``log_date`` (as S2
+    writes it), also filter that column so whole partitions are skipped;
+    the timestamp range alone only prunes row groups."""
+    if "log_date" not in df.columns:
+        return df
+    d0 = as_date(start)
+    e = end_exclusive if isinstance(end_exclusive, dt.datetime) else None
+    d1 = as_date(end_exclusive) if e is None or e.time() == dt.time(0) else as_date(end_exclusive) + dt.timedelta(days=1)
+    return df.where((F.col("log_date") >= date_lit(d0)) & (F.col("log_date") < date_lit(d1)))
+
+
 def day_of(c: Column) -> Column:
     return F.to_date(c)
 

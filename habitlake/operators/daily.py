@@ -7,14 +7,17 @@ map-side per user and shuffled as one small row per user and map task.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import RECENT_K, null_split_left_join, on_day
+from ..functions.exprs import RECENT_K, as_date, null_split_left_join, on_day, prune_days
 
 
 def day_logs(logs: DataFrame, as_of) -> DataFrame:
-    return logs.where(on_day(F.col("logged_at"), as_of))
+    d = as_date(as_of)
+    return prune_days(logs, d, d + dt.timedelta(days=1)).where(on_day(F.col("logged_at"), as_of))
 
 
 def _names(acts: DataFrame) -> DataFrame:

@@ -13,11 +13,11 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import as_date, in_range, ts_lit
+from ..functions.exprs import as_date, in_range, prune_days, ts_lit
 
 
 def range_logs(logs: DataFrame, start, end) -> DataFrame:
-    return logs.where(in_range(F.col("logged_at"), start, end))
+    return prune_days(logs, start, end).where(in_range(F.col("logged_at"), start, end))
 
 
 def user_day_rollup(logs: DataFrame, start, end) -> DataFrame:

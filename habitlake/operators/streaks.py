@@ -27,6 +27,8 @@ MSG_ON_A_STREAK = "🔥 You're on a streak! Don't forget to log an activity toda
 def logged_days(logs: DataFrame, as_of=None) -> DataFrame:
     """Distinct (user_id, day); partial aggregation dedupes before the shuffle."""
     if as_of is not None:
+        if "log_date" in logs.columns:  # partitioned log table: skip later partitions
+            logs = logs.where(F.col("log_date") <= date_lit(as_of))
         logs = logs.where(F.col("logged_at") < ts_lit(as_date(as_of) + dt.timedelta(days=1)))
     return logs.select("user_id", F.to_date("logged_at").alias("day")).distinct()
 

@@ -38,3 +38,24 @@ def test_recent_is_group_limited(spark):
 def test_column_pruning_on_logs(spark):
     p = plan(E.queries()["streaks"](spark, SF_SMALL))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in p
+
+
+def test_log_date_partitions_pruned(spark, tmp_path):
+    """Logs stored by S2 (partitioned by log_date): day and range queries
+    read only the partitions they need."""
+    from habitlake.operators import daily as D
+    from habitlake.operators import reports as R
+    from habitlake.sources.fixtures import Fixtures
+    from habitlake.sources.sinks import append_logs
+    path = str(tmp_path / "logs")
+    append_logs(Fixtures(spark, SF_SMALL).user_activity_logs, path)
+    logs = spark.read.parquet(path)
+    p1 = plan(D.daily_log_count(logs, Fixtures(spark, SF_SMALL).users, "2024-01-15"))
+    assert "PartitionFilters: [isnotnull(log_date" in p1 and "2024-01-15" in p1
+    p2 = plan(R.user_day_rollup(logs, "2024-01-08", "2024-01-22"))
+    assert "PartitionFilters: [isnotnull(log_date" in p2 and "2024-01-22" in p2
+    # same answers as the unpartitioned source
+    a = sorted(tuple(r) for r in D.daily_log_count(logs, Fixtures(spark, SF_SMALL).users, "2024-01-15").collect())
+    fx = Fixtures(spark, SF_SMALL)
+    b = sorted(tuple(r) for r in D.daily_log_count(fx.user_activity_logs, fx.users, "2024-01-15").collect())
+    assert a == b
