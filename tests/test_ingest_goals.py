@@ -174,3 +174,13 @@ def test_cap_admission_sliced_path_matches_loop(spark):
         want[i] = (ok, acc[k])
     assert got == want
     assert cold == want
+
+
+def test_goal_exactly_met_is_not_completed(spark):
+    """Points equal to the goal do not complete it (strictly greater), in
+    both modes; one more point does."""
+    ldf = df(spark, [log(1, 1, 10, 15, "2024-01-05 10:00:00"), log(2, 1, 10, 1, "2024-01-05 11:00:00")], LOGS)
+    gdf = df(spark, [(1, 1, dt.date(2024, 1, 5), 15, ts("2024-01-05 06:00:00"), "not completed")], GOALS)
+    assert rows(G.goal_transitions(ldf, gdf, "intent"), "id", "transition") == [(2, "completed")]
+    # reference mode adds the log's points twice: 15 + 15 > 15 already flips on the first log
+    assert rows(G.goal_transitions(ldf, gdf, "reference"), "id", "transition") == [(1, "completed")]

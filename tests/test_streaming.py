@@ -61,3 +61,19 @@ def test_reminder_stream_equals_batch_until_watermark(spark):
     b = sorted(key(r) for r in batch.collect() if r.tick_at < last.replace(hour=max(last.hour - 1, 0)))
     assert set(b) <= set(s)
     assert all(k in set(key(r) for r in batch.collect()) for k in s)
+
+
+def test_streak_stream_ignores_late_earlier_day(spark):
+    """A day that arrives after a later day does not rewrite the streak."""
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("logged_at", T.TimestampNTZType())])
+    import datetime as dt
+    base = runner.scratch(spark, "t-late-day")
+    src = os.path.join(base, "in")
+    for day in ["2024-01-01", "2024-01-03", "2024-01-02", "2024-01-04"]:  # 01-02 arrives late
+        spark.createDataFrame([(1, dt.datetime.fromisoformat(day + " 10:00:00"))], schema) \
+            .coalesce(1).write.mode("append").parquet(src)
+    runner.run_available_now(L.streak_stream(runner.file_stream(spark, src, schema)), "append",
+                             os.path.join(base, "out"), os.path.join(base, "ck"))
+    got = sorted((r.date.isoformat(), r.streak_count) for r in spark.read.parquet(os.path.join(base, "out")).collect())
+    assert got == [("2024-01-01", 1), ("2024-01-03", 1), ("2024-01-04", 2)]

@@ -125,3 +125,33 @@ def test_search_index_matches_plain_ilike(spark):
     got = rows(U.search_users(s, users, inv, limit=100), "search_id", "id")
     want = rows(s.join(users, F.expr("username ILIKE concat('%', q, '%')")), "search_id", "id")
     assert got == want
+
+
+def test_accept_when_already_member_still_removes_invitation(spark):
+    inv = df(spark, [(1, 7, 0, 100, "pending", ts("2024-01-01 00:00:00"), False),
+                     (2, 7, 0, 101, "pending", ts("2024-01-01 00:00:00"), False),
+                     (3, 8, 0, 101, "pending", ts("2024-01-01 00:00:00"), False)],
+             "id long, team_id long, sender_id long, recipient_id long, status string, created_at timestamp_ntz, "
+             "seen boolean")
+    mem = df(spark, [(1, 7, 100)], TEAM_SCHEMAS["memberships"])
+    resp = df(spark, [(1, 7, 100, "accept"), (2, 7, 101, "decline")],
+              "invitation_id long, team_id long, user_id long, response string")
+    remaining, members = V.apply_responses(inv, mem, resp)
+    assert rows(remaining, "id") == [(3,)]
+    assert rows(members, "team_id", "user_id") == [(7, 100)]  # no duplicate membership
+    seen = V.mark_seen(inv, df(spark, [(101,)], "user_id long"))
+    assert rows(seen, "id", "seen") == [(1, False), (2, True), (3, True)]
+
+
+def test_cascade_delete_blocked_by_team_owner(spark):
+    users = df(spark, [(1, "a", "a@x", None), (2, "b", "b@x", None)], USERS)
+    teams = df(spark, [(7, "t", "i", 5, False, 1)], "id long, name string, team_industry string, team_size int, "
+               "is_private boolean, created_by long")
+    goals = df(spark, [(1, 1, d("2024-01-01"), 5, ts("2024-01-01 06:00:00"), "x"),
+                       (2, 2, d("2024-01-01"), 5, ts("2024-01-01 06:00:00"), "x")],
+               "id long, user_id long, goal_date date, goal_points int, created_at timestamp_ntz, status string")
+    out = M.cascade_delete_users({"users": users, "teams": teams, "user_goals": goals},
+                                 df(spark, [(1,), (2,)], "id long"))
+    assert rows(out["blocked"], "id") == [(1,)]       # user 1 created a team (no ON DELETE)
+    assert rows(out["users"], "id") == [(1,)]
+    assert rows(out["user_goals"], "id") == [(1,)]    # user 2's goal went with the user
