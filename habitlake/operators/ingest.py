@@ -9,6 +9,8 @@ fold per user-day.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,12 +18,26 @@ from pyspark.sql import types as T
 from ..functions.exprs import DAILY_MINUTES_CAP, score_points
 from ..sources.fixtures import DEFAULT_CATALOG
 
-# Fixed value: the reference's extraction pattern, with Go's ASCII classes
-# spelled out (\w = [0-9A-Za-z_], \s = [\t\n\f\r ]) so the JVM engine
-# matches exactly what RE2 matches.
-_S = r"[\t\n\f\r ]"
-_WS = r"[0-9A-Za-z_\t\n\f\r ]"  # \w or \s, one class (no alternation to backtrack through)
-EXTRACT_PATTERN = rf"Activity[0-9]*:{_S}*({_WS}+),{_S}*Duration[0-9]*:{_S}*([0-9]+)"
+# Fixed value: the extraction pattern the reference applies to the model's
+# answer (RE2 syntax, where \w, \s and \d are ASCII-only).
+REFERENCE_PATTERN = r"Activity\d*:\s*(?P<activity>[\w\s]+),\s*Duration\d*:\s*(?P<duration>\d+)"
+
+_RE2_CLASSES = {  # RE2 class -> the same set spelled out for Java regex
+    r"[\w\s]": r"[0-9A-Za-z_\t\n\f\r ]",
+    r"\s": r"[\t\n\f\r ]",  # Java's \s would also match \x0B
+    r"\d": r"[0-9]",
+}
+
+
+def _jvm_pattern(p: str) -> str:
+    """The same pattern for Java regex: RE2's ASCII classes spelled out and
+    named groups made plain (they are addressed by index)."""
+    for k, v in _RE2_CLASSES.items():
+        p = p.replace(k, v)
+    return re.sub(r"\(\?P<\w+>", "(", p)
+
+
+EXTRACT_PATTERN = _jvm_pattern(REFERENCE_PATTERN)
 
 
 # ---------------------------------------------------------------- I1 ----
@@ -111,7 +127,10 @@ def classify_matches(matched: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- I5 ----
-HOT_USER_DAY_ROWS = 100_000  # user-days above this many logs take the sliced path
+# User-days above this many logs take the sliced path. The JVM fold appends
+# one decision per step (an array copy), so its cost grows with the square of
+# the group size; past a few thousand rows the linear sliced path is cheaper.
+HOT_USER_DAY_ROWS = 2_000
 
 
 def daily_cap_admission(logs: DataFrame, cap: int = DAILY_MINUTES_CAP, keep: tuple[str, ...] = (),
