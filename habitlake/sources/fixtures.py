@@ -32,13 +32,15 @@ DEFAULT_CATALOG = [
 # Role names of the fixture teams (TPC-H order priorities plus
 # the reference's built-in 'owner' role).
 FIXTURE_ROLES = ["owner", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-# Synonym pairs taken from the examples the reference gives its
-# activity-matching prompt (term, canonical catalog name).
-SYNONYMS = [
-    ("running", "exercise"), ("studying", "learning"), ("studying", "reading"),
-    ("watching netflix", "watching series"), ("cleaning the house", "household chores"),
-    ("scrolling on instagram", "social media scrolling"),
+# The example associations the reference's matching prompt
+# lists (extracted activity, catalog activity), as written there.
+PROMPT_SYNONYMS = [
+    ("Running", "Exercise"), ("Studying", "Learning"), ("Watching Netflix", "Watching Series"),
+    ("Cleaning the house", "Household Chores"), ("Scrolling on Instagram", "Social Media Scrolling"),
 ]
+# Test data only: one more association so a name can match two catalog
+# entries (the ambiguous case). Matching lower-cases and trims both sides.
+SYNONYMS = PROMPT_SYNONYMS + [("Studying", "Reading")]
 # Fixed request frame for user search (search_id, q, team_id, caller_id).
 SEARCHES = [(0, "00001", 3, 10), (1, "99", 7, 99), (2, "_4%2", 1, 42),
             (3, "CUSTOMER", 0, 0), (4, "zzz", 2, 5)]
