@@ -18,8 +18,7 @@ from ..functions.exprs import as_date, date_lit, ts_lit
 
 # The reference's streak messages, verbatim.
 MSG_WELCOME = "Welcome here ! You can start a productivity streak by setting activities daily!🚀"
-MSG_AT_ZERO = ("😢 Oh no, your streak is at 0! But guess what? Today is a new chance to start strong! 🌟 "
-               "Dive back in and build it up! 💪")
+MSG_AT_ZERO = "😢 Oh no, your streak is at 0! But guess what? Today is a new chance to start strong! 🌟 Dive back in and build it up! 💪"  # noqa: E501
 MSG_ON_A_ROLL = "🎉 You're on a roll! You've completed your daily streak today! Keep up the amazing work! 🔥💪"
 MSG_ON_A_STREAK = "🔥 You're on a streak! Don't forget to log an activity today to keep it going! You’ve got this! 💪✨"
 
