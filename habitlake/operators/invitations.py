@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.windows import running_sum
+
 
 def inbox(invitations: DataFrame, teams: DataFrame) -> DataFrame:
-    """V1: invitations per recipient with team info; ``pos`` = newest first."""
+    """V1: invitations per recipient with team info; ``pos`` = newest first.
+
+    ``pos`` is a running count in (created_at desc, id desc) order, computed
+    in day chunks (newest day first) so a recipient with a huge inbox is
+    spread over many tasks instead of one sorted partition."""
     t = teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"), "team_industry", "team_size")
-    w = Window.partitionBy("recipient_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return (invitations.join(t, "team_id")
-            .select("recipient_id", F.col("id").alias("invitation_id"), "team_id", "team_name", "team_industry",
-                    "team_size", F.row_number().over(w).alias("pos")))
+    j = invitations.join(t, "team_id").withColumn("_one", F.lit(1))
+    ranked = running_sum(j, ["recipient_id"], [F.col("created_at").desc(), F.col("id").desc()], "_one", "_pos",
+                         chunk=-F.unix_date(F.to_date("created_at")))
+    return ranked.select("recipient_id", F.col("id").alias("invitation_id"), "team_id", "team_name",
+                         "team_industry", "team_size", F.col("_pos").cast("int").alias("pos"))
 
 
 def unread_counts(invitations: DataFrame, users: DataFrame) -> DataFrame:
