@@ -184,3 +184,18 @@ def test_goal_exactly_met_is_not_completed(spark):
     assert rows(G.goal_transitions(ldf, gdf, "intent"), "id", "transition") == [(2, "completed")]
     # reference mode adds the log's points twice: 15 + 15 > 15 already flips on the first log
     assert rows(G.goal_transitions(ldf, gdf, "reference"), "id", "transition") == [(1, "completed")]
+
+
+def test_structured_logs_replay_same_ids(spark):
+    """'new' requests create a custom activity; ids derive from the request,
+    so replaying the batch writes identical rows."""
+    req = df(spark, [(5, 1, ts("2024-01-01 10:00:00"), None, "Chess", 6, 30, "d", "false"),
+                     (6, 1, ts("2024-01-01 11:00:00"), None, "x", 12, 10, "d", "true")],
+             "id long, user_id long, logged_at timestamp_ntz, activity_id string, activity_name string, "
+             "activity_points int, activity_duration int, activity_description string, one_time string")
+    a1, l1 = I.ingest_structured_logs(req)
+    a2, l2 = I.ingest_structured_logs(req)
+    assert rows(a1, "id", "name", "activity_type") == rows(a2, "id", "name", "activity_type") == \
+        [(1_000_000_000_050, "Chess", "custom")]
+    assert rows(l1, "id", "activity_id", "points", "kind") == rows(l2, "id", "activity_id", "points", "kind") == \
+        [(5, 1_000_000_000_050, 3, "new"), (6, None, 2, "one_time")]

@@ -77,3 +77,26 @@ def test_streak_stream_ignores_late_earlier_day(spark):
                              os.path.join(base, "out"), os.path.join(base, "ck"))
     got = sorted((r.date.isoformat(), r.streak_count) for r in spark.read.parquet(os.path.join(base, "out")).collect())
     assert got == [("2024-01-01", 1), ("2024-01-03", 1), ("2024-01-04", 2)]
+
+
+def test_invite_notices_once_per_invitation(spark):
+    """A re-delivered invitation (same id) within the watermark yields one
+    notice; recipients who are not connected get none."""
+    import datetime as dt
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("team_id", T.LongType()),
+                           T.StructField("recipient_id", T.LongType()),
+                           T.StructField("created_at", T.TimestampNTZType())])
+    base = runner.scratch(spark, "t-notify")
+    src = os.path.join(base, "in")
+    t0 = dt.datetime(2024, 1, 1, 10)
+    batches = [[(1, 7, 100, t0), (2, 7, 101, t0)], [(1, 7, 100, t0 + dt.timedelta(minutes=5))],
+               [(3, 8, 100, t0 + dt.timedelta(hours=1))]]
+    for rows_ in batches:
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(src)
+    connected = spark.createDataFrame([(100,)], "user_id long")
+    stream = S.invite_notify_stream(runner.file_stream(spark, src, schema), connected)
+    runner.run_available_now(stream, "append", os.path.join(base, "out"), os.path.join(base, "ck"))
+    got = sorted((r.invitation_id, r.recipient_id, r.message)
+                 for r in spark.read.parquet(os.path.join(base, "out")).collect())
+    assert got == [(1, 100, S.INVITE_MESSAGE), (3, 100, S.INVITE_MESSAGE)]
