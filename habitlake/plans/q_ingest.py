@@ -213,7 +213,7 @@ SELECT id, user_id, CASE WHEN MAX(n_activities) = 1 THEN MAX(j)
   ELSE '{{"activity_logs":[' || string_agg(j, ',' ORDER BY pos) || ']}}' END AS json
 FROM items GROUP BY id, user_id""", _MV)
 def _s4l(fx):
-    return _pipeline(fx)["responses"]
+    return text_log.text_log_responses(fx.extracted_texts, fx.user_activities, fx.synonyms)
 
 
 _D = "strftime({}, '%Y-%m-%dT00:00:00Z')"

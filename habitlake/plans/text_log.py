@@ -17,6 +17,12 @@ from ..sources.sinks import to_log_responses
 NEW_LOG_ID_BASE = 3_000_000_000_000
 
 
+def text_log_responses(texts: DataFrame, acts: DataFrame, synonyms: DataFrame, max_edits: int = 1) -> DataFrame:
+    """S4 for the text path: per text, the response document (no cap needed)."""
+    pairs, _ = I.extract_activities(texts.select("id", "user_id", "text", F.col("text").alias("description")))
+    return to_log_responses(I.classify_matches(I.match_activities(pairs, acts, synonyms, max_edits)))
+
+
 def text_log_pipeline(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms: DataFrame,
                       cap: int = DAILY_MINUTES_CAP, max_edits: int = 1) -> dict[str, DataFrame]:
     """``texts``: id, user_id, text, logged_at. Returns the accepted new
