@@ -33,7 +33,7 @@ HEADLINE = [
     "visible_team_activities",  # T6
     "goal_reminders",           # G4
     "daily_cap_admission",      # I5
-    "text_log_pipeline",        # I7
+    "text_log_accepted",        # I7
     "user_teams",               # T1
     "vote_tally",               # B1
 ]

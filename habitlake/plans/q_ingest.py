@@ -155,8 +155,8 @@ def _texts(fx):
     return fx.extracted_texts.join(ev, "id")
 
 
-def _pipeline(fx):
-    return text_log.text_log_pipeline(_texts(fx), fx.user_activities, fx.user_activity_logs, fx.synonyms)
+def _text_logs(fx):
+    return text_log.log_from_texts(_texts(fx), fx.user_activities, fx.user_activity_logs, fx.synonyms)
 
 
 _I7 = f"""WITH RECURSIVE {_MATCH},
@@ -183,15 +183,15 @@ _I7_SQL = f"{_I7}\nSELECT {_I7_COLS} FROM cand c JOIN r ON r.id = c.id WHERE r.a
 _I7_VIEWS = _MV + ("user_activity_logs",)
 
 
-@register("text_log_pipeline", _I7_SQL, _I7_VIEWS)
+@register("text_log_accepted", _I7_SQL, _I7_VIEWS)
 def _i7(fx):
-    return _pipeline(fx)["accepted"]
+    return _text_logs(fx)["accepted"]
 
 
 @register("text_log_over_cap", f"""{_I7}
 SELECT {_I7_COLS}, r.acc AS minutes_after FROM cand c JOIN r ON r.id = c.id WHERE NOT r.accepted""", _I7_VIEWS)
 def _i7c(fx):
-    return _pipeline(fx)["over_cap"]
+    return _text_logs(fx)["over_cap"]
 
 
 @register("text_log_responses", f"""
@@ -244,5 +244,5 @@ def _s2(fx):
     checkpoint location and read them back with partition discovery."""
     base = ensure_checkpoint_dir(fx.spark)
     path = os.path.join(base, "habitlake-append", uuid.uuid4().hex)
-    sinks.append_logs(_pipeline(fx)["accepted"], path)
+    sinks.append_logs(_text_logs(fx)["accepted"], path)
     return fx.spark.read.parquet(path)

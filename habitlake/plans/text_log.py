@@ -23,7 +23,7 @@ def text_log_responses(texts: DataFrame, acts: DataFrame, synonyms: DataFrame, m
     return to_log_responses(I.classify_matches(I.match_activities(pairs, acts, synonyms, max_edits)))
 
 
-def text_log_pipeline(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms: DataFrame,
+def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms: DataFrame,
                       cap: int = DAILY_MINUTES_CAP, max_edits: int = 1) -> dict[str, DataFrame]:
     """``texts``: id, user_id, text, logged_at. Returns the accepted new
     logs, the cap-rejected candidates, per-text responses and the texts
