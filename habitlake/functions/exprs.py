@@ -55,10 +55,6 @@ def prune_days(df: DataFrame, start, end_exclusive) -> DataFrame:
     return df.where((F.col("log_date") >= date_lit(d0)) & (F.col("log_date") < date_lit(d1)))
 
 
-def day_of(c: Column) -> Column:
-    return F.to_date(c)
-
-
 def score_points(duration: Column, rate: Column) -> Column:
     """``round(duration * (rate / 60))`` half away from zero, as int.
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -300,10 +299,6 @@ class Fixtures:
             raise AttributeError(name)
         return self[name]
 
-    @cached_property
-    def names(self) -> list[str]:
-        return list(VIEWS)
-
     def materialize(self, app_dir: str, names=None) -> "Fixtures":
         """Write the application tables once (as a deployment stores them:
         at least one file per core, so scans split) and return fixtures

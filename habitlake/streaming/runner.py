@@ -67,14 +67,6 @@ def run_available_now(stream: DataFrame, mode: str, out_path: str, ckpt_path: st
         op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p.get("stateOperators", []))}
 
 
-def read_batches(spark: SparkSession, out_path: str, schema) -> DataFrame:
-    """All micro-batch outputs with their ``batch_id``."""
-    try:
-        return spark.read.parquet(out_path)
-    except Exception:  # nothing written yet
-        return spark.createDataFrame([], schema.add("batch_id", "int"))
-
-
 def latest_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """Current state from update-mode outputs: the row of the highest
     batch id per key (a partial ``max_by`` aggregate)."""
