@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,3 +65,18 @@ def rows_with(docs: DataFrame, added: T.StructType, make) -> DataFrame:
     added columns."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     return annotate(packed, "_text", added, make).drop("_text")
+
+
+def rows_by_range(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with the place (from 0) of each row in the order, by ranges: no task sorts or numbers all rows."""
+    n = tasks(df.sparkSession)
+    ranged = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    ranged = stored(ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))), "ranges")
+    sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # one row per task
+    before, total = {}, 0
+    for p in sorted(sizes):
+        before[p], total = total, total + sizes[p]
+    if not before:
+        return ranged.withColumn(name, F.lit(0).cast("long")).drop("_p", "_i")
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_p"))
+    return ranged.withColumn(name, (base + F.col("_i") - 1).cast("long")).drop("_p", "_i")
