@@ -32,6 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed(col):
+    """The same values; being nondeterministic to the optimizer, the expression is not copied into later filters, where
+    its parts would be evaluated anew for each element that a lambda looks at."""
+    return F.when(F.monotonically_increasing_id() >= 0, col)
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

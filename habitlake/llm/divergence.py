@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import computed
+
 #: references are made for so many languages at most, the ones with most documents; and of so many words each
 LANGUAGES = 32
 COMMON = 48
@@ -100,7 +102,7 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     at = F.sort_array(F.transform(F.filter("_s", lambda x, j: same(x, j + 1) | same(x, j - 1)), lambda x: x["i"]))
     covered = F.aggregate(at, F.struct(F.lit(-size).alias("last"), F.lit(0).cast("long").alias("n")),
                           lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(size), p - a["last"])).alias("n")), lambda a: a["n"])
-    return df.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_s").isNotNull(), covered), F.lit(0)).cast("long")).drop("_h", "_g", "_s", "_sh")
+    return df.withColumn("n_repeat_words", computed(F.coalesce(F.when(F.col("_s").isNotNull(), covered), F.lit(0)).cast("long"))).drop("_h", "_g", "_s", "_sh")
 
 
 def _word_runs(df: DataFrame, vocabulary: list[str]) -> DataFrame:

@@ -55,7 +55,11 @@ def apportion(parties: DataFrame, key: str, votes: str, seats: Column, order: st
     certain and a few open ones; only the open ones are ranked, about three per party."""
     group = [within] if within else []
     sums = parties.groupBy(*group).agg(F.sum(votes).alias("_v"), F.count("*").alias("_n"), F.first(seats).alias("_seats"))
-    df = parties.join(sums, group) if group else parties.crossJoin(F.broadcast(sums))  # one row of sums
+    if group:
+        df = parties.join(sums, group)
+    else:
+        one = sums.first()
+        df = parties.withColumns({c: F.lit(one[c]) for c in ("_v", "_n", "_seats")})
     sure = F.when(F.col("_seats") > F.col("_n") / 2, F.floor(F.col(votes) * (F.col("_seats") - F.col("_n") / 2) / F.col("_v") + 0.5)).otherwise(F.lit(0)).cast("long")
     most = F.floor(F.col(votes) * (F.col("_seats") + F.col("_n") / 2) / F.col("_v") + 0.5).cast("long") + 1
     df = df.withColumn("_sure", F.when(F.col("_v") > 0, sure).otherwise(0)).withColumn("_most", F.when(F.col("_v") > 0, most).otherwise(0))

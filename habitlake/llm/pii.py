@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, boost, calibrated_threshold
+from .common import computed
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.9
@@ -114,9 +115,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     for k in KINDS:
         out = out.withColumn(f"_b_{k}", _matches(body, k, BASE[k])).withColumn(f"_w_{k}", _matches(body, k, WIDE[k]))
     passing = lambda k: F.filter(f"_b_{k}", lambda x: _valid(k, x["hit"]))
-    out = out.withColumn("_base", F.concat(*[passing(k) for k in KINDS]))
+    out = out.withColumn("_base", computed(F.concat(*[passing(k) for k in KINDS])))
     off = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    out = out.withColumn("_more", F.filter(F.concat(*[F.col(f"_w_{k}") for k in KINDS]), off))
+    out = out.withColumn("_more", computed(F.filter(F.concat(*[F.col(f"_w_{k}") for k in KINDS]), off)))
     return out.drop(*[f"_{a}_{k}" for k in KINDS for a in "bw"])
 
 
@@ -161,7 +162,7 @@ def _listed(spans: Column) -> Column:
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, their digest, and all spans as text and as structs."""
     model = fit(docs)
-    found = candidates(docs.select("doc_id", "text")).withColumn("_all", _selected(model))
+    found = candidates(docs.select("doc_id", "text")).withColumn("_all", computed(_selected(model)))
     count = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"),
                         _listed(F.col("_all")).alias("spans"), F.col("_all").alias("all_spans"))
@@ -172,7 +173,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     one's), and ``n_chars``, where there is such a column, set to the new length."""
     model = fit(docs)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    found = candidates(packed, "_text").withColumn("_all", F.array_sort(_selected(model)))
+    found = candidates(packed, "_text").withColumn("_all", computed(F.array_sort(_selected(model))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc, x):
