@@ -114,11 +114,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return (pairs.join(right, "b").join(left, "a").withColumn("c", common)
-            .where(100 * F.col("c") >= percent * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b"))
+            .where(100 * F.col("c") >= percent * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b").distinct())
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, grams) of the wanted nodes (node, doc_id of one row that has it)."""
+    """(node, grams) of the wanted nodes (node, doc_id of one row that has it); rows alike in id and text repeat it."""
     def make():
         def run(column: pa.Array) -> list:
             nodes, flat, ends = [], [np.zeros(0, np.int64)], [0]
@@ -131,7 +131,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("text", F.col("node").alias("want"))
     added = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("grams", T.ArrayType(T.LongType()))])
-    return annotate(rows, "text", added, make).where("node = want").select("node", "grams").dropDuplicates(["node"])
+    return annotate(rows, "text", added, make).where("node = want").select("node", "grams")
 
 
 def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
