@@ -2,8 +2,9 @@
 
 A document is the set of its distinct word n-grams. Grams are ordered from rare to frequent (a counting sketch over all
 documents), and documents that agree in the first grams of that order and in size form one group. Groups that share a
-prefix gram are paired under size and overlap bounds, pairs are expanded to the members, and members are verified on
-their whole sets.
+prefix gram are paired under size and overlap bounds and pairs are expanded to the members. A parity sketch of each set
+(one or two bits a gram) bounds the difference of a pair's sets from below, which drops most pairs that are no links and
+never one that is; the members left are verified on their whole sets.
 
 Only what decides the components is paired: in each group and each prefix gram's posting list, first every member with
 the least one; then, once the links found have been joined to components, members of different components. A pair left
@@ -82,17 +83,27 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of grams in each of m slots, m the least power of two from the set's size on (64 at
+    least), as m / 64 words. Two sets differ in one gram at least for each slot in which their parities differ."""
+    m = max(64, 1 << max(len(s) - 1, 0).bit_length())
+    odd = np.bincount((splitmix(s) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 SETS = T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("grp", T.LongType()),
-                     T.StructField("prefix", T.ArrayType(T.LongType()))])
+                     T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))])
 
 
 def _describe(shared, n: int, percent: int):
-    """Per text: set size, identity of the set, identity of (size, prefix), and the prefix grams, rarest first."""
+    """Per text: set size, identity of the set, identity of (size, prefix), the prefix grams, rarest first, and the
+    parity sketch."""
     def make():
         scale = shared.value
 
         def run(column: pa.Array) -> list:
             size, node, grp, flat, ends = [], [], [], [np.zeros(0, np.int64)], [0]
+            odd, stops = [np.zeros(0, np.int64)], [0]
             for s in sets_of(column, n):
                 p = prefix_length(len(s), percent)
                 first = s[np.lexsort((s, scale[_bins(s)]))[:p]]
@@ -102,12 +113,37 @@ def _describe(shared, n: int, percent: int):
                 grp.append(int.from_bytes(key, "little", signed=True))
                 flat.append(first.view(np.int64))
                 ends.append(ends[-1] + p)
+                odd.append(parity_sketch(s))
+                stops.append(stops[-1] + len(odd[-1]))
             return [pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(grp, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int64()))]
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(odd), pa.int64()))]
         return run
     return make
 
 
+def _odd_slots(x, y):
+    """Slots in which two sketches differ, the longer one folded to the shorter one's length; null where one is more than
+    twice as long."""
+    def folded(c, to):
+        half = F.size(c) / 2
+        return F.when(F.size(c) == F.size(to), c).when(F.size(c) == 2 * F.size(to), F.zip_with(
+            F.slice(c, 1, half.cast("int")), F.slice(c, (half + 1).cast("int"), half.cast("int")), lambda a, b: a.bitwiseXOR(b)))
+
+    short = F.size(x) <= F.size(y)
+    differ = F.zip_with(F.when(short, x).otherwise(folded(x, y)), F.when(short, folded(y, x)).otherwise(y), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(differ, F.lit(0), lambda a, v: a + v)
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) less those whose sketches show that their sets differ in too many grams: sets of sizes m and n have at
+    least `percent` % similarity only if they differ in (100 - percent) / (100 + percent) of m + n grams at most."""
+    side = lambda name, n, odd: nodes.select(F.col("node").alias(name), F.col("n").alias(n), F.col("parity").alias(odd))
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    slots = F.coalesce(_odd_slots(F.col("x"), F.col("y")), F.lit(0))
+    return both.where((100 + percent) * slots <= (100 - percent) * (F.col("m") + F.col("n"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
@@ -142,7 +178,7 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     rows = stored(annotate(docs, "text", SETS, _describe(shared, n, percent)).drop("text"), "sets")
     some = rows.where("n > 0")
     # the distinct sets, each with one of its rows, and the groups of equal size and prefix
-    nodes = stored(some.groupBy("node", "grp", "n").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = stored(some.groupBy("node", "grp", "n").agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity")), "nodes")
     groups = some.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
     heads = stored(nodes.groupBy("grp", "n").agg(F.min("node").alias("head")), "heads")
     # posting lists of the prefix grams; size and position travel in one number, size first
@@ -207,6 +243,7 @@ def _similar(percent: int, a: str, b: str, i: str, j: str):
 
 
 def _link(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    pairs = stored(_near(pairs, nodes, percent), "near")
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     sets = stored(_sets(docs, nodes.join(wanted, "node").select("node", "doc_id"), n), "grams")
     return stored(_verified(pairs, sets, percent), "links")
