@@ -59,8 +59,8 @@ def score_points(duration: Column, rate: Column) -> Column:
     """``round(duration * (rate / 60))`` half away from zero, as int.
 
     Divide first, then multiply, in double — the float order of the
-    reference, so ties land on the same side."""
-    return F.round(duration.cast("double") * (rate.cast("double") / F.lit(60.0))).cast("int")
+    reference, so ties land on the same side. Points beyond an int are NULL."""
+    return F.round(duration.cast("double") * (rate.cast("double") / F.lit(60.0))).try_cast("int")
 
 
 def null_split_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -18,13 +18,13 @@ def vote_tally(suggestions: DataFrame, votes: DataFrame) -> DataFrame:
 def suggestion_ranking(tally: DataFrame, suggestions: DataFrame, limit: int | None = None) -> DataFrame:
     """B2: suggestions by upvote, best first (id breaks ties). Without a
     limit this is a range-partitioned global sort; ``pos`` is only given
-    with a limit, as a top-n, so no single-partition window is needed."""
+    with a limit: the window numbers the rows of the top-n only."""
     s = suggestions.drop("upvote").join(tally.select("id", "upvote"), "id")
     order = [F.col("upvote").desc(), F.col("id")]
     if limit is None:
         return s.select("id", "title", "description", "user_id", "upvote").orderBy(*order)
     w = Window.orderBy(*order)
-    return (s.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
+    return (s.orderBy(*order).limit(limit).withColumn("pos", F.row_number().over(w))
             .select("pos", "id", "title", "description", "user_id", "upvote"))
 
 

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import null_split_left_join
+
 
 def edit_catalog(acts: DataFrame, edits: DataFrame) -> DataFrame:
     """M1: apply the last edit (by seq) per activity id: new name and
@@ -25,19 +27,21 @@ def edit_catalog(acts: DataFrame, edits: DataFrame) -> DataFrame:
 
 def delete_activities(acts: DataFrame, logs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M2: delete activities and, by cascade, their logs. Logs with a NULL
-    activity (one-time logs) always survive."""
+    activity (one-time logs) always survive, and skip the join: hashed
+    together they would land in one task."""
     gone = ids.select("id").distinct()
     new_acts = acts.join(gone, "id", "left_anti")
-    new_logs = logs.join(gone.withColumnRenamed("id", "activity_id"), "activity_id", "left_anti")
-    return new_acts, new_logs.select(*logs.columns)
+    kept = (logs.where(F.col("activity_id").isNotNull())
+            .join(gone.withColumnRenamed("id", "activity_id"), "activity_id", "left_anti").select(*logs.columns))
+    return new_acts, kept.unionByName(logs.where(F.col("activity_id").isNull()))
 
 
 # The reference's foreign keys on users — cascading ones
 # (table, column) and ones without ON DELETE (which block the delete).
 USER_CASCADES = [("user_goals", "user_id"), ("team_memberships", "user_id"),
                  ("team_invitations", "sender_id"), ("team_invitations", "recipient_id"),
-                 ("user_activities", "user_id"), ("user_activity_logs", "user_id"), ("user_streaks", "user_id")]
-USER_BLOCKERS = [("teams", "created_by"), ("password_reset", "user_id")]
+                 ("user_activity_logs", "user_id"), ("user_streaks", "user_id")]
+USER_BLOCKERS = [("user_activities", "user_id"), ("teams", "created_by"), ("password_reset", "user_id")]
 
 
 def cascade_delete_users(tables: dict[str, DataFrame], user_ids: DataFrame) -> dict[str, DataFrame]:
@@ -103,18 +107,22 @@ def integrity_audit(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def rescore_catalog(acts: DataFrame, rates: DataFrame) -> DataFrame:
-    """M5: set points from a name → points table; other rows unchanged."""
-    r = rates.select("name", F.col("points").alias("_p"))
+    """M5: set points from a name → points table; other rows unchanged. A
+    name that the rates repeat takes its lowest points: an update never adds rows."""
+    r = rates.groupBy("name").agg(F.min("points").alias("_p"))
     return acts.join(r, "name", "left").select(
         "id", "user_id", "name", F.coalesce("_p", "points").alias("points"), "activity_type")
 
 
 def remap_keys(df: DataFrame, mapping: DataFrame, cols: list[str]) -> DataFrame:
-    """M6: UPDATE ... FROM: replace old ids by new ones in ``cols``."""
+    """M6: UPDATE ... FROM: replace old ids by new ones in ``cols``. An old id
+    that the mapping repeats takes its lowest new id; rows with a NULL key
+    skip the join."""
+    each = mapping.groupBy("old_id").agg(F.min("new_id").alias("new_id"))
     out = df
     for c in cols:
-        m = mapping.select(F.col("old_id").alias(c), F.col("new_id").alias(f"_{c}_new"))
-        out = out.join(m, c, "left").withColumn(c, F.coalesce(f"_{c}_new", c)).drop(f"_{c}_new")
+        m = each.select(F.col("old_id").alias(c), F.col("new_id").alias(f"_{c}_new"))
+        out = null_split_left_join(out, m, c).withColumn(c, F.coalesce(f"_{c}_new", c)).drop(f"_{c}_new")
     return out.select(*df.columns)
 
 

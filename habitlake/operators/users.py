@@ -107,7 +107,7 @@ EMAIL_TAKEN = "Email already exists"        # fixed values: the reference's
 USERNAME_TAKEN = "Username already exists"  # registration error messages
 
 
-def admit_registrations(users: DataFrame, requests: DataFrame, max_rounds: int = 200) -> DataFrame:
+def admit_registrations(users: DataFrame, requests: DataFrame) -> DataFrame:
     """Decide sign-up requests in request-id order: reject when the
     email (tested first) or the username is held by an existing user or by
     an earlier *accepted* request; a rejected request claims nothing.
@@ -117,7 +117,8 @@ def admit_registrations(users: DataFrame, requests: DataFrame, max_rounds: int =
     its username group is accepted (its sequential outcome cannot change),
     and undecided requests sharing a key with one accepted in the round
     are rejected. Each round decides at least the earliest undecided
-    request, and usually far more. Lineage is cut each round with a
+    request, so the rounds end, and usually far more. A NULL email or
+    username equals no other. Lineage is cut each round with a
     reliable checkpoint in the shared checkpoint folder."""
     spark = requests.sparkSession
     from ..session import ensure_checkpoint_dir
@@ -130,14 +131,14 @@ def admit_registrations(users: DataFrame, requests: DataFrame, max_rounds: int =
                   F.when(F.col("_te"), F.lit(EMAIL_TAKEN)).when(F.col("_tu"), F.lit(USERNAME_TAKEN))
                   .alias("outcome")))
     st = st.checkpoint()
-    for _ in range(max_rounds):
+    while True:
         und = st.where(F.col("outcome").isNull())
         if und.isEmpty():
-            break
+            return st.select("id", "outcome")
         me = und.groupBy("email").agg(F.min("id").alias("_me"))
         mu = und.groupBy("username").agg(F.min("id").alias("_mu"))
-        acc = (und.join(me, "email").join(mu, "username")
-               .where((F.col("id") == F.col("_me")) & (F.col("id") == F.col("_mu"))))
+        acc = (und.join(me, "email", "left").join(mu, "username", "left")  # a NULL key clashes with nothing
+               .where((F.col("id") == F.coalesce("_me", "id")) & (F.col("id") == F.coalesce("_mu", "id"))))
         acc_id = acc.select("id", F.lit(True).alias("_a"))
         acc_e = acc.select(F.col("email").alias("_ae")).distinct().withColumn("_he", F.lit(True))
         acc_u = acc.select(F.col("username").alias("_au")).distinct().withColumn("_hu", F.lit(True))
@@ -148,6 +149,3 @@ def admit_registrations(users: DataFrame, requests: DataFrame, max_rounds: int =
                .when(F.col("_he"), F.lit(EMAIL_TAKEN))
                .when(F.col("_hu"), F.lit(USERNAME_TAKEN)))
         st = j.select("id", "email", "username", new.alias("outcome")).checkpoint()
-    else:
-        raise RuntimeError("admission did not converge")
-    return st.select("id", "outcome")

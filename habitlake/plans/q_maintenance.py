@@ -48,7 +48,8 @@ def _m3_tables(fx):
 
 @register("cascade_delete_users", """
 WITH req AS (SELECT c_custkey AS uid FROM customer WHERE c_acctbal < 0),
-blk AS (SELECT uid FROM req WHERE uid IN (SELECT created_by FROM teams) OR uid IN (SELECT user_id FROM password_reset)),
+blk AS (SELECT uid FROM req WHERE uid IN (SELECT created_by FROM teams) OR uid IN (SELECT user_id FROM password_reset)
+  OR uid IN (SELECT user_id FROM user_activities)),
 gone AS (SELECT uid FROM req WHERE uid NOT IN (SELECT uid FROM blk)),
 gm AS (SELECT id FROM team_memberships WHERE user_id IN (SELECT uid FROM gone))
 SELECT 'blocked' AS table_name, COUNT(*) AS n_rows FROM blk
@@ -57,7 +58,7 @@ UNION ALL SELECT 'user_goals', COUNT(*) FROM user_goals WHERE user_id NOT IN (SE
 UNION ALL SELECT 'team_memberships', COUNT(*) FROM team_memberships WHERE user_id NOT IN (SELECT uid FROM gone)
 UNION ALL SELECT 'team_invitations', COUNT(*) FROM team_invitations
   WHERE sender_id NOT IN (SELECT uid FROM gone) AND recipient_id NOT IN (SELECT uid FROM gone)
-UNION ALL SELECT 'user_activities', COUNT(*) FROM user_activities WHERE user_id NOT IN (SELECT uid FROM gone)
+UNION ALL SELECT 'user_activities', COUNT(*) FROM user_activities
 UNION ALL SELECT 'user_activity_logs', COUNT(*) FROM user_activity_logs WHERE user_id NOT IN (SELECT uid FROM gone)
 UNION ALL SELECT 'teams', COUNT(*) FROM teams
 UNION ALL SELECT 'password_reset', COUNT(*) FROM password_reset

@@ -15,6 +15,8 @@ from ..sources.sinks import to_log_responses
 # new log ids: a reserved range above every stored id, derived from (text id,
 # position) so a replayed batch writes the same rows
 NEW_LOG_ID_BASE = 3_000_000_000_000
+#: a longer duration counts as this one: over any cap either way
+MAX_INT = 2**31 - 1
 
 
 def text_log_responses(texts: DataFrame, acts: DataFrame, synonyms: DataFrame, max_edits: int = 1) -> DataFrame:
@@ -34,7 +36,7 @@ def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms:
     cand = (cls.where(F.col("outcome") == "log")
             .select((F.lit(NEW_LOG_ID_BASE) + F.col("id") * 100 + F.col("pos")).alias("id"), "user_id",
                     F.col("matched")[0]["activity_id"].alias("activity_id"),
-                    F.col("duration").cast("int").alias("duration"),
+                    F.least(F.col("duration").cast("bigint"), F.lit(MAX_INT)).cast("int").alias("duration"),
                     score_points(F.col("duration"), F.col("matched")[0]["points"]).alias("points"),
                     F.col("description").alias("activity_description"), "logged_at"))
     # only user-days that receive a candidate need their stored minutes

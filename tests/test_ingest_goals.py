@@ -199,3 +199,10 @@ def test_structured_logs_replay_same_ids(spark):
         [(1_000_000_000_050, "Chess", "custom")]
     assert rows(l1, "id", "activity_id", "points", "kind") == rows(l2, "id", "activity_id", "points", "kind") == \
         [(5, 1_000_000_000_050, 3, "new"), (6, None, 2, "one_time")]
+
+
+def test_empty_documents_and_wide_ids_are_quarantined(spark):
+    req = df(spark, [(1, ""), (2, None), (3, "  "), (4, '{"activity_id": "99999999999999999999"}'), (5, '{"activity_id": "7"}')], "id long, value string")
+    good, bad = ingest_requests(req, I.LOG_REQUEST_SCHEMA)
+    assert rows(good, "id") == [(5,)]
+    assert rows(bad, "id", "reason") == [(1, "decode error"), (2, "decode error"), (3, "decode error"), (4, "bad id")]

@@ -155,3 +155,36 @@ def test_cascade_delete_blocked_by_team_owner(spark):
     assert rows(out["blocked"], "id") == [(1,)]       # user 1 created a team (no ON DELETE)
     assert rows(out["users"], "id") == [(1,)]
     assert rows(out["user_goals"], "id") == [(1,)]    # user 2's goal went with the user
+
+
+def test_catalog_owner_is_blocked(spark):
+    users = df(spark, [(1, "a", "a@x", None), (2, "b", "b@x", None)], USERS)
+    acts = df(spark, [(5, 2, "Run", 10, "custom")], "id long, user_id long, name string, points int, activity_type string")
+    out = M.cascade_delete_users({"users": users, "user_activities": acts}, df(spark, [(1,), (2,)], "id long"))
+    assert rows(out["blocked"], "id") == [(2,)]
+    assert rows(out["users"], "id") == [(2,)]
+    assert out["user_activities"].count() == 1
+
+
+def test_updates_never_add_rows(spark):
+    acts = df(spark, [(5, 2, "Run", 10, "custom")], "id long, user_id long, name string, points int, activity_type string")
+    rates = df(spark, [("Run", 30), ("Run", 20)], "name string, points int")
+    assert rows(M.rescore_catalog(acts, rates), "id", "points") == [(5, 20)]
+    keyed = df(spark, [(1, 7), (2, None)], "id long, k long")
+    mapping = df(spark, [(7, 9), (7, 8)], "old_id long, new_id long")
+    assert sorted(map(tuple, M.remap_keys(keyed, mapping, ["k"]).collect())) == [(1, 8), (2, None)]
+
+
+def test_admission_with_null_email_and_long_chain(spark):
+    users = df(spark, [], USERS)
+    # each request shares a key with the one before it
+    chain = [(i, f"e{i // 2}", f"u{(i + 1) // 2}") for i in range(8)] + [(100, None, "n"), (101, None, "m"), (102, None, "n")]
+    got = dict(rows(U.admit_registrations(users, df(spark, chain, "id long, email string, username string")), "id", "outcome"))
+    assert [got[i] for i in (100, 101)] == ["accepted"] * 2 and got[102] == U.USERNAME_TAKEN
+    emails, names = set(), set()
+    for i, e, u in chain[:8]:
+        want = U.EMAIL_TAKEN if e in emails else U.USERNAME_TAKEN if u in names else "accepted"
+        if want == "accepted":
+            emails.add(e)
+            names.add(u)
+        assert got[i] == want
