@@ -222,3 +222,19 @@ def test_tokens(docs):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_parity_sketch_keeps_every_link(spark, percent):
+    import numpy as np
+    rng = np.random.default_rng(percent)
+    sets = [np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)) for size in (1, 3, 63, 64, 65, 120, 130, 700)]
+    sets += [np.unique(np.concatenate([s[int(len(s) * share):], rng.integers(0, 2**63, extra, dtype=np.uint64)]))
+             for s in sets for share in (0.0, 0.05, 0.2, 0.5) for extra in (0, 1, 4, 60)]
+    sets = [s for s in sets if len(s)]
+    nodes = spark.createDataFrame([(bytes([i]), len(s), [int(w) for w in jaccard.parity_sketch(s)]) for i, s in enumerate(sets)], "node binary, n long, parity array<long>")
+    pairs = spark.createDataFrame([(bytes([i]), bytes([j])) for i in range(len(sets)) for j in range(len(sets)) if i != j], "a binary, b binary")
+    left = {(r.a[0], r.b[0]) for r in jaccard._near(pairs, nodes, percent).collect()}
+    similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+               if i != j and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))}
+    assert similar and similar <= left < {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j}
