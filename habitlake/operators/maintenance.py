@@ -67,9 +67,24 @@ def cascade_delete_users(tables: dict[str, DataFrame], user_ids: DataFrame) -> d
     return out
 
 
+# Further foreign keys of the reference schema (table, column, parent).
+USER_AND_TEAM_KEYS = [
+    ("user_goals", "user_id", "users"),
+    ("team_memberships", "team_id", "teams"),
+    ("team_memberships", "user_id", "users"),
+    ("team_roles", "team_id", "teams"),
+    ("team_user_roles", "role_id", "team_roles"),
+    ("team_invitations", "team_id", "teams"),
+    ("team_invitations", "sender_id", "users"),
+    ("team_invitations", "recipient_id", "users"),
+    ("password_reset", "user_id", "users"),
+]
+
+
 def integrity_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """M4: violations per primary key, unique, foreign key and not-null
-    rule of the reference schema; one small aggregate per rule, unioned."""
+    rule of the reference schema; one small aggregate per rule, unioned.
+    Rules on goals, teams and invitations need those tables to be given."""
     rows: list[DataFrame] = []
 
     def dup(t, cols, rule):
@@ -103,6 +118,12 @@ def integrity_audit(tables: dict[str, DataFrame]) -> DataFrame:
     dup("team_roles", ["role_name", "team_id"], "unique(role_name,team_id)")
     dup("team_user_roles", ["team_membership_id", "role_id"], "unique(team_membership_id,role_id)")
     fk("team_user_roles", "team_membership_id", "team_memberships", "id", "fk(team_membership_id)")
+    for t in ("user_goals", "teams", "team_memberships", "team_roles", "team_invitations"):
+        if t in tables:
+            dup(t, ["id"], "pk(id)")
+    for t, c, ref in USER_AND_TEAM_KEYS:
+        if t in tables and ref in tables:
+            fk(t, c, ref, "id", f"fk({c})")
     return reduce(DataFrame.unionByName, rows).select("table", "rule", F.col("violations").cast("bigint"))
 
 

@@ -80,7 +80,8 @@ def _audit_tables(fx):
     return {"users": fx.registrations.withColumn("google_id", F.lit(None).cast("string")),
             "user_activities": fx.user_activities, "user_activity_logs": fx.user_activity_logs,
             "team_memberships": fx.team_memberships, "team_roles": fx.team_roles,
-            "team_user_roles": fx.team_user_roles}
+            "team_user_roles": fx.team_user_roles,
+            **{t: fx[t] for t in ("user_goals", "teams", "team_invitations", "password_reset")}}
 
 
 def _dup(t, cols, rule):
@@ -105,13 +106,27 @@ _AUDIT = "\nUNION ALL ".join([
     _dup("team_roles", ["role_name", "team_id"], "unique(role_name,team_id)"),
     _dup("team_user_roles", ["team_membership_id", "role_id"], "unique(team_membership_id,role_id)"),
     _fk("team_user_roles", "team_membership_id", "team_memberships", "id", "fk(team_membership_id)"),
+    _dup("user_goals", ["id"], "pk(id)"),
+    _dup("teams", ["id"], "pk(id)"),
+    _dup("team_memberships", ["id"], "pk(id)"),
+    _dup("team_roles", ["id"], "pk(id)"),
+    _dup("team_invitations", ["id"], "pk(id)"),
+    _fk("user_goals", "user_id", "users", "id", "fk(user_id)"),
+    _fk("team_memberships", "team_id", "teams", "id", "fk(team_id)"),
+    _fk("team_memberships", "user_id", "users", "id", "fk(user_id)"),
+    _fk("team_roles", "team_id", "teams", "id", "fk(team_id)"),
+    _fk("team_user_roles", "role_id", "team_roles", "id", "fk(role_id)"),
+    _fk("team_invitations", "team_id", "teams", "id", "fk(team_id)"),
+    _fk("team_invitations", "sender_id", "users", "id", "fk(sender_id)"),
+    _fk("team_invitations", "recipient_id", "users", "id", "fk(recipient_id)"),
+    _fk("password_reset", "user_id", "users", "id", "fk(user_id)"),
 ])
 
 
 @register("integrity_audit", f"""
 WITH users AS (SELECT id, username, email, CAST(NULL AS VARCHAR) AS google_id FROM registrations)
 {_AUDIT}""", ("registrations", "user_activities", "user_activity_logs", "team_memberships", "team_roles",
-              "team_user_roles"))
+              "team_user_roles", "user_goals", "teams", "team_invitations", "password_reset"))
 def _m4(fx):
     return M.integrity_audit(_audit_tables(fx))
 
