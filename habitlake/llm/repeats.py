@@ -7,8 +7,9 @@ Every word that lies in a window of ``WINDOW`` words which also starts somewhere
 2. Automata. Recurring phrases are dealt into shards by the text that owns them (the least text hash), and each shard is
    compiled with pyahocorasick over numbers of words. Texts are streamed through the shards that hold one of their
    phrases, not through all: a shard with many texts (a hot passage) is salted into groups of bounded size.
-3. Exact check. The automaton's hits give every place where a recurring phrase stands; the windows around it are counted
-   by 64-bit hash. Counts are final within a shard of one group; in salted shards, windows met once are counted across
+3. Exact check. The automaton's hits give every place where a recurring phrase stands; the windows that note it are
+   counted by 64-bit hash. A window notes one phrase, and a phrase has one owner, so each place of a window is counted in
+   one shard only. Counts are final within a shard of one group; in salted shards, windows met once are counted across
    groups.
 
 Texts are told apart by their 64-bit hash. Exact copies are streamed once: all their words are covered, if they have a
@@ -59,14 +60,18 @@ def window_hashes(h: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
         return splitmix((total[at + n] - total[at]) * np.cumprod(down)[at])
 
 
+def _least(grams: np.ndarray) -> np.ndarray:
+    """Of the window at each place, the place of the phrase it notes."""
+    view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - PHRASE + 1)
+    return np.arange(len(view)) + view.argmin(axis=1)
+
+
 def _noted(h: np.ndarray, first: np.ndarray):
     """Places of the phrases that windows note, and the hash of every phrase."""
     grams = ngram_hashes(h, PHRASE)
     if len(h) < WINDOW:
         return np.zeros(0, np.int64), grams
-    view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - PHRASE + 1)
-    at = np.arange(len(view)) + view.argmin(axis=1)
-    return np.unique(at[inside_text(first, WINDOW, len(h))]), grams
+    return np.unique(_least(grams)[inside_text(first, WINDOW, len(h))]), grams
 
 
 def _digest(words, keep=None) -> str:
@@ -110,9 +115,9 @@ def _word_numbers(h: np.ndarray) -> np.ndarray:
 
 
 def _own_phrases(batches):
-    """Of texts with the hashes of the phrases they own: (shard, the phrase's word numbers)."""
+    """Of texts with the hashes of the phrases they own: (shard, the phrase's word numbers, its hash)."""
     for b in batches:
-        shard, seqs = [], []
+        shard, seqs, hashes = [], [], []
         own, home = b.column(1), b.column(2)
         for lo, hi, buf, offs in text_chunks(b.column(0)):
             w = split_words(buf, offs, NOT_SPACE)
@@ -127,7 +132,8 @@ def _own_phrases(batches):
                     p += int(w.first[d])
                     shard.append(home[lo + d].as_py())
                     seqs.append(numbers[p:p + PHRASE].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(seqs, pa.binary())], names=["shard", "seq"])
+                    hashes.append(int(grams[p].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(seqs, pa.binary()), pa.array(hashes, pa.int64())], names=["shard", "seq", "phrase"])
 
 
 def _automaton(phrases):
@@ -155,6 +161,7 @@ def _locate(phrases: pa.Table, texts: pa.Table) -> pa.Table:
     seen, text, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if phrases.num_rows and texts.num_rows:
         automaton = _automaton(set(phrases.column("seq").to_pylist()))
+        mine = phrases.column("phrase").to_numpy().view(np.uint64)
         column = texts.column("text").combine_chunks().take(pa.array(first_of))
         for lo, hi, buf, offs in text_chunks(column):
             w = split_words(buf, offs, NOT_SPACE)
@@ -163,10 +170,10 @@ def _locate(phrases: pa.Table, texts: pa.Table) -> pa.Table:
                 continue
             end = np.array([e for e, _ in automaton.iter(tuple(_word_numbers(h).tolist()))], np.int64)
             begin = end - (PHRASE - 1)
-            around = np.zeros(len(h) + 1, np.int64)  # windows that hold a hit
-            np.add.at(around, np.maximum(begin - (WINDOW - PHRASE), 0), 1)
-            np.add.at(around, begin + 1, -1)
-            at = np.flatnonzero((np.cumsum(around)[:len(h) - WINDOW + 1] > 0) & inside_text(w.first, WINDOW, len(h)))
+            grams = ngram_hashes(h, PHRASE)
+            hit = np.zeros(len(grams), bool)
+            hit[begin[np.isin(grams[begin], mine)]] = True  # word numbers are shorter than hashes
+            at = np.flatnonzero(hit[_least(grams)] & inside_text(w.first, WINDOW, len(h)))
             d = np.searchsorted(w.first, at, side="right") - 1
             seen.append(window_hashes(h, WINDOW, at))
             text.append(lo + d)
@@ -243,13 +250,13 @@ def drop_repeats(docs: DataFrame, shard_phrases: int = SHARD_PHRASES, group_byte
     routes = routes.join(copies.select(F.col("text_hash").alias("_c"), "rep"), F.col("text_hash") == F.col("_c")).drop("_c")
     mine = docs.withColumn("_t", F.xxhash64("text"))
     routed = stored(mine.join(routes, (F.col("_t") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("text_hash", "text", "shards", "own"), "routed")
-    own = routed.where("size(own) > 0").select("text", "own", shard_of("text_hash").alias("home")).mapInArrow(_own_phrases, "shard long, seq binary")
+    own = routed.where("size(own) > 0").select("text", "own", shard_of("text_hash").alias("home")).mapInArrow(_own_phrases, "shard long, seq binary, phrase long")
     dealt = routed.select("text_hash", "text", F.explode("shards").alias("shard"))
     salts = (routed.select(F.explode("shards").alias("shard"), F.octet_length("text").alias("b")).groupBy("shard")
              .agg(F.ceil(F.sum("b") / group_bytes).cast("int").alias("salts")).where("salts > 0"))
     salts = stored(salts, "salts")
     dealt = dealt.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("text_hash", F.lit(7)), F.col("salts")).cast("int"))
-    own = own.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("shard", "salt", "seq")
+    own = own.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("shard", "salt", "seq", "phrase")
     found = stored(own.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInArrow(_locate, FOUND), "found")
     # 3. windows of salted shards, across groups
     single = found.where("windows IS NOT NULL AND text_hash IS NOT NULL").select("text_hash", F.explode(F.arrays_zip("windows", "at")).alias("x"))

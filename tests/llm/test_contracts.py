@@ -68,6 +68,18 @@ def test_repeats(docs, sizes):
     same([tuple(r) for r in repeats.drop_repeats(docs, **sizes).collect()], want)
 
 
+def test_repeats_counts_a_place_in_one_shard(spark):
+    """Shared passages in differing contexts: windows at a passage's edge are unique and hold phrases of several owners."""
+    import random
+    rng = random.Random(11)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passages = [say(60) for _ in range(5)]
+    texts = [" ".join(w for p in rng.sample(passages, 2) for w in (*say(rng.randint(5, 40)), *p)) + " " + " ".join(say(20)) for _ in range(400)]
+    rows = list(enumerate(texts))
+    want = [(d, *x) for (d, _), x in zip(rows, brute.repeats(texts))]
+    same([tuple(r) for r in repeats.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard_phrases=20, group_bytes=20000).collect()], want)
+
+
 @pytest.mark.parametrize("block", [8 << 20, 2000])
 def test_contamination(spark, docs, block):
     rows = pairs(docs)
