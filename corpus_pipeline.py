@@ -2,8 +2,8 @@
 
 Stages: rows that the quality classifier rejects go; one document of each near-duplicate group (five-word shingles,
 Jaccard similarity of 0.8 or more) stays; contaminated documents go; personal data is replaced by its kind; sources are
-mixed to their target weights (``mix_taken`` words of each remaining document). All but the last return the columns of
-``documents``.
+mixed to their target weights (a row for each pass over a remaining document, with the ``mix_taken`` words taken in it).
+All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ q div n times, and q mod n of them, spread evenly from a seeded start, once more
 blocks hold of it.
 
 Only (id, source, size, text hash) is shuffled, by source and shard; a source has one shard per ``SHARD`` tokens, so
-that a hot source is many groups.
+that a hot source is many groups. ``mixture`` emits the chosen words: it numbers the rows in a stored copy, so that alike
+rows keep their own places on the line, and joins the choice to it by that number.
 
 Cases: null text has size 0 and takes nothing; null is a source of its own, ordered last; repeated rows are rows of
 their own (rows alike in id, source and text trade places without effect); an empty table gives no rows; no words at
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_by_range, stored
+from .common import computed, rows_by_range, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -76,12 +77,12 @@ def apportion(parties: DataFrame, key: str, votes: str, seats: Column, order: st
     return df.join(extra, key, "left").select(key, (F.col("_sure") + F.coalesce("_more", F.lit(0))).alias("quota"))
 
 
-def _measured(docs: DataFrame) -> DataFrame:
+def _measured(docs: DataFrame, *keep: str) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("_t"))
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("_t"), *keep)
 
 
-def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _placed(rows: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     """Rows with shard and span on its line; and the shards with their quotas."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     shared = stored(targets(sources), "targets")
@@ -91,7 +92,7 @@ def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = rows.join(shared, rows["source"].eqNullSafe(shared["source"])).drop(shared["source"])
     seeded = F.xxhash64(F.lit(SEED), "doc_id", "_t")
     dealt = dealt.withColumn("_h", seeded).withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED + 1), "_h"), F.col("shards")))
-    line = Window.partitionBy("at", "shard").orderBy("_h", "doc_id", "_t")
+    line = Window.partitionBy("at", "shard").orderBy("_h", "doc_id", "_t", *keep)
     dealt = stored(dealt.withColumn("_hi", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))), "line")
     shards = (dealt.groupBy("at", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
               .withColumn("cell", F.struct("at", "shard")))
@@ -99,9 +100,16 @@ def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dealt, shards.join(got, "cell").select("at", "shard", "shard_size", F.col("quota"))
 
 
-def mix_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, source, _t, size, source_size, target, taken of every row."""
-    dealt, shards = _placed(stored(_measured(docs), "sizes"))
+def _chosen_blocks(k: Column) -> Column:
+    """How many of the first k blocks of a shard are taken once more: block b is one if this rises from b to b + 1."""
+    return F.floor((k * F.col("_rest") + F.col("_from")) / F.col("_n"))
+
+
+def mix_rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, _t, size, source_size, target, taken of every row; with the columns ``keep``, which order alike
+    rows, also these, the number of whole passes (_each), of words in the pass over some blocks (_some), the row's place
+    on its line (_lo) and what tells the chosen blocks (_rest, _from, _n)."""
+    dealt, shards = _placed(stored(_measured(docs, *keep), "sizes"), *keep)
     n = F.greatest(F.ceil(F.col("shard_size") / BLOCK), F.lit(1)).cast("long")
     shards = shards.withColumn("_n", n).withColumn("_q", F.least(F.col("quota"), MOST * F.col("_n")))
     shards = shards.select(F.col("at").alias("_at"), F.col("shard").alias("_shard"), "_n", F.expr("_q div _n").alias("_each"), (F.col("_q") % F.col("_n")).alias("_rest"),
@@ -109,13 +117,14 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     df = dealt.join(shards, (F.col("at") == F.col("_at")) & (F.col("shard") == F.col("_shard")))
 
     def chosen(x: Column) -> Column:
-        """Tokens of the blocks chosen once more in front of token x: block b is one if the count rises from b to b+1."""
+        """Tokens of the blocks chosen once more in front of token x."""
         b = F.floor(x / BLOCK)
-        count = lambda k: F.floor((k * F.col("_rest") + F.col("_from")) / F.col("_n"))
-        return BLOCK * count(b) + (count(b + 1) - count(b)) * (x - BLOCK * b)
+        return BLOCK * _chosen_blocks(b) + (_chosen_blocks(b + 1) - _chosen_blocks(b)) * (x - BLOCK * b)
 
-    taken = F.col("_each") * F.col("size") + chosen(F.col("_hi")) - chosen(F.col("_hi") - F.col("size"))
-    return df.select("doc_id", "source", "_t", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"))
+    some = chosen(F.col("_hi")) - chosen(F.col("_hi") - F.col("size"))
+    taken = F.col("_each") * F.col("size") + some
+    more = [*keep, "_each", F.when(F.col("size") > 0, some).otherwise(0).cast("long").alias("_some"), (F.col("_hi") - F.col("size")).alias("_lo"), "_rest", "_from", "_n"] if keep else []
+    return df.select("doc_id", "source", "_t", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"), *more)
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -123,9 +132,24 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the mix takes words of, with ``mix_size``, ``mix_target`` and ``mix_taken`` added."""
-    # rows alike in id, source and text cannot be told apart: each gets the most that one of them takes
-    plan = (mix_rows(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_h"), F.col("source").alias("_s"))
-            .agg(F.first("size").alias("mix_size"), F.first("target").alias("mix_target"), F.max("taken").alias("mix_taken")))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.xxhash64("text") == F.col("_h"))
-    return docs.join(plan, on).drop("_id", "_h", "_s")
+    """What the mix takes of ``docs``: a row for each pass over a document, with ``mix_size`` (words of the document),
+    ``mix_target`` (words of its source) and ``mix_taken`` (words of this row) added. A pass over some blocks has in
+    ``text`` their words, each with the white space behind it, and ``n_chars``, where there is such a column, set to the
+    new length."""
+    packed = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_id")), "rows")
+    plan = (mix_rows(packed.select("_row.doc_id", "_row.source", "_row.text", "_id"), "_id").where("taken > 0")
+            .select("_id", F.col("size").alias("_size"), "target", "_each", "_some", "_lo", "_rest", "_from", "_n"))
+    whole = F.array_repeat(F.col("_size"), F.col("_each").cast("int"))
+    passes = F.when(F.col("_some") > 0, F.concat(whole, F.array("_some"))).otherwise(whole)
+    rows = packed.join(plan, "_id").withColumn("_taken", F.explode(passes))
+
+    def taken(_, i):
+        b = F.floor((F.col("_lo") + i) / BLOCK)
+        return _chosen_blocks(b + 1) > _chosen_blocks(b)
+
+    cut = F.col("_taken") < F.col("_size")
+    words = F.regexp_extract_all(F.col("_row.text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    rows = rows.withColumn("_new", computed(F.when(cut, F.array_join(F.filter(words, taken), "")).otherwise(F.col("_row.text"))))
+    columns = [F.col("_new").alias(c) if c == "text" else F.when(cut, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(f"_row.`{c}`")).alias(c)
+               if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return rows.select(*columns, F.col("_size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("_taken").alias("mix_taken"))

@@ -141,6 +141,32 @@ def test_mixture_rows(docs):
     assert out.where("mix_taken <= 0 OR mix_taken > 2 * mix_size").count() == 0
 
 
+def test_mixture_emits_what_it_takes(docs):
+    """Words a source has in the output against its target, and each row's text against the document's."""
+    rows = docs.select("doc_id", "text", "source").collect()
+    sizes, texts = defaultdict(int), defaultdict(set)
+    for r in rows:
+        sizes[r.source] += len(brute.words(r.text))
+        texts[(r.doc_id, r.source)].add(r.text)
+    got, emitted, passes = mixing.mixture(docs).collect(), defaultdict(int), Counter()
+    for r in got:
+        w = brute.words(r.text)
+        assert len(w) == r.mix_taken
+        emitted[r.source] += len(w)
+        passes[(r.doc_id, r.source, r.mix_size)] += 1
+        if r.mix_taken == r.mix_size:
+            assert r.text in texts[(r.doc_id, r.source)]
+        else:
+            left = [iter(brute.words(t)) for t in texts[(r.doc_id, r.source)]]
+            assert r.n_chars == len(r.text) and any(all(x in words for x in w) for words in left)
+    for source, target in brute.targets(sizes).items():
+        assert abs(emitted[source] - target) <= 3 * mixing.BLOCK
+    listed = Counter((r.doc_id, r.source, len(brute.words(r.text))) for r in rows)
+    assert all(n <= mixing.MOST * listed[k] for k, n in passes.items())
+    again = mixing.mix(docs).collect()
+    assert sum(r.mix_taken for r in got) == sum(r.taken for r in again)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_apportionment(spark, seed):
     import random
