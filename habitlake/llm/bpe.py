@@ -262,13 +262,9 @@ def _encoder(shared):
     def make():
         encoder, memo = Encoder(*shared.value), {}
 
-        def block(starts, ends, buf) -> list[bytes]:
+        def block(w, lo, hi) -> list[bytes]:
             """Packed ids of each word of a block."""
-            size = ends - starts
-            offs = np.concatenate([[0], np.cumsum(size)])
-            flat = buf[np.repeat(starts - offs[:-1], size) + np.arange(offs[-1])]
-            column = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(flat)])
-            coded = column.dictionary_encode()
+            coded = w.column(np.arange(lo, hi)).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
             if len(memo) > MEMO:
                 memo.clear()
@@ -286,7 +282,7 @@ def _encoder(shared):
                 owner = w.docs()
                 for lo in range(0, len(w.starts), BLOCK):
                     hi = min(lo + BLOCK, len(w.starts))
-                    packed = block(w.starts[lo:hi], w.ends[lo:hi], buf)
+                    packed = block(w, lo, hi)
                     a, b = owner[lo], owner[hi - 1]
                     cuts = np.clip(w.first[a:b + 2] - lo, 0, hi - lo).tolist()
                     for d in range(a, b + 1):

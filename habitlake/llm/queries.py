@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, divergence, jaccard, language, licenses, mixing, pii, repeats, suffixes, tokens, votes
+from . import bpe, collocations, conversations, divergence, jaccard, language, licenses, mixing, pii, repeats, suffixes, tokens, votes
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -60,7 +64,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_divergence, op3_repeats, op4_contamination, op5_jaccard, op6_mixture, op7_language, op8_licenses, op9_quality, op10_tokens,
-                                   op12_repair, op13_bpe)}
+                                   op11_collocations, op12_repair, op13_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -85,6 +85,13 @@ class Words:
             np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], out=total[1:])
             return splitmix((total[self.ends] - total[self.starts]) * down[self.starts])
 
+    def column(self, at: np.ndarray) -> pa.Array:
+        """The words at the given places, as an Arrow column of bytes."""
+        starts, size = self.starts[at], self.ends[at] - self.starts[at]
+        offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        flat = self.buf[np.repeat(starts - offs[:-1], size) + np.arange(offs[-1])]
+        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(flat)])
+
     def word(self, i: int) -> bytes:
         return self.buf[self.starts[i]:self.ends[i]].tobytes()
 
