@@ -75,6 +75,8 @@ def _blocks(texts: pa.Array, langs: pa.Array, n: int) -> Iterator[tuple[Words, n
 def _phrases(w: Words, lang: np.ndarray, joined: np.ndarray, begin: int, n: int, bits: np.ndarray | None, hashes: list) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(language, phrase, count) of the distinct phrases of n words that begin in the block and pass the filter."""
     total = len(w.starts)
+    if total < n:
+        return np.zeros(0, np.int64), pa.array([], pa.large_string()), np.zeros(0, np.int64)
     ok = np.zeros(total, bool)
     ok[:max(min(begin, total - n + 1), 0)] = True
     for j in range(n - 1):
