@@ -37,7 +37,7 @@ from .words import LOWER, Words, ngram_hashes, split_words, splitmix, text_chunk
 
 THRESHOLD, TOP, MAX_WORDS = 100, 2000, 5
 #: bytes of text and words taken at once
-CHUNK, BLOCK = 1 << 23, 1 << 20
+CHUNK, BLOCK = 1 << 22, 1 << 19
 #: bits of the table of frequent parts, and of one block of it as it is put together
 FILTER_BITS, FILTER_BLOCK = 1 << 27, 1 << 16
 BREAK = np.zeros(256, bool)
