@@ -3,8 +3,8 @@
 The reference handles one request at a time and asks an external chat
 model twice per text. Here a batch of requests is one DataFrame: regex
 extraction runs as JVM expressions per row, matching is an equi-join on
-user_id with a residual test, and the daily minutes cap is one ordered
-fold per user-day.
+user_id with a residual test, and the daily minutes cap is one count per
+user-day along sorted rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import DAILY_MINUTES_CAP, score_points
+from ..functions.ids import new_id
 from ..sources.fixtures import DEFAULT_CATALOG
 
 # Fixed value: the extraction pattern the reference applies to the model's
@@ -127,67 +128,48 @@ def classify_matches(matched: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- I5 ----
-# User-days above this many logs take the sliced path. The JVM fold appends
-# one decision per step (an array copy), so its cost grows with the square of
-# the group size; past a few thousand rows the linear sliced path is cheaper.
-HOT_USER_DAY_ROWS = 2_000
-
-
 def daily_cap_admission(logs: DataFrame, cap: int = DAILY_MINUTES_CAP, keep: tuple[str, ...] = (),
-                        hot_rows: int | None = HOT_USER_DAY_ROWS, checkpoint_input: bool = False) -> DataFrame:
-    """In (logged_at, id) order per user-day accept a log iff accepted
-    minutes + duration ≤ cap; a rejected log adds nothing. Rows with
+                        order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """In (logged_at, ``order``) order per user-day accept a log iff
+    accepted minutes + duration ≤ cap; a rejected log adds nothing. Rows with
     ``forced`` true (already stored logs) always count and are always
-    accepted. Columns in ``keep`` ride along with each row.
-
-    Not a window sum: the state depends on earlier decisions. A user-day
-    of at most ``hot_rows`` logs is one sorted array folded by the
-    higher-order ``aggregate`` inside the JVM (one shuffle on (user, day)).
-    Larger user-days — found with a partial count per user-day — go through
-    :mod:`.admission`, which slices them by row count across tasks. The
-    count runs before the plan is built; when ``logs`` is itself an
-    expensive plan, ``checkpoint_input`` writes it once (reliably, to the
-    shared checkpoint folder) so the count and the fold read the same rows
-    instead of computing them twice."""
-    forced = F.col("forced") if "forced" in logs.columns else F.lit(False)
-    base = logs.select("id", "user_id", F.to_date("logged_at").alias("day"), "logged_at",
-                       F.col("duration").cast("bigint").alias("d"), forced.alias("f"), *keep)
-    if hot_rows is None:
-        return _fold(base, cap, keep)
-    if checkpoint_input:
-        base = base.checkpoint()
-    sizes = base.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_rows)
-    n_hot, hot_total = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()  # two numbers to the driver
-    if not n_hot:
-        return _fold(base, cap, keep)
-    keys = hot.select("user_id", "day")
-    from .admission import admit_hot
-    cold = _fold(base.join(keys, ["user_id", "day"], "left_anti"), cap, keep)
-    warm = admit_hot(base.join(keys, ["user_id", "day"], "left_semi"), cap, int(hot_total))
-    return cold.unionByName(warm.select(*cold.columns))
-
-
-def _fold(base: DataFrame, cap: int, keep: tuple[str, ...]) -> DataFrame:
-    rows = base.select("user_id", "day", F.struct("logged_at", "id", "d", "f", *keep).alias("r"))
-    grp = rows.groupBy("user_id", "day").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    # the fold keeps one decision per row, in row order; rows rejoin their
-    # payload by position afterwards
-    init = F.struct(F.lit(0).cast("bigint").alias("acc"), F.array().cast("array<bigint>").alias("after"))
-
-    def step(s, x):
-        ok = x["f"] | (s["acc"] + x["d"] <= cap)
-        acc = F.when(ok, s["acc"] + x["d"]).otherwise(s["acc"])
-        mark = F.when(ok, acc).otherwise(-acc - 1)  # sign carries the decision
-        return F.struct(acc.alias("acc"), F.concat(s["after"], F.array(mark)).alias("after"))
-
-    folded = grp.select("user_id", "day", "rs", F.aggregate("rs", init, step)["after"].alias("after"))
-    z = F.arrays_zip(F.col("rs").alias("r"), F.col("after").alias("a"))
-    out = folded.select("user_id", "day", F.explode(z).alias("z"))
-    return out.select("user_id", "day", F.col("z.r.id").alias("id"), (F.col("z.a") >= 0).alias("accepted"),
-                      F.when(F.col("z.a") >= 0, F.col("z.a")).otherwise(-F.col("z.a") - 1).alias("minutes_after"),
-                      F.col("z.r.logged_at").alias("logged_at"), F.col("z.r.f").alias("forced"),
-                      F.col("z.r.d").alias("d"), *[F.col(f"z.r.{k}").alias(k) for k in keep])
+    accepted; a NULL duration adds nothing and is accepted within the cap.
+    Columns in ``keep`` ride along with each row.
+
+    Not a window sum: the state depends on earlier decisions. One shuffle on
+    (user, day) and a sort inside each task put every user-day in order; the
+    rows then stream past one running count per user-day. Nothing is
+    gathered, so a user-day of any size takes the memory of one batch, and
+    all user-days take the same path."""
+    forced = F.coalesce("forced", F.lit(False)) if "forced" in logs.columns else F.lit(False)
+    kept = [c for c in dict.fromkeys((*order, *keep)) if c not in ("id", "user_id", "logged_at")]
+    rows = logs.select("id", "user_id", F.to_date("logged_at").alias("day"), "logged_at",
+                       F.col("duration").cast("bigint").alias("d"), forced.alias("forced"), *kept)
+    runs = rows.repartition("user_id", "day").sortWithinPartitions("user_id", "day", "logged_at", *order)
+    schema = T.StructType(rows.schema.fields + [T.StructField("accepted", T.BooleanType()), T.StructField("minutes_after", T.LongType())])
+    out = runs.mapInArrow(_admitter(cap, [rows.columns.index(c) for c in ("user_id", "day", "d", "forced")]), schema)
+    return out.select("user_id", "day", "id", "accepted", "minutes_after", "logged_at", "forced", "d",
+                      *[c for c in keep if c in kept])
+
+
+def _admitter(cap: int, at: list[int]):
+    """Decisions along a task's sorted rows: one count, started anew with each user-day."""
+    def run(batches):
+        import pyarrow as pa
+        key, minutes = None, 0
+        for b in batches:
+            accepted, after = [], []
+            for user, day, d, forced in zip(*[b.column(i).to_pylist() for i in at]):
+                if (user, day) != key:
+                    key, minutes = (user, day), 0
+                ok = forced or minutes + (d or 0) <= cap
+                if ok:
+                    minutes += d or 0
+                accepted.append(ok)
+                after.append(minutes)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())],
+                                             names=[*b.schema.names, "accepted", "minutes_after"])
+    return run
 
 
 # ---------------------------------------------------------------- I6 ----
@@ -204,17 +186,18 @@ def ingest_structured_logs(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind 'specific' (activity_id given), 'one_time' (activity_id NULL, the
     name ignored) or 'new' (a 'custom' activity is created too). Points use
     the request's rate; no cap check on this path. Ids derive from the
-    request id, so a replayed batch writes the same rows."""
+    request id (see ``functions.ids``), so a replayed batch writes the same
+    rows; given activity ids are kept as they are, as text."""
     r = requests.withColumn(
         "kind", F.when(F.col("activity_id").isNotNull(), F.lit("specific"))
         .when(F.col("one_time") == "true", F.lit("one_time")).otherwise(F.lit("new")))
-    new_id = F.col("id") * 10 + 1_000_000_000_000
+    made = new_id("activity", "id")
     new_acts = r.where(F.col("kind") == "new").select(
-        new_id.alias("id"), "user_id", F.col("activity_name").alias("name"),
+        made.alias("id"), "user_id", F.col("activity_name").alias("name"),
         F.col("activity_points").alias("points"), F.lit("custom").alias("activity_type"))
-    act = (F.when(F.col("kind") == "specific", F.col("activity_id").cast("bigint"))
-           .when(F.col("kind") == "new", new_id))
-    logs = r.select("id", "user_id", act.alias("activity_id"), F.col("activity_duration").alias("duration"),
+    act = (F.when(F.col("kind") == "specific", F.col("activity_id"))
+           .when(F.col("kind") == "new", made))
+    logs = r.select(new_id("log", "id").alias("id"), F.col("id").alias("request_id"), "user_id", act.alias("activity_id"), F.col("activity_duration").alias("duration"),
                     score_points(F.col("activity_duration"), F.col("activity_points")).alias("points"),
                     "activity_description", "logged_at", "kind")
     return new_acts, logs
@@ -227,5 +210,5 @@ def seed_default_catalog(users: DataFrame) -> DataFrame:
     cat = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("name"), F.lit(p).alias("points"))
                     for k, (n, p) in enumerate(DEFAULT_CATALOG)])
     return (users.where(F.col("set_default")).select(F.col("id").alias("user_id"), F.inline(cat))
-            .select((F.col("user_id") * 10 + F.col("k")).alias("id"), "user_id", "name", "points",
+            .select(new_id("default_activity", "user_id", "k").alias("id"), "user_id", "name", "points",
                     F.lit("default").alias("activity_type")))

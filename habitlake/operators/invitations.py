@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import running_sum
+from .teams import membership_id
 
 
 def inbox(invitations: DataFrame, teams: DataFrame) -> DataFrame:
@@ -42,13 +43,13 @@ def apply_responses(invitations: DataFrame, memberships: DataFrame,
                     responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """V4: 'accept' adds a (team, user) membership unless one exists (the
     reference ignores that insert error); both answers delete the
-    invitation."""
+    invitation. Ids are text, as new ones are hashes of (team, user)."""
     done = responses.select(F.col("invitation_id").alias("id")).distinct()
     remaining = invitations.join(done, "id", "left_anti")
     acc = (responses.where(F.col("response") == "accept").select("team_id", "user_id").distinct()
            .join(memberships.select("team_id", "user_id"), ["team_id", "user_id"], "left_anti"))
-    new = acc.select((F.col("user_id") * 100 + F.col("team_id")).alias("id"), "team_id", "user_id")
-    return remaining, memberships.select("id", "team_id", "user_id").unionByName(new)
+    new = acc.select(membership_id("team_id", "user_id").alias("id"), "team_id", "user_id")
+    return remaining, memberships.select(F.col("id").cast("string").alias("id"), "team_id", "user_id").unionByName(new)
 
 
 def create_invitations(requests: DataFrame) -> DataFrame:

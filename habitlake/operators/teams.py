@@ -13,9 +13,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import new_id
+
 OWNER = "owner"  # fixed value: the reference's owner role name
 
 
+# ids of new rows, by the natural keys that are unique in their tables
+def membership_id(team, user):
+    return new_id("membership", team, user)
+
+
+def role_id(team, name):
+    return new_id("team_role", team, name)
+
+
+def assignment_id(membership, role):
+    return new_id("assignment", membership, role)
+
+
 def membership_roles(tur: DataFrame, roles: DataFrame) -> DataFrame:
     """(team_membership_id, role_id, role_name) for every assignment."""
     return tur.join(roles.select(F.col("id").alias("role_id"), "role_name"), "role_id")
@@ -124,17 +139,17 @@ def unassigned_roles(requests: DataFrame, memberships: DataFrame, tur: DataFrame
 
 def bootstrap_teams(requests: DataFrame) -> dict[str, DataFrame]:
     """One team request → team, its 'owner' role, the creator's
-    membership and the owner assignment. Ids derive from the request id,
-    so replaying a batch writes the same rows."""
+    membership and the owner assignment. Ids derive from the request id and
+    from natural keys (see ``functions.ids``), so replaying a batch writes
+    the same rows."""
     r = requests.select("request_id", "name", "team_industry", "team_size", "is_private", "created_by")
-    tid = F.col("request_id") + F.lit(1_000_000)
+    tid = new_id("team", "request_id")
+    role, mem = role_id(tid, F.lit(OWNER)), membership_id(tid, F.col("created_by"))
     teams = r.select(tid.alias("id"), "name", "team_industry", "team_size", "is_private", "created_by")
-    roles = r.select((tid * 10).alias("id"), F.lit(OWNER).alias("role_name"), tid.alias("team_id"))
-    mems = r.select((F.col("created_by") * 10_000_000 + tid).alias("id"), tid.alias("team_id"),
+    roles = r.select(role.alias("id"), F.lit(OWNER).alias("role_name"), tid.alias("team_id"))
+    mems = r.select(mem.alias("id"), tid.alias("team_id"),
                     F.col("created_by").alias("user_id"))
-    tur = r.select(((F.col("created_by") * 10_000_000 + tid) * 10).alias("id"),
-                   (F.col("created_by") * 10_000_000 + tid).alias("team_membership_id"),
-                   (tid * 10).alias("role_id"))
+    tur = r.select(assignment_id(mem, role).alias("id"), mem.alias("team_membership_id"), role.alias("role_id"))
     return {"teams": teams, "team_roles": roles, "team_memberships": mems, "team_user_roles": tur}
 
 
@@ -146,7 +161,7 @@ def assign_roles(requests: DataFrame, existing: DataFrame) -> tuple[DataFrame, D
           .dropDuplicates(["team_membership_id", "role_id"]))
     keys = existing.select("team_membership_id", "role_id")
     new = ex.join(keys, ["team_membership_id", "role_id"], "left_anti").select(
-        (F.col("team_membership_id") * 10 + F.col("role_id") % 10).alias("id"), "team_membership_id", "role_id")
+        assignment_id("team_membership_id", "role_id").alias("id"), "team_membership_id", "role_id")
     conflicts = ex.join(keys, ["team_membership_id", "role_id"], "left_semi")
     return new, conflicts
 
@@ -159,7 +174,7 @@ def add_roles(requests: DataFrame, existing: DataFrame) -> tuple[DataFrame, Data
     first = requests.groupBy("team_id", "role_name").agg(F.min("request_id").alias("request_id"))
     known = existing.select("team_id", "role_name")
     new = first.join(known, ["team_id", "role_name"], "left_anti").select(
-        F.col("request_id").alias("id"), "role_name", "team_id")
+        role_id("team_id", "role_name").alias("id"), "role_name", "team_id")
     dup = (requests.join(first.withColumnRenamed("request_id", "_first"), ["team_id", "role_name"])
            .where(F.col("request_id") != F.col("_first"))
            .select("request_id", "team_id", "role_name", F.lit("duplicate in batch").alias("reason")))
@@ -170,5 +185,5 @@ def add_roles(requests: DataFrame, existing: DataFrame) -> tuple[DataFrame, Data
 
 def add_team_activities(requests: DataFrame) -> DataFrame:
     """Append team activities (no unique key on this table)."""
-    return requests.select(F.col("request_id").alias("id"), "team_id", "activity_name", "points", "created_at",
+    return requests.select(new_id("team_activity", "request_id").alias("id"), "team_id", "activity_name", "points", "created_at",
                            F.col("created_at").alias("updated_at"), "activity_roles")

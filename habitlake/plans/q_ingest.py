@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.ids import new_id_sql
 from ..operators import ingest as I
 from ..operators import reports as R
 from ..session import ensure_checkpoint_dir
@@ -126,8 +127,8 @@ _KIND = ("CASE WHEN activity_id IS NOT NULL THEN 'specific' WHEN one_time = 'tru
 
 @register("ingest_logs", f"""
 WITH {_REQ}, k AS (SELECT *, {_KIND} AS kind FROM good)
-SELECT id, user_id, CASE WHEN kind = 'specific' THEN CAST(activity_id AS BIGINT)
-  WHEN kind = 'new' THEN id * 10 + 1000000000000 END AS activity_id,
+SELECT {new_id_sql('log', 'id')} AS id, id AS request_id, user_id, CASE WHEN kind = 'specific' THEN activity_id
+  WHEN kind = 'new' THEN {new_id_sql('activity', 'id')} END AS activity_id,
  activity_duration AS duration,
  CAST(round(CAST(activity_duration AS DOUBLE) * (CAST(activity_points AS DOUBLE) / 60.0)) AS INTEGER) AS points,
  activity_description, logged_at, kind FROM k""", ("requests_json",))
@@ -137,14 +138,14 @@ def _i6(fx):
 
 @register("ingest_new_activities", f"""
 WITH {_REQ}, k AS (SELECT *, {_KIND} AS kind FROM good)
-SELECT id * 10 + 1000000000000 AS id, user_id, activity_name AS name, activity_points AS points,
+SELECT {new_id_sql('activity', 'id')} AS id, user_id, activity_name AS name, activity_points AS points,
  'custom' AS activity_type FROM k WHERE kind = 'new'""", ("requests_json",))
 def _i6a(fx):
     return I.ingest_structured_logs(_requests(fx)[0])[0]
 
 
-@register("seed_default_catalog", """
-SELECT u.id * 10 + r.k AS id, u.id AS user_id, r.name, r.points, 'default' AS activity_type
+@register("seed_default_catalog", f"""
+SELECT {new_id_sql('default_activity', 'u.id', 'r.k')} AS id, u.id AS user_id, r.name, r.points, 'default' AS activity_type
 FROM users u, activity_rates r WHERE u.google_id IS NULL""", ("users", "activity_rates"))
 def _i8(fx):
     return I.seed_default_catalog(fx.users.withColumn("set_default", F.col("google_id").isNull()))
@@ -160,17 +161,17 @@ def _text_logs(fx):
 
 
 _I7 = f"""WITH RECURSIVE {_MATCH},
-cand AS (SELECT {text_log.NEW_LOG_ID_BASE} + m.id * 100 + m.pos AS id, m.user_id, h.activity_id,
+cand AS (SELECT {new_id_sql('text_log', 'm.id', 'm.pos')} AS id, true AS is_new, m.id AS text_id, m.pos, m.user_id, h.activity_id,
    CAST(m.duration AS INTEGER) AS duration,
    CAST(round(CAST(m.duration AS DOUBLE) * (CAST(a.points AS DOUBLE) / 60.0)) AS INTEGER) AS points,
    t.text AS activity_description, e.ts AS logged_at
    FROM m JOIN hits h ON h.id = m.id AND h.activity = m.activity JOIN user_activities a ON a.id = h.activity_id
    JOIN extracted_texts t ON t.id = m.id JOIN events e ON e.event_id = m.id WHERE m.n_matched = 1),
 cdays AS (SELECT DISTINCT user_id, CAST(logged_at AS DATE) AS day FROM cand),
-allrows AS (SELECT id, user_id, logged_at, CAST(duration AS BIGINT) AS d, false AS forced FROM cand
-   UNION ALL SELECT l.id, l.user_id, l.logged_at, CAST(l.duration AS BIGINT), true FROM user_activity_logs l
+allrows AS (SELECT id, is_new, text_id, pos, user_id, logged_at, CAST(duration AS BIGINT) AS d, false AS forced FROM cand
+   UNION ALL SELECT CAST(l.id AS VARCHAR), false, l.id, 0, l.user_id, l.logged_at, CAST(l.duration AS BIGINT), true FROM user_activity_logs l
    JOIN cdays c ON c.user_id = l.user_id AND c.day = CAST(l.logged_at AS DATE)),
-o AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(logged_at AS DATE) ORDER BY logged_at, id) AS rn,
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(logged_at AS DATE) ORDER BY logged_at, is_new, text_id, pos) AS rn,
    CAST(logged_at AS DATE) AS day FROM allrows),
 r AS (SELECT id, user_id, day, rn, forced OR d <= 1440 AS accepted, CASE WHEN forced OR d <= 1440 THEN d ELSE 0 END AS acc
    FROM o WHERE rn = 1

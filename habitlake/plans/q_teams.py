@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ids import new_id_sql
 from ..operators import feedback as B
 from ..operators import invitations as V
 from ..operators import teams as T
@@ -113,6 +114,10 @@ _BOOT_REQ = """SELECT c_custkey AS request_id, concat('team ', c_name) AS name,
 FROM customer WHERE c_mktsegment = 'BUILDING'"""
 
 
+_BOOT_IDS = f"""breq AS ({_BOOT_REQ}), bteam AS (SELECT *, {new_id_sql('team', 'request_id')} AS tid FROM breq),
+i AS (SELECT *, {new_id_sql('team_role', 'tid', "'owner'")} AS rid, {new_id_sql('membership', 'tid', 'created_by')} AS mid FROM bteam)"""
+
+
 def _boot_requests(fx):
     return fx.customer.where(F.col("c_mktsegment") == "BUILDING").select(
         F.col("c_custkey").alias("request_id"), F.concat(F.lit("team "), "c_name").alias("name"),
@@ -121,25 +126,23 @@ def _boot_requests(fx):
 
 
 @register("bootstrap_teams", f"""
-WITH r AS ({_BOOT_REQ})
-SELECT 'team' AS kind, request_id + 1000000 AS id, request_id + 1000000 AS team_id, created_by AS ref_id, name AS label FROM r
-UNION ALL SELECT 'role', (request_id + 1000000) * 10, request_id + 1000000, NULL, 'owner' FROM r
-UNION ALL SELECT 'membership', created_by * 10000000 + request_id + 1000000, request_id + 1000000, created_by, NULL FROM r
-UNION ALL SELECT 'assignment', (created_by * 10000000 + request_id + 1000000) * 10, request_id + 1000000,
- (request_id + 1000000) * 10, NULL FROM r""", ())
+WITH {_BOOT_IDS}
+SELECT 'team' AS kind, tid AS id, tid AS team_id, CAST(created_by AS VARCHAR) AS ref_id, name AS label FROM i
+UNION ALL SELECT 'role', rid, tid, NULL, 'owner' FROM i
+UNION ALL SELECT 'membership', mid, tid, CAST(created_by AS VARCHAR), NULL FROM i
+UNION ALL SELECT 'assignment', {new_id_sql('assignment', 'mid', 'rid')}, NULL, rid, mid FROM i""", ())
 def _t9(fx):
     out = T.bootstrap_teams(_boot_requests(fx))
     n = F.lit(None)
     return (out["teams"].select(F.lit("team").alias("kind"), "id", F.col("id").alias("team_id"),
-                                F.col("created_by").alias("ref_id"), F.col("name").alias("label"))
+                                F.col("created_by").cast("string").alias("ref_id"), F.col("name").alias("label"))
             .unionByName(out["team_roles"].select(F.lit("role").alias("kind"), "id", "team_id",
-                                                  n.cast("bigint").alias("ref_id"), F.col("role_name").alias("label")))
+                                                  n.cast("string").alias("ref_id"), F.col("role_name").alias("label")))
             .unionByName(out["team_memberships"].select(F.lit("membership").alias("kind"), "id", "team_id",
-                                                        F.col("user_id").alias("ref_id"), n.cast("string").alias("label")))
+                                                        F.col("user_id").cast("string").alias("ref_id"), n.cast("string").alias("label")))
             .unionByName(out["team_user_roles"].select(
-                F.lit("assignment").alias("kind"), "id",
-                (F.col("role_id") / 10).cast("bigint").alias("team_id"), F.col("role_id").alias("ref_id"),
-                n.cast("string").alias("label"))))
+                F.lit("assignment").alias("kind"), "id", n.cast("string").alias("team_id"), F.col("role_id").alias("ref_id"),
+                F.col("team_membership_id").alias("label"))))
 
 
 def _assign_requests(fx):
@@ -155,7 +158,7 @@ _ASSIGN = """req AS (SELECT DISTINCT tm.id AS team_membership_id, tr.id AS role_
 
 @register("assign_roles", f"""
 WITH {_ASSIGN}
-SELECT team_membership_id * 10 + role_id % 10 AS id, team_membership_id, role_id FROM req r
+SELECT {new_id_sql('assignment', 'team_membership_id', 'role_id')} AS id, team_membership_id, role_id FROM req r
 WHERE NOT EXISTS (SELECT 1 FROM team_user_roles t WHERE t.team_membership_id = r.team_membership_id AND t.role_id = r.role_id)""",
           _TM)
 def _t10(fx):
@@ -185,7 +188,7 @@ def _role_requests(fx):
 
 @register("add_roles", f"""
 WITH req AS ({_ROLE_REQ}), first AS (SELECT team_id, role_name, MIN(request_id) AS request_id FROM req GROUP BY 1, 2)
-SELECT request_id AS id, role_name, team_id FROM first f
+SELECT {new_id_sql('team_role', 'team_id', 'role_name')} AS id, role_name, team_id FROM first f
 WHERE NOT EXISTS (SELECT 1 FROM team_roles r WHERE r.team_id = f.team_id AND r.role_name = f.role_name)""",
           ("team_roles",))
 def _t11(fx):
@@ -204,21 +207,21 @@ def _t11c(fx):
     return T.add_roles(_role_requests(fx), fx.team_roles)[1]
 
 
-@register("add_team_activities", """
-SELECT p_partkey + 10000000 AS id, p_partkey % 25 AS team_id, concat('new ', p_brand) AS activity_name,
+@register("add_team_activities", f"""
+SELECT {new_id_sql('team_activity', 'p_partkey')} AS id, p_partkey % 25 AS team_id, concat('new ', p_brand) AS activity_name,
  CAST(p_size % 11 - 5 AS INTEGER) AS points, DATE '2024-02-01' AS created_at, DATE '2024-02-01' AS updated_at,
  p_container_roles AS roles
 FROM (SELECT *, CASE WHEN p_size > 25 THEN '1-URGENT' ELSE '' END AS p_container_roles FROM part)""", ())
 def _t11a(fx):
-    p = fx.part
-    req = p.select((F.col("p_partkey") + 10_000_000).alias("request_id"), (F.col("p_partkey") % 25).alias("team_id"),
-                   F.concat(F.lit("new "), "p_brand").alias("activity_name"),
-                   (F.col("p_size") % 11 - 5).cast("int").alias("points"),
-                   F.expr("DATE '2024-02-01'").alias("created_at"),
-                   F.when(F.col("p_size") > 25, F.array(F.lit("1-URGENT"))).otherwise(F.array().cast("array<string>"))
-                   .alias("activity_roles"))
-    return T.add_team_activities(req).select("id", "team_id", "activity_name", "points", "created_at", "updated_at",
-                                             F.array_join("activity_roles", ",").alias("roles"))
+    return T.add_team_activities(_activity_requests(fx)).select(
+        "id", "team_id", "activity_name", "points", "created_at", "updated_at", F.array_join("activity_roles", ",").alias("roles"))
+
+
+def _activity_requests(fx):
+    return fx.part.select(
+        F.col("p_partkey").alias("request_id"), (F.col("p_partkey") % 25).alias("team_id"), F.concat(F.lit("new "), "p_brand").alias("activity_name"),
+        (F.col("p_size") % 11 - 5).cast("int").alias("points"), F.expr("DATE '2024-02-01'").alias("created_at"),
+        F.when(F.col("p_size") > 25, F.array(F.lit("1-URGENT"))).otherwise(F.array().cast("array<string>")).alias("activity_roles"))
 
 
 # ---- invitations ----
@@ -253,10 +256,10 @@ def _v4i(fx):
     return V.apply_responses(fx.team_invitations, fx.team_memberships, fx.invite_responses)[0]
 
 
-@register("apply_responses_memberships", """
-SELECT id, team_id, user_id FROM team_memberships
+@register("apply_responses_memberships", f"""
+SELECT CAST(id AS VARCHAR) AS id, team_id, user_id FROM team_memberships
 UNION ALL
-SELECT user_id * 100 + team_id, team_id, user_id FROM (SELECT DISTINCT team_id, user_id FROM invite_responses
+SELECT {new_id_sql('membership', 'team_id', 'user_id')}, team_id, user_id FROM (SELECT DISTINCT team_id, user_id FROM invite_responses
  WHERE response = 'accept') a
 WHERE NOT EXISTS (SELECT 1 FROM team_memberships m WHERE m.team_id = a.team_id AND m.user_id = a.user_id)""",
           ("team_memberships", "team_invitations", "invite_responses"))

@@ -56,7 +56,7 @@ def oracles() -> dict[str, str]:
     return {n: q.oracle for n, q in REGISTRY.items() if q.oracle}
 
 
-_MODULES = ("q_daily", "q_reports", "q_streaks", "q_goals", "q_ingest", "q_teams", "q_maintenance", "q_streaming")
+_MODULES = ("q_daily", "q_reports", "q_streaks", "q_goals", "q_ingest", "q_teams", "q_maintenance", "q_streaming", "q_ids")
 
 
 def _load():

@@ -8,13 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DAILY_MINUTES_CAP, score_points
+from ..functions.ids import new_id
 from ..operators import ingest as I
 from ..sources.sinks import to_log_responses
 
 
-# new log ids: a reserved range above every stored id, derived from (text id,
-# position) so a replayed batch writes the same rows
-NEW_LOG_ID_BASE = 3_000_000_000_000
 #: a longer duration counts as this one: over any cap either way
 MAX_INT = 2**31 - 1
 
@@ -29,12 +27,14 @@ def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms:
                       cap: int = DAILY_MINUTES_CAP, max_edits: int = 1) -> dict[str, DataFrame]:
     """``texts``: id, user_id, text, logged_at. Returns the accepted new
     logs, the cap-rejected candidates, per-text responses and the texts
-    rejected by extraction."""
+    rejected by extraction. Ids of new logs derive from (text id, position);
+    at one instant stored logs come before new ones, and those in order of
+    text and position."""
     pairs, rejects = I.extract_activities(
         texts.select("id", "user_id", "text", "logged_at", F.col("text").alias("description")))
     cls = I.classify_matches(I.match_activities(pairs, acts, synonyms, max_edits))
     cand = (cls.where(F.col("outcome") == "log")
-            .select((F.lit(NEW_LOG_ID_BASE) + F.col("id") * 100 + F.col("pos")).alias("id"), "user_id",
+            .select(new_id("text_log", "id", "pos").alias("id"), F.col("id").alias("text_id"), "pos", "user_id",
                     F.col("matched")[0]["activity_id"].alias("activity_id"),
                     F.least(F.col("duration").cast("bigint"), F.lit(MAX_INT)).cast("int").alias("duration"),
                     score_points(F.col("duration"), F.col("matched")[0]["points"]).alias("points"),
@@ -42,15 +42,16 @@ def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms:
     # only user-days that receive a candidate need their stored minutes
     days = cand.select("user_id", F.to_date("logged_at").alias("_day")).distinct()
     stored = (logs.withColumn("_day", F.to_date("logged_at")).join(days, ["user_id", "_day"], "left_semi")
-              .select("id", "user_id", "logged_at", "duration", F.lit(True).alias("forced"),
+              .select(F.col("id").cast("string").alias("id"), F.lit(False).alias("is_new"), F.col("id").alias("text_id"),
+                      F.lit(0).alias("pos"), "user_id", "logged_at", "duration", F.lit(True).alias("forced"),
                       F.lit(None).cast("bigint").alias("activity_id"), F.lit(None).cast("int").alias("points"),
                       F.lit(None).cast("string").alias("activity_description")))
-    keep = ("activity_id", "points", "activity_description")
+    keep = ("activity_id", "duration", "points", "activity_description")
     adm = I.daily_cap_admission(
-        cand.select("id", "user_id", "logged_at", "duration", F.lit(False).alias("forced"), *keep)
-        .unionByName(stored), cap, keep=keep + ("duration",), checkpoint_input=True)
-    decided = adm.where(~F.col("forced")).select("id", "user_id", "activity_id", "duration", "points",
-                                             "activity_description", F.col("logged_at"), "accepted", "minutes_after")
+        cand.select("id", F.lit(True).alias("is_new"), "text_id", "pos", "user_id", "logged_at",
+                    F.lit(False).alias("forced"), *keep).unionByName(stored),
+        cap, keep=keep, order=("is_new", "text_id", "pos"))
+    decided = adm.where(~F.col("forced")).select("id", "user_id", *keep, "logged_at", "accepted", "minutes_after")
     return {
         "accepted": decided.where("accepted").drop("accepted", "minutes_after"),
         "over_cap": decided.where(~F.col("accepted")).drop("accepted"),

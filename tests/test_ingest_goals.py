@@ -141,30 +141,23 @@ def test_requests_quarantine(spark):
     assert rows(bad, "id", "reason") == [(2, "decode error"), (3, "bad id")]
     g = good.withColumn("user_id", good.id).withColumn("logged_at", F.lit(ts("2024-01-01 00:00:00")))
     new_acts, logs = I.ingest_structured_logs(g)
-    assert rows(logs, "id", "kind", "activity_id", "points") == [(1, "one_time", None, 3), (4, "specific", 12, 1)]
+    assert rows(logs, "request_id", "kind", "activity_id", "points") == [(1, "one_time", None, 3), (4, "specific", "12", 1)]
     assert new_acts.count() == 0
 
 
-def test_cap_admission_sliced_path_matches_loop(spark):
-    """Force every user-day onto the sliced (hot) path and check it against
-    the loop; forced rows can push the total over the cap."""
-    from habitlake.operators import admission
+def test_cap_admission_of_large_days_matches_loop(spark):
+    """User-days of more than 10,000 logs with forced rows beyond the cap and
+    negative durations, over many batches, against a plain loop."""
     rnd = random.Random(5)
     items, forced = [], set()
-    for i in range(600):
-        at = dt.datetime(2024, 1, 1 + rnd.randrange(2), rnd.randrange(24), rnd.randrange(60), rnd.randrange(60))
-        items.append((at, i, rnd.randrange(2), rnd.choice([0, 5, 60, 300, 700, 1500])))
+    for i in range(25_000):
+        at = dt.datetime(2024, 1, 1 + i // 24_000, rnd.randrange(24), rnd.randrange(60), rnd.randrange(60))
+        items.append((at, i, rnd.randrange(2), rnd.choice([0, 5, 60, 300, -700, -90, 1500])))
         if rnd.random() < 0.1:
             forced.add(i)
     logs = df(spark, [(i, u, at, dur, i in forced) for at, i, u, dur in items],
               "id long, user_id long, logged_at timestamp_ntz, duration int, forced boolean")
-    old = admission.ROWS_PER_SLICE
-    admission.ROWS_PER_SLICE = 37  # many slices per user-day
-    try:
-        got = {r.id: (r.accepted, r.minutes_after) for r in I.daily_cap_admission(logs, hot_rows=10).collect()}
-        cold = {r.id: (r.accepted, r.minutes_after) for r in I.daily_cap_admission(logs, hot_rows=None).collect()}
-    finally:
-        admission.ROWS_PER_SLICE = old
+    got = {r.id: (r.accepted, r.minutes_after) for r in I.daily_cap_admission(logs).collect()}
     want, acc = {}, {}
     for at, i, u, dur in sorted(items, key=lambda x: (x[0], x[1])):
         k = (u, at.date())
@@ -173,7 +166,25 @@ def test_cap_admission_sliced_path_matches_loop(spark):
         acc[k] = a + dur if ok else a
         want[i] = (ok, acc[k])
     assert got == want
-    assert cold == want
+
+
+def test_cap_counts_stored_minutes_beyond_it(spark):
+    """Stored 2000 minutes, then -100, then 90: both later logs stay over the cap."""
+    logs = df(spark, [(1, 1, ts("2024-01-01 01:00:00"), 2000, True), (2, 1, ts("2024-01-01 02:00:00"), -100, False),
+                      (3, 1, ts("2024-01-01 03:00:00"), 90, False), (4, 1, ts("2024-01-02 00:00:00"), None, False),
+                      (5, 1, ts("2024-01-02 00:00:00"), 1440, None), (6, None, None, 1441, None)],
+              "id long, user_id long, logged_at timestamp_ntz, duration int, forced boolean")
+    assert rows(I.daily_cap_admission(logs), "id", "accepted", "minutes_after") == \
+        [(1, True, 2000), (2, False, 2000), (3, False, 2000), (4, True, 0), (5, True, 1440), (6, False, 0)]
+
+
+def test_new_ids_do_not_collide(spark):
+    """Neighbouring requests and places, kinds, and parts that join to the same text."""
+    from habitlake.functions.ids import new_id
+    pairs = df(spark, [(a, b) for a in [1, 2, 7, 10, 11, 73, 105, 205] for b in [1, 2, 3, 5, 11, 13, 105]], "a long, b long")
+    ids = pairs.select(F.explode(F.array(new_id("x", "a", "b"), new_id("y", "a", "b"), new_id("x1", "a", "b"))).alias("id"))
+    assert ids.distinct().count() == ids.count() == 3 * 56
+    assert ids.where(F.length("id") != 32).isEmpty()
 
 
 def test_goal_exactly_met_is_not_completed(spark):
@@ -195,10 +206,12 @@ def test_structured_logs_replay_same_ids(spark):
              "activity_points int, activity_duration int, activity_description string, one_time string")
     a1, l1 = I.ingest_structured_logs(req)
     a2, l2 = I.ingest_structured_logs(req)
+    made = a1.first()
     assert rows(a1, "id", "name", "activity_type") == rows(a2, "id", "name", "activity_type") == \
-        [(1_000_000_000_050, "Chess", "custom")]
-    assert rows(l1, "id", "activity_id", "points", "kind") == rows(l2, "id", "activity_id", "points", "kind") == \
-        [(5, 1_000_000_000_050, 3, "new"), (6, None, 2, "one_time")]
+        [(made["id"], "Chess", "custom")]
+    assert rows(l1, "id") == rows(l2, "id") and len(set(rows(l1, "id"))) == 2
+    assert rows(l1, "request_id", "activity_id", "points", "kind") == rows(l2, "request_id", "activity_id", "points", "kind") == \
+        [(5, made["id"], 3, "new"), (6, None, 2, "one_time")]
 
 
 def test_empty_documents_and_wide_ids_are_quarantined(spark):

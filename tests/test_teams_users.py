@@ -51,7 +51,7 @@ def test_assign_and_add_roles_conflicts(spark):
     assert rows(conf, "team_membership_id", "role_id") == [(2, 71), (2, 72)]
     rr = df(spark, [(1, 7, "C"), (2, 7, "C"), (3, 7, "A")], "request_id long, team_id long, role_name string")
     new, conf = T.add_roles(rr, roles)
-    assert rows(new, "id", "role_name") == [(1, "C")]
+    assert rows(new, "team_id", "role_name") == [(7, "C")]
     assert rows(conf, "request_id", "reason") == [(2, "duplicate in batch"), (3, "role exists")]
 
 
