@@ -79,7 +79,7 @@ def _g3(fx):
     return G.goal_status(fx.user_goals, t)
 
 
-@register("goal_reminders", f"""
+_G4_SQL = f"""
 WITH {_DG}, {_RUN}, {_REF},
 ev AS (SELECT user_id, CAST(created_at AS DATE) AS date, created_at AS at_ts, 1 AS is_start FROM user_goals
        UNION ALL SELECT user_id, date, logged_at, 1 FROM flips WHERE transition = 'uncompleted'
@@ -93,7 +93,10 @@ SELECT t.user_id, t.tick AS tick_at,
    AND CAST(l.logged_at AS DATE) = t.date AND l.logged_at <= t.tick), 0) AS BIGINT) AS total_points,
  COALESCE(g.goal_points, 0) AS goal_points
 FROM ticks t LEFT JOIN dg2 g ON g.user_id = t.user_id AND g.date = t.date
-WHERE t.tick < t.e""", _V)
+WHERE t.tick < t.e"""
+
+
+@register("goal_reminders", _G4_SQL, _V)
 def _g4(fx):
     t = G.goal_transitions(fx.user_activity_logs, fx.user_goals, "reference")
     return G.goal_reminders(fx.user_goals, t, fx.user_activity_logs)

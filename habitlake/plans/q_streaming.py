@@ -2,7 +2,8 @@
 
 Each one replays its input table as a file stream in event order (under
 the shared checkpoint location), drives the streaming query to the end of
-the input with an AvailableNow trigger, and returns the sink's table. The
+the input with an AvailableNow trigger (processors that wait for the watermark
+get a closing heartbeat row), and returns the sink's table. The
 oracle is the batch twin's SQL: the streamed result must equal it.
 """
 
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from ..streaming import runner
 from ..streaming import stateful as L
 from ..streaming import streams as S
-from .q_goals import _G2_SQL
+from ..streaming.ordered import with_heartbeat
+from .q_goals import _G2_SQL, _G4_SQL
+from .q_teams import _U4_SQL, _U4_VIEWS
 from .registry import AS_OF, register
 
 
@@ -72,13 +75,10 @@ def _l5(fx):
     return out.drop("batch_id")
 
 
-@register("reset_redeem_stream", """
-SELECT a.attempt_id, a.token, a.attempted_at, p.user_id FROM reset_attempts a JOIN password_reset p
-ON p.token = a.token AND a.attempted_at >= p.created_at AND a.attempted_at <= p.expires_at""",
-          ("reset_attempts", "password_reset"))
+@register("reset_redeem_stream", _U4_SQL, _U4_VIEWS)
 def _l6(fx):
-    out, _ = _run(fx, "l6", [(fx.reset_attempts, "attempted_at"), (fx.password_reset, "created_at")],
-                  S.reset_redeem_stream)
+    events = with_heartbeat(L.reset_events(fx.reset_attempts, fx.password_reset, fx.users), "at")
+    out, _ = _run(fx, "l6", [(events, "at")], L.reset_redeem_stream)
     return out.drop("batch_id")
 
 
@@ -96,7 +96,7 @@ def _l3(fx):
 
 
 def _goal_run(fx):
-    ev = L.goal_events(fx.user_activity_logs, fx.user_goals)
+    ev = with_heartbeat(L.goal_events(fx.user_activity_logs, fx.user_goals), "at")
     return _run(fx, "l2", [(ev, "at")], L.goal_stream)[0]
 
 
@@ -106,7 +106,7 @@ def _l2(fx):
             .select("user_id", "date", "id", F.col("at").alias("logged_at"), "transition"))
 
 
-@register("reminder_stream")
+@register("reminder_stream", _G4_SQL, ("user_activity_logs", "user_goals"))
 def _l4(fx):
     return (_goal_run(fx).where(F.col("kind") == "reminder")
             .select("user_id", F.col("at").alias("tick_at"), "total_points", "goal_points"))

@@ -316,7 +316,7 @@ def _u2(fx):
     return U.resolve_users(_keys(fx), fx.users)
 
 
-@register("redeem_resets", """
+_U4_SQL = """
 WITH r AS (SELECT pr.token, pr.expires_at, u.email FROM password_reset pr JOIN users u ON u.id = pr.user_id),
 a AS (SELECT a.attempt_id, a.token, a.attempted_at, r.expires_at, r.email FROM reset_attempts a LEFT JOIN r ON r.token = a.token),
 f AS (SELECT token, MIN(attempted_at) AS fa FROM a WHERE expires_at IS NOT NULL AND attempted_at <= expires_at GROUP BY token),
@@ -326,8 +326,11 @@ SELECT a.attempt_id, a.token, o.outcome, CASE WHEN o.outcome = 'valid' THEN a.em
 FROM a LEFT JOIN ff ON ff.token = a.token,
 LATERAL (SELECT CASE WHEN a.expires_at IS NULL THEN 'invalid'
   WHEN ff.token IS NOT NULL AND (a.attempted_at > ff.fa OR (a.attempted_at = ff.fa AND a.attempt_id > ff.fid)) THEN 'invalid'
-  WHEN a.attempted_at > a.expires_at THEN 'expired' ELSE 'valid' END AS outcome) o""",
-          ("password_reset", "users", "reset_attempts"))
+  WHEN a.attempted_at > a.expires_at THEN 'expired' ELSE 'valid' END AS outcome) o"""
+_U4_VIEWS = ("password_reset", "users", "reset_attempts")
+
+
+@register("redeem_resets", _U4_SQL, _U4_VIEWS)
 def _u4(fx):
     return U.redeem_resets(fx.password_reset, fx.reset_attempts, fx.users)
 

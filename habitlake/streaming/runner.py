@@ -25,30 +25,49 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def stage_in_event_order(df: DataFrame, ts_col: str, path: str, rows_per_file: int = 1_000_000,
                          min_files: int = 4) -> str:
-    """Replay helper: write ``df`` as successive appends of one file each,
-    cut at equal time ranges, so a file stream with one file per trigger
-    reads them in event order. The number of files grows with the row
-    count, keeping each file (one task) near ``rows_per_file`` rows. Only
-    the count and the min / max timestamps come to the driver."""
-    key = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
-    if not n:
-        df.limit(0).write.mode("append").parquet(path)
-        return path
-    n_files = max(min_files, -(-n // rows_per_file))
-    span = max((hi - lo) / n_files, 1)
-    bucket = F.least(F.floor((key - F.lit(lo)) / F.lit(span)), F.lit(n_files - 1))
-    tagged = df.withColumn("_b", bucket)
-    for b in range(n_files):
-        tagged.where(F.col("_b") == b).drop("_b").coalesce(1).write.mode("append").parquet(path)
+    """Replay helper: one distributed write of ``df`` into ``path``, in ranges
+    of event time of about equal row counts, one file each, so a file stream
+    reads them in event order. Rows of one instant may part. A file source
+    orders files by modification time, so the files' times are set in the
+    order of the ranges, after those staged before. Only a row count and the
+    list of files come to the driver."""
+    spark = df.sparkSession
+    n_files = max(min_files, -(-df.count() // rows_per_file))
+    batch = f"{path}/staged-{uuid.uuid4().hex}"
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])  # parts rows of one instant
+    df.repartitionByRange(n_files, F.col(ts_col), spread).write.parquet(batch)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    taken = [f.getModificationTime() for f in _files(fs, root) if not f.getPath().toString().startswith(batch)]
+    start = max([*taken, 0]) + 1000 if taken else 1_000_000_000_000
+    for i, f in enumerate(sorted(_files(fs, jvm.org.apache.hadoop.fs.Path(batch)), key=lambda f: f.getPath().getName())):
+        target = jvm.org.apache.hadoop.fs.Path(path, f"{batch.rsplit('/', 1)[1]}-{i:06d}.parquet")
+        fs.rename(f.getPath(), target)
+        fs.setTimes(target, start + 1000 * i, -1)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(batch), True)
     return path
 
 
+def _files(fs, path) -> list:
+    """Data files under a folder."""
+    found, it = [], fs.listFiles(path, True)
+    while it.hasNext():
+        f = it.next()
+        if f.getPath().getName().endswith(".parquet"):
+            found.append(f)
+    return found
+
+
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
             .parquet(path))
 
 
+#: provider of the state of ``transformWithState`` processors
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available_now(stream: DataFrame, mode: str, out_path: str, ckpt_path: str,
                       batch_fn=None) -> dict:
     """Drive ``stream`` to the end of its input (AvailableNow trigger) and
@@ -59,6 +78,8 @@ def run_available_now(stream: DataFrame, mode: str, out_path: str, ckpt_path: st
         b = batch_fn(batch, batch_id) if batch_fn else batch
         b.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt_path)
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -1,10 +1,10 @@
-"""L2–L4: stateful stream processors (``applyInPandasWithState``).
+"""Stateful stream processors.
 
-State is one small row per user: (day, running points, goal, tracker) for
-goals, (last day, current, longest) for streaks. Inside a micro-batch the
-rows of a user are sorted by event time before they are applied; results
-equal the batch twins (G2, G4, F2) when files arrive in event order. Rows
-behind the watermark are dropped by Spark before they reach the state.
+State is small: (points, goal, tracker) per user-day for goals, (expiry,
+used) per token, (last day, current, longest) per user for streaks, and the
+events that the watermark has not passed yet. Goals and tokens apply events
+in event order whatever order they arrive in (:mod:`.ordered`) and equal
+their batch twins (G2, G4, U4); streaks equal F2 when days arrive in order.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.exprs import REMINDER_EVERY_HOURS
+from .ordered import NEVER, InOrder
 
 _DAY_US = 86_400_000_000
 
@@ -61,71 +62,59 @@ GOAL_OUT = T.StructType([
     T.StructField("day_num", T.IntegerType()), T.StructField("id", T.LongType()),
     T.StructField("at_us", T.LongType()), T.StructField("transition", T.StringType()),
     T.StructField("total_points", T.LongType()), T.StructField("goal_points", T.IntegerType())])
-GOAL_STATE = T.StructType([
-    T.StructField("day", T.IntegerType()), T.StructField("total", T.LongType()),
-    T.StructField("goal", T.IntegerType()), T.StructField("goal_at", T.LongType()),
-    T.StructField("next_tick", T.LongType())])
-
-
-def _goal_fn_factory(every_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        uid = key[0]
-        day, total, goal, goal_at, nxt = state.get if state.exists else (None, 0, None, None, None)
-        out = []
-
-        def flush(limit_us):
-            # reminders of the running tracker strictly before limit_us (and the day end)
-            nonlocal nxt
-            if day is None:
-                return
-            end = min(limit_us, (day + 1) * _DAY_US)
-            while nxt is not None and nxt < end:
-                out.append(("reminder", uid, day, None, nxt, None, total, goal or 0))
-                nxt += every_us
-            if nxt is not None and nxt >= (day + 1) * _DAY_US:
-                nxt = None
-
-        if state.hasTimedOut:
-            flush(state.getCurrentWatermarkMs() * 1000)
-        else:
-            ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["at_us", "kind", "id"])
-            for at, kind, eid, pts in zip(ev["at_us"], ev["kind"], ev["id"], ev["points"]):
-                at, eid, pts = int(at), int(eid), int(pts)
-                d = at // _DAY_US
-                flush(at)
-                if day != d:
-                    day, total, goal, goal_at, nxt = d, 0, None, None, None
-                if kind == 0:  # a goal is set: it becomes the day's goal and (re)starts the tracker
-                    goal = pts
-                    goal_at = at if goal_at is None else goal_at
-                    nxt = at + every_us
-                    continue
-                after = total + pts
-                total = after
-                if goal is not None and goal > 0 and at >= goal_at:
-                    if after + pts > goal and not after > goal:
-                        out.append(("transition", uid, day, eid, at, "completed", total, goal))
-                        nxt = None
-                    elif goal > after + pts and after > goal:
-                        out.append(("transition", uid, day, eid, at, "uncompleted", total, goal))
-                        nxt = at + every_us
-        wake = nxt if nxt is not None else ((day + 1) * _DAY_US if day is not None else None)
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        if wake is None or (state.hasTimedOut and wake <= wm_us):
-            state.remove()  # the day is over: nothing left to remind or flip
-        else:
-            state.update((day, total, goal, goal_at, nxt))
-            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[f.name for f in GOAL_OUT.fields])
-    return fn
+GOAL_SET, LOGGED = 0, 1  # kinds of events
+
+
+class GoalDay(InOrder):
+    """One user-day: points so far, the day's goal, and the tracker's next tick."""
+
+    payload = (("points", "long"),)
+    memory = (("total", "long"), ("goal", "long"), ("goal_at", "long"), ("tick", "long"))
+    fresh = (0, -1, NEVER, NEVER)  # a negative goal: none set
+    out = tuple(f.name for f in GOAL_OUT.fields)
+
+    def __init__(self, every_us: int):
+        self.every_us = every_us
+
+    @staticmethod
+    def _end(key) -> int:
+        return (int(key[1]) + 1) * _DAY_US
+
+    def until(self, key, state, us, out):
+        total, goal, goal_at, tick = state
+        while tick < min(us, self._end(key)):
+            out.append(("reminder", key[0], key[1], None, tick, None, total, max(goal, 0)))
+            tick += self.every_us
+        return total, goal, goal_at, tick if tick < self._end(key) else NEVER
+
+    def apply(self, key, state, event, out):
+        total, goal, goal_at, tick = state
+        at, kind, eid, pts = event
+        if kind == GOAL_SET:  # it becomes the day's goal and (re)starts the tracker
+            return total, pts, min(goal_at, at), at + self.every_us
+        total += pts
+        if goal > 0:
+            if total + pts > goal and not total > goal:
+                out.append(("transition", key[0], key[1], eid, at, "completed", total, goal))
+                tick = NEVER
+            elif goal > total + pts and total > goal:
+                out.append(("transition", key[0], key[1], eid, at, "uncompleted", total, goal))
+                tick = at + self.every_us
+        return total, goal, goal_at, tick
+
+    def wake(self, key, state):
+        return state[3] + 1 if state[3] < NEVER else self._end(key)
+
+    def over(self, key, state, us):
+        return us >= self._end(key)
 
 
 def goal_events(logs: DataFrame, goals: DataFrame) -> DataFrame:
     """One event table of goals set (kind 0) and logs (kind 1) — the input
     of :func:`goal_stream`, batch or stream."""
-    return (goals.select("user_id", F.col("created_at").alias("at"), F.lit(0).alias("kind"), "id",
+    return (goals.select("user_id", F.col("created_at").alias("at"), F.lit(GOAL_SET).alias("kind"), "id",
                          F.col("goal_points").cast("bigint").alias("points"))
-            .unionByName(logs.select("user_id", F.col("logged_at").alias("at"), F.lit(1).alias("kind"), "id",
+            .unionByName(logs.select("user_id", F.col("logged_at").alias("at"), F.lit(LOGGED).alias("kind"), "id",
                                      F.col("points").cast("bigint").alias("points"))))
 
 
@@ -133,14 +122,84 @@ def goal_stream(events: DataFrame, late: str = "1 hour", every_hours: int = REMI
     """L2 + L4: goal status flips as logs arrive (reference mode, the twin
     of G2) and reminders every ``every_hours`` after a tracker starts (the
     twin of G4), from one event stream of goals and logs (see
-    :func:`goal_events`) keyed by user. Event-time timeouts emit reminders
-    once the watermark passes them and clear a user's state after the day
-    ends."""
+    :func:`goal_events`) keyed by user-day.
+
+    Events wait in state until the watermark has passed them and are applied
+    in event order (:mod:`.ordered`), so files may arrive in any order within
+    ``late``, and a late row of one day leaves every other day alone. State
+    is cleared when the watermark passes the end of the day."""
     ev = events.withColumn("et", F.col("at").cast("timestamp")).withWatermark("et", late).select(
-        "user_id", "et", F.unix_micros("et").alias("at_us"), "kind", "id", "points")
-    out = ev.groupBy("user_id").applyInPandasWithState(
-        _goal_fn_factory(every_hours * 3_600_000_000), GOAL_OUT, GOAL_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+        F.coalesce("user_id", F.lit(-1)).alias("user_id"), F.datediff(F.to_date("at"), F.lit("1970-01-01")).alias("day_num"),
+        "et", F.unix_micros("et").alias("at_us"), "kind", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("points", F.lit(0)).alias("points"))
+    out = ev.groupBy("user_id", "day_num").transformWithStateInPandas(
+        GoalDay(every_hours * 3_600_000_000), GOAL_OUT, "Append", "EventTime")
     return out.select("kind", "user_id", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day_num")).alias("date"),
                       "id", F.timestamp_micros("at_us").cast("timestamp_ntz").alias("at"), "transition",
                       "total_points", "goal_points")
+
+
+# ------------------------------------------------------------------ L6 ----
+RESET_OUT = T.StructType([T.StructField("attempt_id", T.LongType()), T.StructField("token", T.LongType()),
+                          T.StructField("outcome", T.StringType()), T.StructField("email", T.StringType())])
+RESET_SET, ATTEMPT = 0, 1  # kinds of events
+
+
+class TokenUse(InOrder):
+    """One token: until when it is good, whose it is, and whether it was used."""
+
+    payload = (("expires_us", "long"), ("email", "string"))
+    memory = (("expires_us", "long"), ("email", "string"), ("used", "int"))
+    fresh = (-NEVER, "", 0)  # no such token
+    out = tuple(f.name for f in RESET_OUT.fields)
+
+    def __init__(self, keep_us: int):
+        self.keep_us = keep_us
+
+    def until(self, key, state, us, out):
+        return state
+
+    def apply(self, key, state, event, out):
+        at, kind, eid, expires, email = event
+        if kind == RESET_SET:
+            return expires, email, 0
+        known, used = state[0] > -NEVER, state[2]
+        if not known or used:
+            out.append((eid, key[0], "invalid", None))
+        elif at > state[0]:
+            out.append((eid, key[0], "expired", None))
+        else:
+            out.append((eid, key[0], "valid", state[1]))
+            return state[0], state[1], 1
+        return state
+
+    def wake(self, key, state):
+        return state[0] + self.keep_us + 1 if state[0] > -NEVER else NEVER
+
+    def over(self, key, state, us):
+        return us > state[0] + self.keep_us
+
+
+def reset_events(attempts: DataFrame, resets: DataFrame, users: DataFrame) -> DataFrame:
+    """One event table of tokens issued (kind 0) and attempts (kind 1) — the
+    input of :func:`reset_redeem_stream`. Tokens carry their user's email;
+    a token whose user is gone is unknown."""
+    owner = users.select(F.col("id").alias("user_id"), "email")
+    return (resets.join(owner, "user_id").select("token", F.col("created_at").alias("at"), F.lit(RESET_SET).alias("kind"),
+                                                 F.lit(0).cast("bigint").alias("id"), "expires_at", "email")
+            .unionByName(attempts.select("token", F.col("attempted_at").alias("at"), F.lit(ATTEMPT).alias("kind"),
+                                         F.col("attempt_id").alias("id"), F.lit(None).cast("timestamp_ntz").alias("expires_at"),
+                                         F.lit(None).cast("string").alias("email"))))
+
+
+def reset_redeem_stream(events: DataFrame, late: str = "1 hour", keep_days: int = 30) -> DataFrame:
+    """Every reset attempt with its outcome (the twin of U4): 'valid' for
+    the first one in time, which uses the token up, 'expired', or 'invalid'
+    (unknown or used). State is one small row per token, in event order
+    (:mod:`.ordered`); it is kept ``keep_days`` beyond expiry, after which
+    the token counts as unknown."""
+    us = F.unix_micros(F.col("expires_at").cast("timestamp"))
+    ev = events.withColumn("et", F.col("at").cast("timestamp")).withWatermark("et", late).select(
+        F.coalesce("token", F.lit(-NEVER)).alias("token"), "et", F.unix_micros("et").alias("at_us"), "kind", F.coalesce("id", F.lit(-1)).alias("id"),
+        F.coalesce(us, F.lit(-NEVER)).alias("expires_us"), F.coalesce("email", F.lit("")).alias("email"))
+    out = ev.groupBy("token").transformWithStateInPandas(TokenUse(keep_days * _DAY_US), RESET_OUT, "Append", "EventTime")
+    return out.withColumn("token", F.nullif("token", F.lit(-NEVER)))

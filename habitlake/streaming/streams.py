@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the write path.
+"""Structured Streaming twins of the write path.
 
 The reference reacts to each insert (re-reading the day's totals) and pushes
 websocket notices. Here the same results come from streaming queries with
@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import RESET_TTL_MINUTES
-
 INVITE_MESSAGE = "Invite received"  # fixed value: the reference's websocket notice
 
 
@@ -51,15 +49,3 @@ def invite_notify_stream(invitations: DataFrame, connected: DataFrame, late: str
     c = connected.select(F.col("user_id").alias("recipient_id")).distinct()
     return inv.join(c, "recipient_id").select(
         F.col("id").alias("invitation_id"), "recipient_id", "team_id", F.lit(INVITE_MESSAGE).alias("message"))
-
-
-def reset_redeem_stream(attempts: DataFrame, resets: DataFrame, late: str = "1 hour",
-                        ttl_minutes: int = RESET_TTL_MINUTES) -> DataFrame:
-    """Stream-stream interval join of reset attempts with reset tokens:
-    ``token = token AND created_at <= attempted_at <= expires_at``. The
-    TTL bound lets both sides drop state after ``ttl + late``."""
-    a = event_time(attempts, "attempted_at").withWatermark("et", late).alias("a")
-    r = event_time(resets, "created_at").withWatermark("et", late).alias("r")
-    cond = F.expr(f"""a.token = r.token AND a.et >= r.et AND a.et <= r.et + INTERVAL {ttl_minutes} MINUTES
-        AND a.attempted_at <= r.expires_at""")
-    return a.join(r, cond, "inner").select("a.attempt_id", "a.token", "a.attempted_at", "r.user_id")
