@@ -83,34 +83,53 @@ def _norm(c):
     return F.lower(F.trim(c))
 
 
+_SEGMENT = "substring({s}, cast({m} * i div {parts} as int) + {d} + 1, cast({m} * (i + 1) div {parts} as int) - cast({m} * i div {parts} as int))"
+
+
+def _index_keys(name: str, edits: int):
+    """Keys that a catalog name is found by: itself, and its ``edits`` + 1 equal segments, one of which any string
+    within ``edits`` edits has unchanged."""
+    seg = _SEGMENT.format(s=name, m=f"length({name})", d=0, parts=edits + 1)
+    return F.expr(f"concat(array(struct(-1 as m, 0 as i, {name} as s)), transform(sequence(0, {edits}), i -> struct(length({name}) as m, i, {seg} as s)))")
+
+
+def _probe_keys(name: str, canons: str, edits: int):
+    """Keys that an extracted name looks under: itself and its synonyms whole, and, for every length within ``edits``
+    of its own, the substrings that can be the unchanged segment i: shifted by at most i from the left and by at most
+    ``edits`` - i from the right (the substring selection of the published Pass-Join algorithm). A few keys per name,
+    whatever its length."""
+    seg = _SEGMENT.format(s=name, m="m", d="d", parts=edits + 1)
+    low, high = (f"greatest(-i, length({name}) - m - ({edits} - i))", f"least(i, length({name}) - m + ({edits} - i))")
+    shifts = f"if({low} <= {high}, sequence({low}, {high}), cast(array() as array<int>))"
+    per = f"transform({shifts}, d -> struct(m, i, {seg} as s))"
+    near = f"flatten(flatten(transform(sequence(greatest(length({name}) - {edits}, 0), length({name}) + {edits}), m -> transform(sequence(0, {edits}), i -> {per}))))"
+    whole = f"transform(array_union(array({name}), coalesce({canons}, cast(array() as array<string>))), c -> struct(-1 as m, 0 as i, c as s))"
+    return F.expr(f"array_distinct(concat({whole}, {near}))" if edits > 0 else whole)
+
+
 def match_activities(extracted: DataFrame, acts: DataFrame, synonyms: DataFrame, max_edits: int = 1) -> DataFrame:
     """Match each extracted name against that user's catalog: equal
     after lower/trim, equal through the synonym table, or within
     ``max_edits`` edits. Replaces the reference's per-pair model call.
 
-    Each user's catalog becomes one array row (a catalog is what the
-    reference itself loads per request), joined to the pairs on user_id —
-    one row per pair, no pair × catalog fan-out — and the match test runs
-    as a higher-order ``filter`` inside the row. Synonyms, a fixed small
-    table grouped per term, are broadcast."""
-    syn = F.broadcast(synonyms.groupBy(_norm("term").alias("_key"))
-                      .agg(F.collect_set(_norm("canonical")).alias("_canons")))
-    cat = (acts.groupBy("user_id").agg(F.collect_list(F.struct(
-        F.col("id").alias("activity_id"), "name", "points", "activity_type", _norm("name").alias("_cname")))
-        .alias("_cat")))
-    ek = extracted.withColumn("_key", _norm("activity")).join(syn, "_key", "left").join(cat, "user_id", "left")
-
-    def hit(c):
-        k = F.col("_key")
-        t = (c["_cname"] == k) | F.coalesce(F.array_contains("_canons", c["_cname"]), F.lit(False))
-        return t | (F.levenshtein(c["_cname"], k, max_edits) >= 0) if max_edits > 0 else t
-
-    found = F.filter(F.coalesce("_cat", F.array().cast(cat.schema["_cat"].dataType)), hit)
-    matched = F.array_sort(F.transform(found, lambda c: F.struct(
-        c["activity_id"].alias("activity_id"), c["name"].alias("name"), c["points"].alias("points"),
-        c["activity_type"].alias("activity_type"))))
-    return (ek.select(*extracted.columns, matched.alias("matched"))
-            .withColumn("n_matched", F.size("matched")))
+    Catalog names are indexed by themselves and by their segments, extracted
+    names look these up (see ``_probe_keys``): one equi-join on (user, key),
+    then the exact test on what meets. No name is compared with a whole
+    catalog, no catalog is gathered, and nothing is broadcast by hint. The
+    matches of a name (a few catalog rows) are sorted by activity id."""
+    syn = synonyms.groupBy(_norm("term").alias("_key")).agg(F.collect_set(_norm("canonical")).alias("_canons"))
+    cat = acts.select("user_id", F.struct(F.col("id").alias("activity_id"), "name", "points", "activity_type").alias("_act"), _norm("name").alias("_cname"))
+    index = cat.select("user_id", "_act", "_cname", F.explode(_index_keys("_cname", max_edits)).alias("_k"))
+    names = extracted.select("id", "user_id", "activity", _norm("activity").alias("_key")).join(syn, "_key", "left")
+    probe = names.select("id", "user_id", "activity", "_key", "_canons", F.explode(_probe_keys("_key", "_canons", max_edits)).alias("_k"))
+    exact = (F.col("_cname") == F.col("_key")) | F.coalesce(F.array_contains("_canons", F.col("_cname")), F.lit(False))
+    if max_edits > 0:
+        exact = exact | (F.levenshtein("_cname", "_key", max_edits) >= 0)
+    found = (probe.join(index, ["user_id", "_k"]).where(exact).groupBy("id", "activity")
+             .agg(F.array_sort(F.collect_set("_act")).alias("matched")))
+    none = F.array().cast(T.ArrayType(cat.schema["_act"].dataType))
+    return (extracted.join(found, ["id", "activity"], "left").withColumn("matched", F.coalesce("matched", none))
+            .select(*extracted.columns, "matched").withColumn("n_matched", F.size("matched")))
 
 
 # ---------------------------------------------------------------- I4 ----

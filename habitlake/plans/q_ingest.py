@@ -242,8 +242,10 @@ SELECT {_I7_COLS}, CAST(c.logged_at AS DATE) AS log_date FROM cand c JOIN r ON r
           _I7_VIEWS)
 def _s2(fx):
     """Write the accepted text logs to a fresh folder under the shared
-    checkpoint location and read them back with partition discovery."""
+    checkpoint location, twice as after a lost writer, and read them back
+    with partition discovery."""
     base = ensure_checkpoint_dir(fx.spark)
     path = os.path.join(base, "habitlake-append", uuid.uuid4().hex)
-    sinks.append_logs(_text_logs(fx)["accepted"], path)
-    return fx.spark.read.parquet(path)
+    for _ in range(2):
+        sinks.append_logs(_text_logs(fx)["accepted"], path, "texts")
+    return sinks.read_logs(fx.spark, path)

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_logs(df: DataFrame, path: str) -> None:
-    """Append logs to the event table, partitioned by log date so day
-    queries prune files. Appends are idempotent only if the batch ids are
-    deterministic (they are in every producer of this package)."""
-    (df.withColumn("log_date", F.to_date("logged_at"))
-     .write.mode("append").partitionBy("log_date").parquet(path))
+def append_logs(df: DataFrame, path: str, batch_id: str) -> None:
+    """Append a batch of logs to the event table, partitioned by log date
+    (so day queries prune files) and by batch.
+
+    Idempotent: a batch owns its partitions and replaces just these
+    (dynamic partition overwrite), so writing it again, after a lost writer
+    too, leaves one copy and touches no other batch. A batch must hold the
+    same rows each time, as its producers' ids do. Rows are clustered by log
+    date first (AQE splits a large day over tasks), so a batch adds few files
+    a day."""
+    (df.withColumn("log_date", F.to_date("logged_at")).withColumn("batch_id", F.lit(batch_id))
+     .hint("rebalance", "log_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("log_date", "batch_id").parquet(path))
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The event table that :func:`append_logs` writes, without the batch."""
+    return spark.read.option("basePath", path).parquet(path).drop("batch_id")
 
 
 def _api_date(c):

@@ -219,3 +219,54 @@ def test_empty_documents_and_wide_ids_are_quarantined(spark):
     good, bad = ingest_requests(req, I.LOG_REQUEST_SCHEMA)
     assert rows(good, "id") == [(5,)]
     assert rows(bad, "id", "reason") == [(1, "decode error"), (2, "decode error"), (3, "decode error"), (4, "bad id")]
+
+
+def test_matching_finds_all_names_within_the_edits(spark):
+    """The index against comparing every pair: short and empty names, spaces, repeats, other users, up to two edits."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abé ") for _ in range(rnd.randrange(7)))
+    acts = df(spark, [(i, rnd.randrange(3), word(), i, "custom") for i in range(150)], ACTS)
+    pairs = {(i % 40, rnd.choice([word(), "Run", "x" * 3000])): i % 3 for i in range(160)}
+    ext = df(spark, [(i, u, a, 10, 0, 1) for (i, a), u in pairs.items()],
+             "id long, user_id long, activity string, duration long, pos int, n_activities int")
+    syn = df(spark, [("run", "ab"), ("RUN ", "a"), ("b", "zzz")], "term string, canonical string")
+    for edits in (0, 1, 2):
+        got = {(r.id, r.activity): [m.activity_id for m in r.matched] for r in I.match_activities(ext, acts, syn, edits).collect()}
+        both = ext.alias("e").join(acts.alias("c"), "user_id").select("e.id", "activity", F.col("c.id").alias("a"), F.lower(F.trim("activity")).alias("k"), F.lower(F.trim("name")).alias("n"))
+        ok = (F.levenshtein("k", "n") <= edits) | ((F.col("k") == "run") & F.col("n").isin("ab", "a")) | ((F.col("k") == "b") & (F.col("n") == "zzz"))
+        want = {k: [] for k in pairs}
+        for r in both.where(ok).collect():
+            want[r.id, r.activity].append(r.a)
+        assert got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_matching_is_one_equi_join(spark, fx):
+    from test_plans import plan
+    pairs = I.extract_activities(fx.extracted_texts)[0]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(I.match_activities(pairs, fx.user_activities, fx.synonyms))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "NestedLoop" not in text and "Cartesian" not in text and "BroadcastExchange" not in text
+
+
+def test_append_is_idempotent_after_a_lost_writer(spark, tmp_path):
+    """A batch that failed half way and one that is written twice leave one copy; other batches stay."""
+    import pytest
+    path = str(tmp_path / "logs")
+    make = lambda ids: df(spark, [log(i, 1, 5, 1, f"2024-01-0{1 + i % 3} 10:00:00") for i in ids], LOGS)
+    sinks.append_logs(make(range(6)), path, "a")
+    broken = make(range(6, 12)).withColumn("duration", F.when(F.col("id") == 11, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("duration")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.append_logs(broken, path, "b")
+    sinks.append_logs(make(range(6, 12)), path, "b")
+    sinks.append_logs(make(range(6, 12)), path, "b")
+    sinks.append_logs(make(range(6)), path, "a")
+    out = sinks.read_logs(spark, path)
+    assert rows(out, "id") == [(i,) for i in range(12)] and "batch_id" not in out.columns
+    day = out.where("log_date = DATE '2024-01-02'")
+    assert rows(day, "id") == [(1,), (4,), (7,), (10,)]
+    from test_plans import plan
+    assert "PartitionFilters: [isnotnull(log_date" in plan(day)

@@ -5,6 +5,8 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
+from habitlake.plans import registry
+
 STREAMING = {"daily_rollup_stream", "vote_stream", "invite_notify_stream", "reset_redeem_stream", "streak_stream",
              "goal_stream", "reminder_stream", "append_logs", "admit_registrations"}
 # nested loops allowed: the ILIKE search (a request batch against users)
@@ -20,7 +22,7 @@ def plan(df):
 SINGLE_PARTITION_OK = {"suggestion_top10", "cascade_delete_users", "integrity_audit"}
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - STREAMING))
+@pytest.mark.parametrize("name", sorted(set(registry.builders()) - STREAMING))
 def test_no_nested_loop_or_cartesian(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p
@@ -55,7 +57,7 @@ def test_log_date_partitions_pruned(spark, tmp_path):
     from habitlake.sources.fixtures import Fixtures
     from habitlake.sources.sinks import append_logs
     path = str(tmp_path / "logs")
-    append_logs(Fixtures(spark, SF_SMALL).user_activity_logs, path)
+    append_logs(Fixtures(spark, SF_SMALL).user_activity_logs, path, "all")
     logs = spark.read.parquet(path)
     p1 = plan(D.daily_log_count(logs, Fixtures(spark, SF_SMALL).users, "2024-01-15"))
     assert "PartitionFilters: [isnotnull(log_date" in p1 and "2024-01-15" in p1
