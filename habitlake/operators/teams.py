@@ -99,14 +99,14 @@ def visible_team_activities(pairs: DataFrame, memberships: DataFrame, tur: DataF
                    .groupBy("user_id", "team_id", "team_membership_id")
                    .agg(F.array_sort(F.collect_set("role_name")).alias("role_set")))
     sets = member_sets.select("team_id", "role_set").distinct()
-    a = acts.select(F.col("id").alias("activity_id"), "team_id", "activity_name", "points", "created_at",
+    a = acts.select(F.col("id").alias("activity_id"), "team_id", "activity_name", "points", "created_at", "updated_at",
                     "activity_roles")
     visible = (sets.join(a, "team_id")
                .where(F.array_contains("role_set", OWNER)
                       | F.coalesce(F.arrays_overlap("role_set", "activity_roles"), F.lit(False))))
     return member_sets.join(visible, ["team_id", "role_set"]).select(
         "user_id", "team_id", F.col("activity_id").alias("id"), "activity_name", "points", "created_at",
-        F.col("created_at").alias("updated_at"))
+        "updated_at")
 
 
 def team_members(requests: DataFrame, memberships: DataFrame, users: DataFrame, tur: DataFrame,
@@ -124,11 +124,9 @@ def team_members(requests: DataFrame, memberships: DataFrame, users: DataFrame,
 
 
 def unassigned_roles(requests: DataFrame, memberships: DataFrame, tur: DataFrame, roles: DataFrame) -> DataFrame:
-    """Roles of the membership's team that the membership does not hold.
-
-    The reference does not restrict the roles to the membership's team (it
-    lists every role of every team); that form is a product of all
-    memberships with all roles and is not offered here."""
+    """Roles of the membership's team that the membership does not hold
+    (the usable form; for the reference's, which takes the roles of every
+    team, see :func:`unassigned_role_classes`)."""
     m = memberships.select(F.col("id").alias("team_membership_id"), "team_id")
     req = requests.select("team_membership_id").distinct().join(m, "team_membership_id")
     cand = req.join(roles.select(F.col("id").alias("role_id"), "role_name", "team_id"), "team_id")
@@ -137,6 +135,24 @@ def unassigned_roles(requests: DataFrame, memberships: DataFrame, tur: DataFrame
             .select("team_membership_id", F.col("role_id").alias("id"), "role_name"))
 
 
+def unassigned_role_classes(requests: DataFrame, tur: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """T8 over the roles of *every* team, without the product of memberships
+    and roles: memberships that hold the same set of roles lack the same
+    ones and form a class.
+
+    Returns (members: team_membership_id, class_id; held: class_id, id;
+    all_roles: id, role_name). What a membership lacks is ``all_roles`` without
+    the ``held`` roles of its class. Each table grows with its inputs. A
+    membership without roles is in the empty class, which holds nothing."""
+    held = tur.select("team_membership_id", "role_id").distinct()
+    sets = held.groupBy("team_membership_id").agg(F.array_sort(F.collect_set("role_id")).alias("_set"))
+    req = requests.select("team_membership_id").distinct().join(sets, "team_membership_id", "left")
+    members = req.select("team_membership_id", new_id("role_set", F.coalesce(F.array_join("_set", ","), F.lit(""))).alias("class_id"), "_set")
+    classes = members.where(F.col("_set").isNotNull()).groupBy("class_id").agg(F.first("_set").alias("_set"))
+    return (members.select("team_membership_id", "class_id"), classes.select("class_id", F.explode("_set").alias("id")),
+            roles.select("id", "role_name"))
+
+
 def bootstrap_teams(requests: DataFrame) -> dict[str, DataFrame]:
     """One team request → team, its 'owner' role, the creator's
     membership and the owner assignment. Ids derive from the request id and

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import SEARCH_LIMIT
 
 
-def _trigrams(c):
-    """Distinct lower-case 3-character substrings of a string column."""
-    low = F.lower(c)
-    idx = F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1)))
-    return F.array_distinct(F.filter(F.transform(idx, lambda i: F.substring(low, i, 3)),
-                                     lambda g: F.length(g) == 3))
+GRAM = 3      # literal runs of this length and more are looked up by their rarest trigram
+POST_SALTS = 16  # parts of a posting list of a shorter gram, which may hold most users
+
+
+def _grams(low, n: int):
+    """Distinct substrings of ``n`` characters of a column."""
+    idx = F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(idx, lambda i: F.substring(low, i, n)), lambda g: F.length(g) == n))
 
 
 def search_users(searches: DataFrame, users: DataFrame, invitations: DataFrame,
@@ -22,34 +27,53 @@ def search_users(searches: DataFrame, users: DataFrame, invitations: DataFrame,
     '%' and '_' act as wildcards), not the caller, flagged when already
     invited to the search's team, by username, first ``limit`` rows.
 
-    Candidates come from a trigram index instead of comparing every search
-    with every user: a username matches only if it contains each literal
-    run of q (q split at '%' and '_'), so a search probes the index with the
-    rarest trigram of its longest run, and ILIKE then decides exactly.
-    Searches without a literal run of 3+ characters (or with an escape)
-    cannot use the index;
-    only those are compared with all users (a nested-loop join that Spark
-    broadcasts only under its size threshold). An invitation repeated to
-    the same team repeats the user, and the limit counts repeats, as in the
-    reference; the top-k runs as a WindowGroupLimit per search."""
+    Candidates come from an index of username grams, and ILIKE decides
+    exactly. A username matches only if it contains each literal run of q
+    (q split at wildcards and escaped characters), so a search looks up its
+    longest run: the rarest trigram of it, or the run itself when it is
+    shorter; a pattern without a run looks up the empty gram, which every
+    username has. All look-ups are equi-joins.
+
+    * A search that is nothing but a run of at most two characters takes the
+      first ``limit`` + 1 users of that gram (one may be the caller): posting
+      lists are cut there before the join, by a WindowGroupLimit.
+    * Other short runs need the whole list: it is dealt over ``POST_SALTS``
+      parts, as one gram may hold most users.
+
+    An invitation repeated to the same team repeats the user, and the limit
+    counts repeats, as in the reference."""
     s = searches.select("search_id", "q", "team_id", "caller_id")
     u = users.select("id", "username")
-    runs = F.split(F.lower("q"), "[%_]")
+    low = F.lower("username")
+    runs = F.split(F.lower("q"), r"\\.|[%_]")
     longest = F.aggregate(runs, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-    # a backslash escapes the next wildcard: such patterns take the exact path
-    usable = (F.length(longest) >= 3) & ~F.col("q").contains("\\")
-    s = s.withColumn("_run", F.when(usable, longest))
-    indexed = s.where(F.col("_run").isNotNull())
-    short = s.where(F.col("_run").isNull())
-    index = u.select("id", F.explode(_trigrams(F.col("username"))).alias("_g"))
+    s = s.withColumn("_run", F.coalesce(longest, F.lit("")))
+    plain = (F.col("_run") == F.lower("q")) & ~F.col("q").contains("\\")
+    is_long = F.length("_run") >= GRAM
+    cols = ["search_id", "q", "team_id", "caller_id"]
+
+    index = u.select("id", F.explode(_grams(low, GRAM)).alias("_g"))
     df_g = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))  # posting-list length per trigram
-    probe = (indexed.select("search_id", F.explode(_trigrams(F.col("_run"))).alias("_g"))
+    long_runs = s.where(is_long)
+    probe = (long_runs.select("search_id", F.explode(_grams(F.col("_run"), GRAM)).alias("_g"))
              .join(df_g, "_g", "left")
              .groupBy("search_id").agg(F.min_by("_g", F.coalesce("_df", F.lit(0))).alias("_g")))
-    cand = (indexed.join(probe, "search_id").join(index, "_g").drop("_g", "_run").join(u, "id"))
+    found = long_runs.join(probe, "search_id").join(index, "_g").join(u, "id").select(*cols, "id", "username")
+
+    # postings of the shorter grams that searches ask for
+    short = s.where(~is_long).select(*cols, F.col("_run").alias("_g"), plain.alias("_plain"))
+    grams = F.concat(F.array(F.lit("")), _grams(low, 1), _grams(low, 2))
+    posts = u.select("id", "username", F.explode(grams).alias("_g"))
+    first = Window.partitionBy("_g").orderBy("username", "id")
+    cut = (posts.join(short.where("_plain").select("_g").distinct(), "_g", "left_semi")
+           .withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= limit + 1))
+    found_cut = short.where("_plain").join(cut, "_g").select(*cols, "id", "username")
+    rest = short.where(~F.col("_plain")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(POST_SALTS - 1))))
+    dealt = posts.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(POST_SALTS)).cast("int"))
+    found_rest = rest.join(dealt, ["_g", "_salt"]).select(*cols, "id", "username")
+
     like = F.expr("username ILIKE concat('%', q, '%')") & (F.col("id") != F.col("caller_id"))
-    hits = cand.where(like).select("search_id", "q", "team_id", "caller_id", "id", "username").unionByName(
-        short.drop("_run").join(u, like).select("search_id", "q", "team_id", "caller_id", "id", "username"))
+    hits = found.unionByName(found_cut).unionByName(found_rest).where(like)
     inv = invitations.select(F.col("recipient_id").alias("id"), F.col("team_id").alias("_t"),
                              F.col("id").alias("_inv"))
     j = hits.join(inv, (hits.id == inv.id) & (hits.team_id == inv._t), "left").drop(inv.id)
@@ -118,23 +142,27 @@ def admit_registrations(users: DataFrame, requests: DataFrame) -> DataFrame:
     and undecided requests sharing a key with one accepted in the round
     are rejected. Each round decides at least the earliest undecided
     request, so the rounds end, and usually far more. A NULL email or
-    username equals no other. Lineage is cut each round with a
-    reliable checkpoint in the shared checkpoint folder."""
+    username equals no other.
+
+    A round reads and writes the undecided requests only; decided ones stay
+    in the round's part of a table in the shared checkpoint folder, which
+    is the result in the end. That also cuts lineage each round."""
     spark = requests.sparkSession
     from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
+    table = f"{ensure_checkpoint_dir(spark)}/registrations-{uuid.uuid4().hex}"
     taken_e = users.select(F.col("email").alias("_e")).distinct().withColumn("_te", F.lit(True))
     taken_u = users.select(F.col("username").alias("_u")).distinct().withColumn("_tu", F.lit(True))
     r = requests.select("id", "email", "username")
-    st = (r.join(taken_e, r.email == taken_e._e, "left").join(taken_u, r.username == taken_u._u, "left")
-          .select("id", "email", "username",
-                  F.when(F.col("_te"), F.lit(EMAIL_TAKEN)).when(F.col("_tu"), F.lit(USERNAME_TAKEN))
-                  .alias("outcome")))
-    st = st.checkpoint()
+    rows = (r.join(taken_e, r.email == taken_e._e, "left").join(taken_u, r.username == taken_u._u, "left")
+            .select("id", "email", "username",
+                    F.when(F.col("_te"), F.lit(EMAIL_TAKEN)).when(F.col("_tu"), F.lit(USERNAME_TAKEN)).alias("outcome")))
+    schema, n = T.StructType([*rows.schema.fields, T.StructField("decided", T.BooleanType())]), 0
     while True:
-        und = st.where(F.col("outcome").isNull())
+        part = f"{table}/round={n}"
+        rows.withColumn("decided", F.col("outcome").isNotNull()).write.partitionBy("decided").parquet(part)
+        und = spark.read.schema(schema).parquet(part).where(~F.col("decided")).drop("outcome", "decided")
         if und.isEmpty():
-            return st.select("id", "outcome")
+            return spark.read.schema(T.StructType([*schema.fields, T.StructField("round", T.IntegerType())])).parquet(table).where("decided").select("id", "outcome")
         me = und.groupBy("email").agg(F.min("id").alias("_me"))
         mu = und.groupBy("username").agg(F.min("id").alias("_mu"))
         acc = (und.join(me, "email", "left").join(mu, "username", "left")  # a NULL key clashes with nothing
@@ -142,10 +170,9 @@ def admit_registrations(users: DataFrame, requests: DataFrame) -> DataFrame:
         acc_id = acc.select("id", F.lit(True).alias("_a"))
         acc_e = acc.select(F.col("email").alias("_ae")).distinct().withColumn("_he", F.lit(True))
         acc_u = acc.select(F.col("username").alias("_au")).distinct().withColumn("_hu", F.lit(True))
-        j = (st.join(acc_id, "id", "left").join(acc_e, st.email == acc_e._ae, "left")
-             .join(acc_u, st.username == acc_u._au, "left"))
-        new = (F.when(F.col("outcome").isNotNull(), F.col("outcome"))
-               .when(F.col("_a"), F.lit("accepted"))
-               .when(F.col("_he"), F.lit(EMAIL_TAKEN))
-               .when(F.col("_hu"), F.lit(USERNAME_TAKEN)))
-        st = j.select("id", "email", "username", new.alias("outcome")).checkpoint()
+        j = (und.join(acc_id, "id", "left").join(acc_e, und.email == acc_e._ae, "left")
+             .join(acc_u, und.username == acc_u._au, "left"))
+        outcome = (F.when(F.col("_a"), F.lit("accepted"))
+                   .when(F.col("_he"), F.lit(EMAIL_TAKEN))
+                   .when(F.col("_hu"), F.lit(USERNAME_TAKEN)))
+        rows, n = j.select("id", "email", "username", outcome.alias("outcome")), n + 1

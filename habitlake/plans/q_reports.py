@@ -6,23 +6,28 @@ from ..operators import reports as R
 from .registry import END, START, register
 
 _RANGE = f"logged_at >= TIMESTAMP '{START}' AND logged_at < TIMESTAMP '{END}'"
-_PPD = f"""ppd AS (SELECT user_id, CAST(logged_at AS DATE) AS date, COALESCE(SUM(points), 0) AS total_points
- FROM user_activity_logs WHERE {_RANGE} GROUP BY user_id, CAST(logged_at AS DATE))"""
-_R1 = """SELECT u.id AS user_id, CAST(ROUND(COALESCE(SUM(p.total_points), 0), 0) AS BIGINT) AS total_points,
- ROUND(COALESCE(AVG(p.total_points), 0), 2) AS average_points_per_day
-FROM users u LEFT JOIN ppd p ON p.user_id = u.id GROUP BY u.id"""
+_PPD = f"""ppd AS (SELECT user_id, date, sum(points) AS total_points
+ FROM (SELECT user_id, points, CAST(logged_at AS DATE) AS date FROM user_activity_logs WHERE {_RANGE}) GROUP BY ALL)"""
+# plain sums over the range and the number of different days
+_R1 = f"""SELECT u.id AS user_id, CAST(COALESCE(total, 0) AS BIGINT) AS total_points,
+ CASE WHEN n_days > 0 THEN round(total / n_days, 2) ELSE 0.0 END AS average_points_per_day
+FROM users u LEFT JOIN (SELECT user_id, CAST(sum(points) AS DOUBLE) AS total, count(DISTINCT CAST(logged_at AS DATE)) AS n_days
+ FROM user_activity_logs WHERE {_RANGE} GROUP BY user_id) s ON s.user_id = u.id"""
 _R2 = """SELECT user_id, date, CAST(total_points AS BIGINT) AS total_points FROM (
  SELECT user_id, date, total_points, row_number() OVER (PARTITION BY user_id ORDER BY total_points DESC, date) AS rn
  FROM ppd) WHERE rn = 1"""
-_R3 = f"""SELECT l.user_id, CAST(l.logged_at AS DATE) AS date, COALESCE(g.status, 'no goal') AS status,
- CAST(COALESCE(SUM(l.points), 0) AS BIGINT) AS total_points
-FROM user_activity_logs l
-LEFT JOIN user_goals g ON g.user_id = l.user_id AND CAST(g.created_at AS DATE) = CAST(l.logged_at AS DATE)
-WHERE l.{_RANGE.replace(' AND logged_at', ' AND l.logged_at')}
-GROUP BY l.user_id, CAST(l.logged_at AS DATE), COALESCE(g.status, 'no goal')"""
+# the day's points once for each of its goals, by status; days without goals beside them
+_R3 = """SELECT user_id, date, status, CAST(sum(total_points * n) AS BIGINT) AS total_points FROM (
+  SELECT p.user_id, p.date, p.total_points, g.status, g.n FROM ppd p JOIN (
+    SELECT user_id, CAST(created_at AS DATE) AS date, ifnull(status, 'no goal') AS status, count(*) AS n FROM user_goals GROUP BY ALL) g
+    USING (user_id, date)
+  UNION ALL
+  SELECT user_id, date, total_points, 'no goal', 1 FROM ppd
+  WHERE (user_id, date) NOT IN (SELECT (user_id, CAST(created_at AS DATE)) FROM user_goals))
+GROUP BY user_id, date, status"""
 _R4 = f"""SELECT u.id AS user_id, t.productive_time, t.unproductive_time FROM users u LEFT JOIN (
- SELECT user_id, CAST(SUM(CASE WHEN points > 0 THEN duration ELSE 0 END) AS BIGINT) AS productive_time,
-  CAST(SUM(CASE WHEN points < 0 THEN duration ELSE 0 END) AS BIGINT) AS unproductive_time
+ SELECT user_id, CAST(sum(duration * CAST(points > 0 AS INTEGER)) AS BIGINT) AS productive_time,
+  CAST(sum(duration * CAST(points < 0 AS INTEGER)) AS BIGINT) AS unproductive_time
  FROM user_activity_logs WHERE {_RANGE} GROUP BY user_id) t ON t.user_id = u.id"""
 _LOGS = ("users", "user_activity_logs")
 
@@ -31,7 +36,7 @@ def _rollup(fx):
     return R.user_day_rollup(fx.user_activity_logs, START, END)
 
 
-@register("points_total_avg", f"WITH {_PPD}\n{_R1}", _LOGS)
+@register("points_total_avg", _R1, _LOGS)
 def _r1(fx):
     return R.points_total_avg(_rollup(fx), fx.users)
 
@@ -41,7 +46,7 @@ def _r2(fx):
     return R.best_day(_rollup(fx))
 
 
-@register("productivity_days", _R3, _LOGS + ("user_goals",))
+@register("productivity_days", f"WITH {_PPD}\n{_R3}", _LOGS + ("user_goals",))
 def _r3(fx):
     return R.productivity_days(_rollup(fx), fx.user_goals, START, END)
 

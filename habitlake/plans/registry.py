@@ -2,8 +2,8 @@
 
 Each builder takes ``(spark, sf_dir)`` and returns a DataFrame over the
 application tables of that directory. The oracle is an independent SQL
-formulation over the same fixture views (inlined as CTEs), close to the
-reference's own query text where one exists.
+formulation over the same fixture views (inlined as CTEs), written from
+the operator's meaning.
 """
 
 from __future__ import annotations

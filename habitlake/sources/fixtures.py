@@ -102,6 +102,7 @@ JOIN {team_roles} tr ON tr.team_id = tm.team_id
     "team_activities": """
 SELECT p_partkey AS id, p_partkey % 25 AS team_id, p_name AS activity_name, p_size - 25 AS points,
  DATE '2024-01-01' + CAST(p_partkey % 400 AS INT) AS created_at,
+ DATE '2024-01-01' + CAST(p_partkey % 400 + p_size AS INT) AS updated_at,
  CASE p_partkey % 4 WHEN 0 THEN array() WHEN 1 THEN array('1-URGENT') WHEN 2 THEN array('2-HIGH','3-MEDIUM')
   ELSE array('5-LOW','2-HIGH','1-URGENT') END AS activity_roles
 FROM {part}""",
@@ -185,6 +186,7 @@ FROM {events} WHERE event_type = 'click'""",
     "team_activities": """
 SELECT p_partkey AS id, p_partkey % 25 AS team_id, p_name AS activity_name, p_size - 25 AS points,
  DATE '2024-01-01' + CAST(p_partkey % 400 AS INT) AS created_at,
+ DATE '2024-01-01' + CAST(p_partkey % 400 + p_size AS INT) AS updated_at,
  CASE p_partkey % 4 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['1-URGENT'] WHEN 2 THEN ['2-HIGH','3-MEDIUM']
   ELSE ['5-LOW','2-HIGH','1-URGENT'] END AS activity_roles
 FROM {part}""",

@@ -1,5 +1,7 @@
 """Teams, invitations, users, feedback and maintenance on hand-made rows."""
 
+from pyspark.sql import functions as F
+
 from helpers import TEAM_SCHEMAS, USERS, d, df, rows, ts
 
 from habitlake.operators import feedback as B
@@ -8,7 +10,7 @@ from habitlake.operators import maintenance as M
 from habitlake.operators import teams as T
 from habitlake.operators import users as U
 
-ACT_T = ("id long, team_id long, activity_name string, points int, created_at date, "
+ACT_T = ("id long, team_id long, activity_name string, points int, created_at date, updated_at date, "
          "activity_roles array<string>")
 
 
@@ -21,9 +23,9 @@ def _team(spark):
 
 def test_visible_activities_roles(spark):
     mem, roles, tur = _team(spark)
-    acts = df(spark, [(1, 7, "all-empty", 1, d("2024-01-01"), []),        # owners only
-                      (2, 7, "a", 1, d("2024-01-02"), ["A"]),
-                      (3, 7, "ab", 1, d("2024-01-03"), ["A", "B"])], ACT_T)
+    acts = df(spark, [(1, 7, "all-empty", 1, d("2024-01-01"), d("2024-02-01"), []),        # owners only
+                      (2, 7, "a", 1, d("2024-01-02"), d("2024-02-01"), ["A"]),
+                      (3, 7, "ab", 1, d("2024-01-03"), d("2024-02-01"), ["A", "B"])], ACT_T)
     pairs = df(spark, [(100, 7), (101, 7), (102, 7), (999, 7)], "user_id long, team_id long")
     out = rows(T.visible_team_activities(pairs, mem, tur, roles, acts), "user_id", "id")
     # owner sees all three; member with A and B sees 2 and 3 once each; no-role member and stranger see none
@@ -115,12 +117,11 @@ def test_compact_changes_idempotent(spark):
 
 def test_search_index_matches_plain_ilike(spark):
     """The trigram path must give exactly what ILIKE over all users gives."""
-    from pyspark.sql import functions as F
     names = ["Customer#000000001", "customer#0000001x", "abc_def", "ABCxDEF", "zz%zz", "a\\\\bcd", "xyz"]
     users = df(spark, [(i, n, f"{i}@x", None) for i, n in enumerate(names)], USERS)
     inv = df(spark, [], "id long, team_id long, sender_id long, recipient_id long, status string, "
              "created_at timestamp_ntz, seen boolean")
-    qs = ["00001", "CUSTOMER", "abc_def", "bc%de", "b\\\\_d", "%", "yz", "mer#0000"]
+    qs = ["00001", "CUSTOMER", "abc_def", "bc%de", "b\\\\_d", "%", "yz", "mer#0000", "", "_", "A", "b%e", "\\_", "__%__", "é", "K"]
     s = df(spark, [(i, q, 1, -1) for i, q in enumerate(qs)], "search_id int, q string, team_id long, caller_id long")
     got = rows(U.search_users(s, users, inv, limit=100), "search_id", "id")
     want = rows(s.join(users, F.expr("username ILIKE concat('%', q, '%')")), "search_id", "id")
@@ -188,3 +189,67 @@ def test_admission_with_null_email_and_long_chain(spark):
             emails.add(e)
             names.add(u)
         assert got[i] == want
+
+
+def test_short_searches_cut_postings_and_keep_order(spark):
+    """One and two characters: the first rows by username, the caller left out, repeats counted, no nested loop."""
+    import random
+    rnd = random.Random(1)
+    users = df(spark, [(i, "".join(rnd.choice("abC_") for _ in range(rnd.randrange(5))) + rnd.choice(["", "x", "\u212a"]), f"{i}@x", None) for i in range(400)], USERS)
+    inv = df(spark, [(i, 5, 0, rnd.randrange(400), "pending", ts("2024-01-01 00:00:00"), False) for i in range(300)],
+             "id long, team_id long, sender_id long, recipient_id long, status string, created_at timestamp_ntz, seen boolean")
+    qs = ["a", "C", "ab", "", "%", "_", "a_", "k", "\\_", "zz", "a%b"]
+    s = df(spark, [(i, q, 5, c) for i, (q, c) in enumerate([(q, c) for q in qs for c in (-1, 0, 7)])], "search_id int, q string, team_id long, caller_id long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = U.search_users(s, users, inv, limit=4)
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+        got = rows(out, "search_id", "rn", "id", "has_been_invited")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    all_pairs = s.join(users, F.expr("username ILIKE concat('%', q, '%') AND id <> caller_id")).join(
+        inv.selectExpr("recipient_id AS id", "id AS inv", "team_id"), ["id", "team_id"], "left").collect()
+    want = []
+    for i in range(len(qs) * 3):
+        mine = sorted((r for r in all_pairs if r.search_id == i), key=lambda r: (r.username.encode(), r.id, r.inv is not None, r.inv or 0))[:4]
+        want += [(i, k + 1, r.id, r.inv is not None) for k, r in enumerate(mine)]
+    assert got == sorted(want)
+
+
+def test_sign_up_rounds_carry_undecided_requests_only(spark):
+    """A chain in which each round settles two requests: later rounds store fewer rows."""
+    import glob
+    from habitlake.session import ensure_checkpoint_dir
+    users = df(spark, [(0, "u", "e", None)], USERS)
+    n = 12  # request i shares its email with i - 1 and its username with i + 1, by turns
+    req = df(spark, [(i, f"n{(i + 1) // 2}", f"m{i // 2}") for i in range(1, n + 1)], "id long, username string, email string")
+    before = set(glob.glob(ensure_checkpoint_dir(spark).replace("file:", "") + "/registrations-*"))
+    got = rows(U.admit_registrations(users, req), "id", "outcome")
+    taken_u, taken_e, want = set(), set(), []
+    for i in range(1, n + 1):
+        u, e = f"n{(i + 1) // 2}", f"m{i // 2}"
+        out = U.EMAIL_TAKEN if e in taken_e else U.USERNAME_TAKEN if u in taken_u else "accepted"
+        if out == "accepted":
+            taken_u.add(u)
+            taken_e.add(e)
+        want.append((i, out))
+    assert got == want
+    [table] = set(glob.glob(ensure_checkpoint_dir(spark).replace("file:", "") + "/registrations-*")) - before
+    sizes = [spark.read.parquet(p).count() for p in sorted(glob.glob(table + "/round=*"), key=lambda p: int(p.rsplit("=", 1)[1]))]
+    assert sizes[0] == n and all(a > b for a, b in zip(sizes[1:], sizes[2:]))
+
+
+def test_role_classes_complement(spark):
+    mem, roles, tur = _team(spark)
+    req = mem.selectExpr("id AS team_membership_id")
+    members, held, every = T.unassigned_role_classes(req, tur, roles)
+    h = {}
+    for r in held.collect():
+        h.setdefault(r.class_id, set()).add(r.id)
+    names = {r.id for r in every.collect()}
+    mine = {}
+    for r in tur.collect():
+        mine.setdefault(r.team_membership_id, set()).add(r.role_id)
+    got = {r.team_membership_id: names - h.get(r.class_id, set()) for r in members.collect()}
+    assert got == {r.id: names - mine.get(r.id, set()) for r in mem.collect()}
