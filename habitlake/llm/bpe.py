@@ -22,8 +22,10 @@ and a very long piece in blocks of places (heap merging, where it fails, is n lo
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,11 +38,16 @@ from .common import annotate
 from .words import NOT_SPACE, split_words, text_chunks
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
-#: distinct raw words and pieces kept by a task, and the longest one that is kept
-MEMO, MEMO_WORD = 1 << 19, 256
-#: places walked and words looked up at once
-BLOCK = 1 << 18
+#: distinct raw words and pieces kept by a task (a piece costs more to encode), and the longest one that is kept
+MEMO, PIECES, MEMO_WORD = 1 << 19, 1 << 19, 256
+#: bytes of text, words and places taken at once
+CHUNK, WORDS, BLOCK = 1 << 21, 1 << 18, 1 << 18
+#: symbols of a piece that is merged without a heap
+SHORT = 48
 NEVER = np.iinfo(np.int64).max
+#: raw words whose pieces are plain: ASCII letters, lower-cased, and the other signs after them (no apostrophe, which
+#: may begin a piece with letters); an encoder checks that its file's own tools agree before it uses this
+PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 @dataclass
@@ -159,6 +166,18 @@ def longest(m: Merges, sym: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> t
 def merge_exactly(rank: dict, token: dict, sym: list[int]) -> list[int]:
     """Plain merging: the pair of least rank, leftmost first, until none is left."""
     n = len(sym)
+    if n <= SHORT:  # looking through all pairs costs less than a heap
+        sym, get = list(sym), rank.get
+        ranks = [get(p, NEVER) for p in zip(sym, sym[1:])]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            sym[i] = token[sym[i], sym[i + 1]]
+            del sym[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((sym[i - 1], sym[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((sym[i], sym[i + 1]), NEVER)
+        return sym
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     alive = list(sym)
     heap = [(rank[p], i, p) for i, p in enumerate(zip(sym, sym[1:])) if p in rank]
@@ -198,60 +217,76 @@ class Encoder:
         self.final = {t[:-len(mark)]: i for t, i in vocab.items() if len(t) == 1 + len(mark) and t.endswith(mark)} if mark else self.inner
         pairs = [divmod(k, merges.size) for k in merges.pairs.tolist()]
         self.rank, self.token = dict(zip(pairs, merges.pair_rank.tolist())), dict(zip(pairs, merges.pair_token.tolist()))
-        self.known: dict[str, bytes] = {}
+        letters = string.ascii_letters
+        signs = [chr(c) for c in range(33, 127) if chr(c) != "'" and not chr(c).isalnum()]
+        self.plain = all(self.cut_by_tool(letters + s + t) == [letters.lower(), s + t] for s in signs for t in signs) and self.cut_by_tool(letters) == [letters.lower()]
+        self.fixed = {i.to_bytes(4, "little"): i.to_bytes(4, "little") for i in self.added.values()}
+        self.known: dict = dict(self.fixed)  # packed ids of pieces
         self.failed = self.seen = 0
 
-    def parts(self, raw: str) -> list:
-        """Pieces (strings) and ids of added tokens of a raw word, in order."""
+    def parts(self, raw: bytes) -> list:
+        """Pieces (strings) and packed ids of added tokens of a raw word, in order."""
+        simple = self.plain and PLAIN.fullmatch(raw)
+        if simple:
+            letters, signs = simple.groups()
+            return [letters.decode().lower(), signs.decode()] if signs else [letters.decode().lower()]
+        return self.cut_by_tool(raw.decode("utf-8"))
+
+    def cut_by_tool(self, raw: str) -> list:
+        """The same by the file's own normalizer and splitter."""
         out = []
         for seg in self.cut.split(raw) if self.cut else [raw]:
             if seg in self.added:
-                out.append(self.added[seg])
+                out.append(self.added[seg].to_bytes(4, "little"))
             elif seg:
                 out += [p for p, _ in self.tool.pre_tokenizer.pre_tokenize_str(self.tool.normalizer.normalize_str(seg))]
         return out
 
-    def pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Token ids of each distinct piece."""
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Packed token ids of each distinct piece."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         stop = np.cumsum(sizes)
-        sym = np.fromiter((self.inner[c] for p in pieces for c in p), np.int64, int(sizes.sum()))
-        sym[stop[sizes > 0] - 1] = [self.final[p[-1]] for p in pieces if p]
+        sym = np.fromiter(map(self.inner.__getitem__, itertools.chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
+        sym[stop - 1] = [self.final[p[-1]] for p in pieces]
         ends = np.repeat(stop, sizes)
         found = [longest(self.m, sym, ends, lo, min(lo + BLOCK, len(sym))) for lo in range(0, len(sym), BLOCK)]
-        token = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-        step = np.concatenate([f[1] for f in found]).tolist() if found else []
+        if not found:
+            return []
+        token = np.concatenate([f[0] for f in found])
+        step = np.concatenate([f[1] for f in found]).tolist()
         places, first, s = [], [0], 0
         for e in stop.tolist():
             while s < e:
                 places.append(s)
                 s += step[s]
             first.append(len(places))
-        ids, first = token[np.array(places, np.int64)], np.array(first)
-        if not len(ids):
-            return [ids] * len(pieces)
+        ids = token[np.array(places, np.int64)]
         owner = np.repeat(np.arange(len(pieces)), np.diff(first))
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         pair, back = np.unique(ids[inside] * self.m.size + ids[inside + 1], return_inverse=True)
         bad = inside[~self.m.compatible(pair // self.m.size, pair % self.m.size)[back]]
-        out = np.split(ids, first[1:-1])
+        flat = ids.astype("<u4").tobytes()
+        out = [flat[4 * a:4 * b] for a, b in zip(first, first[1:])]
         failing = np.unique(owner[bad]).tolist()
         self.seen, self.failed = self.seen + len(pieces), self.failed + len(failing)
-        begin = stop - sizes
+        begin = (stop - sizes).tolist()
         for i in failing:
-            out[i] = np.array(merge_exactly(self.rank, self.token, sym[begin[i]:stop[i]].tolist()), np.int64)
+            out[i] = np.array(merge_exactly(self.rank, self.token, sym[begin[i]:begin[i] + len(pieces[i])].tolist()), "<u4").tobytes()
         return out
 
     def words(self, raws: list[bytes]) -> list[bytes]:
         """Packed token ids of each raw word."""
-        parts = [self.parts(r.decode("utf-8")) for r in raws]
-        if len(self.known) > MEMO:
-            self.known.clear()
-        fresh = list({p: None for ps in parts for p in ps if isinstance(p, str) and p not in self.known})
-        packed = {p: ids.astype("<u4").tobytes() for p, ids in zip(fresh, self.pieces(fresh))}
-        packed |= {p: self.known[p] for ps in parts for p in ps if isinstance(p, str) and p not in packed}
-        self.known.update((p, packed[p]) for p in fresh if len(p) <= MEMO_WORD)
-        return [b"".join(packed[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in ps) for ps in parts]
+        parts = list(map(self.parts, raws))
+        if len(self.known) > PIECES:
+            self.known = dict(self.fixed)
+        known = self.known
+        fresh = list({p: None for ps in parts for p in ps if p not in known})
+        known.update(zip(fresh, self.pieces(fresh)))
+        out = [b"".join(map(known.__getitem__, ps)) for ps in parts]
+        for p in fresh:
+            if len(p) > MEMO_WORD:
+                del known[p]
+        return out
 
 
 ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -265,23 +300,27 @@ def _encoder(shared):
         def block(w, lo, hi) -> list[bytes]:
             """Packed ids of each word of a block."""
             coded = w.column(np.arange(lo, hi)).dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
+            _, offs, data = coded.dictionary.buffers()
+            offs, data = np.frombuffer(offs, np.int64)[:len(coded.dictionary) + 1].tolist(), data.to_pybytes()
+            distinct = [data[a:b] for a, b in zip(offs, offs[1:])]
             if len(memo) > MEMO:
                 memo.clear()
-            fresh = [w for w in distinct if w not in memo]
-            new = dict(zip(fresh, encoder.words(fresh)))
-            memo.update((w, p) for w, p in new.items() if len(w) <= MEMO_WORD)
-            each = [new[w] if w in new else memo[w] for w in distinct]
-            return list(map(each.__getitem__, coded.indices.to_pylist()))
+            each = list(map(memo.get, distinct))
+            fresh = [i for i, p in enumerate(each) if p is None]
+            for i, p in zip(fresh, encoder.words([distinct[i] for i in fresh])):
+                each[i] = p
+                if len(distinct[i]) <= MEMO_WORD:
+                    memo[distinct[i]] = p
+            return list(map(each.__getitem__, coded.indices.to_numpy().tolist()))
 
         def run(column: pa.Array) -> list:
             out = []
-            for _, _, buf, offs in text_chunks(column):
+            for _, _, buf, offs in text_chunks(column, CHUNK):
                 w = split_words(buf, offs, NOT_SPACE)
                 texts = [[] for _ in range(len(offs) - 1)]
                 owner = w.docs()
-                for lo in range(0, len(w.starts), BLOCK):
-                    hi = min(lo + BLOCK, len(w.starts))
+                for lo in range(0, len(w.starts), WORDS):
+                    hi = min(lo + WORDS, len(w.starts))
                     packed = block(w, lo, hi)
                     a, b = owner[lo], owner[hi - 1]
                     cuts = np.clip(w.first[a:b + 2] - lo, 0, hi - lo).tolist()

@@ -57,8 +57,9 @@ def test_random_words_whatever_the_block(library, encoder, monkeypatch):
     want = [np.array(library.encode(r, add_special_tokens=False).ids, "<u4").tobytes() for r in raws]
     assert encoder.words([r.encode() for r in raws]) == want
     assert 0 < encoder.failed < encoder.seen  # some proposals stand, some are merged exactly
-    monkeypatch.setattr(bpe, "BLOCK", 7)
-    encoder.known.clear()
+    for name in ("BLOCK", "WORDS", "SHORT"):
+        monkeypatch.setattr(bpe, name, 7)
+    encoder.known = dict(encoder.fixed)
     assert encoder.words([r.encode() for r in raws[:300]]) == want[:300]
     text, merges, _ = bpe.load()
     run = bpe._encoder(type("Shared", (), {"value": (text, merges)}))()
