@@ -101,6 +101,8 @@ def load(path: str = VOCABULARY) -> tuple[str, Merges, list[str]]:
     with open(path, encoding="utf-8") as f:
         text = f.read()
     model = json.loads(text)["model"]
+    if json.loads(text).get("decoder"):
+        raise ValueError("only vocabularies without a decoder of their own")
     if model["type"] != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges"):
         raise ValueError("not a plain BPE vocabulary")
     vocab = model["vocab"]
@@ -357,14 +359,24 @@ def _decoder(shared):
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``encoded`` (with packed ``ids``; null counts as none) and the decoded text, in a column ``decoded``: the
     vocabulary names no decoder, so tokens are joined by spaces as they are written in it."""
-    spec, _, names = load(vocabulary)
-    if json.loads(spec).get("decoder"):
-        raise ValueError("only vocabularies without a decoder of their own")
+    _, _, names = load(vocabulary)
     shared = encoded.sparkSession.sparkContext.broadcast(names)
     return annotate(encoded, "ids", DECODED, _decoder(shared))
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Digests of the ids and of the decoded text of every row."""
-    rows = decode(encode(docs, vocabulary), vocabulary)
+    """Digests of the ids and of the decoded text of every row; the ids are encoded and decoded again by one task."""
+    text, merges, names = load(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((text, merges))
+    words = docs.sparkSession.sparkContext.broadcast(names)
+
+    def make():
+        encoded, decoded = _encoder(shared)(), _decoder(words)()
+
+        def run(column: pa.Array) -> list:
+            n, ids = encoded(column)
+            return [n, ids, *decoded(ids)]
+        return run
+
+    rows = annotate(docs.select("doc_id", "text"), "text", T.StructType([*ENCODED.fields, *DECODED.fields]), make)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
