@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import REMINDER_EVERY_HOURS
+from ..functions.exprs import REMINDER_EVERY_HOURS, as_date, prune_days, ts_lit
 from ..functions.windows import running_sum
 
 # RFC 3339 layouts accepted for goal_date (UTC designator or numeric offset).
@@ -35,8 +35,19 @@ def day_goals(goals: DataFrame) -> DataFrame:
                  F.min("created_at").alias("goal_at")))
 
 
+def in_days(logs: DataFrame, goals: DataFrame, start=None, end=None) -> tuple[DataFrame, DataFrame]:
+    """Logs and goals of the days [start, end) (dates; None: all), as ranges
+    that reach the scans: a goal belongs to the day it was created on."""
+    for bound, keep in ((start, lambda c: c >= ts_lit(as_date(start))), (end, lambda c: c < ts_lit(as_date(end)))):
+        if bound is not None:
+            logs, goals = logs.where(keep(F.col("logged_at"))), goals.where(keep(F.col("created_at")))
+    if start is not None and end is not None:
+        logs = prune_days(logs, as_date(start), as_date(end))
+    return logs, goals
+
+
 def goal_transitions(logs: DataFrame, goals: DataFrame, mode: str = "reference",
-                     p_col: str = "points") -> DataFrame:
+                     p_col: str = "points", start=None, end=None) -> DataFrame:
     """For each log in (logged_at, id) order within its user-day, does
     the day's goal status flip?
 
@@ -44,14 +55,17 @@ def goal_transitions(logs: DataFrame, goals: DataFrame, mode: str = "reference",
     ``p_col``, ``g`` the goal (> 0 only). Only logs at or after the goal's
     creation can flip it. ``mode='reference'`` reproduces the reference's
     test, which adds ``p`` a second time; ``mode='intent'`` is the plain
-    crossing test. The running sum is chunked by minute so a very active
-    user-day is spread over many tasks."""
+    crossing test. Only user-days with such a goal are summed at all (a
+    semi-join before the first shuffle of logs by order), of the days
+    [start, end) if given. The running sum is chunked by minute so a very
+    active user-day is spread over many tasks."""
+    logs, goals = in_days(logs, goals, start, end)
+    aimed = day_goals(goals).where(F.col("goal_points") > 0)
     lg = logs.select("id", "user_id", "logged_at", "points", F.col(p_col).alias("_p"),
-                     F.to_date("logged_at").alias("date"))
+                     F.to_date("logged_at").alias("date")).join(aimed.select("user_id", "date"), ["user_id", "date"], "left_semi")
     rs = running_sum(lg, ["user_id", "date"], ["logged_at", "id"], "points", "after",
                      chunk=F.date_trunc("minute", F.col("logged_at")))
-    j = rs.join(day_goals(goals), ["user_id", "date"]).where(
-        (F.col("goal_points") > 0) & (F.col("logged_at") >= F.col("goal_at")))
+    j = rs.join(aimed, ["user_id", "date"]).where(F.col("logged_at") >= F.col("goal_at"))
     a, p, g = F.col("after"), F.col("_p"), F.col("goal_points")
     if mode == "reference":
         done = (a + p > g) & ~(a > g)
@@ -80,7 +94,7 @@ def goal_status(goals: DataFrame, transitions: DataFrame) -> DataFrame:
 
 
 def goal_reminders(goals: DataFrame, transitions: DataFrame, logs: DataFrame,
-                   every_hours: int = REMINDER_EVERY_HOURS) -> DataFrame:
+                   every_hours: int = REMINDER_EVERY_HOURS, start=None, end=None) -> DataFrame:
     """Reminders every ``every_hours`` after a tracker starts (a goal is
     set, or the goal flips back to uncompleted) until the day ends, the goal
     completes, or a new tracker replaces it. Each reminder reports the
@@ -88,8 +102,10 @@ def goal_reminders(goals: DataFrame, transitions: DataFrame, logs: DataFrame,
 
     Trackers come from a ``lead`` over the few start/stop events of a
     user-day; ticks from ``sequence`` (at most 24/every per tracker); the
-    points at each tick from a union with the logs and one running sum, so
-    no log × tick product is formed."""
+    points at each tick from a union with the logs of goal days (no other
+    day has a tick) and one running sum, so no log × tick product is
+    formed. ``start`` and ``end`` as for the transitions given."""
+    logs, goals = in_days(logs, goals, start, end)
     # one pass over the flips: 'uncompleted' restarts a tracker, 'completed' stops it
     flips = transitions.select("user_id", "date", F.col("logged_at").alias("at"),
                                (F.col("transition") == "uncompleted").cast("int").alias("is_start"))
@@ -106,8 +122,10 @@ def goal_reminders(goals: DataFrame, transitions: DataFrame, logs: DataFrame,
              .where(F.col("tick") < F.col("end"))
              .select("user_id", "date", "tick"))
     # as-of points: logs (kind 0) sort before a tick (kind 1) at the same instant
-    pts = logs.select("user_id", F.to_date("logged_at").alias("date"), F.col("logged_at").alias("at"),
-                      F.col("points").cast("bigint").alias("v"), F.lit(0).alias("kind"), F.col("id").alias("seq"))
+    days = goals.select("user_id", F.to_date("created_at").alias("date")).distinct()
+    pts = (logs.select("user_id", F.to_date("logged_at").alias("date"), F.col("logged_at").alias("at"),
+                       F.col("points").cast("bigint").alias("v"), F.lit(0).alias("kind"), F.col("id").alias("seq"))
+           .join(days, ["user_id", "date"], "left_semi"))
     tk = ticks.select("user_id", "date", F.col("tick").alias("at"), F.lit(0).cast("bigint").alias("v"),
                       F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("seq"))
     both = running_sum(pts.unionByName(tk), ["user_id", "date"], ["at", "kind", "seq"], "v", "total",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import goals as G
-from .registry import register
+from .registry import END, START, register
 
 _GOAL_TS = ("timezone('UTC', try_strptime(replace(goal_date, 'Z', '+00:00'), '%Y-%m-%dT%H:%M:%S%z'))")
 
@@ -100,3 +100,14 @@ WHERE t.tick < t.e"""
 def _g4(fx):
     t = G.goal_transitions(fx.user_activity_logs, fx.user_goals, "reference")
     return G.goal_reminders(fx.user_goals, t, fx.user_activity_logs)
+
+
+@register("goal_transitions_range", f"SELECT * FROM ({_G2_SQL}) WHERE date >= DATE '{START}' AND date < DATE '{END}'", _V)
+def _g2r(fx):
+    return G.goal_transitions(fx.user_activity_logs, fx.user_goals, "reference", start=START, end=END)
+
+
+@register("goal_reminders_range", f"SELECT * FROM ({_G4_SQL}) WHERE tick_at >= TIMESTAMP '{START}' AND tick_at < TIMESTAMP '{END}'", _V)
+def _g4r(fx):
+    t = G.goal_transitions(fx.user_activity_logs, fx.user_goals, "reference", start=START, end=END)
+    return G.goal_reminders(fx.user_goals, t, fx.user_activity_logs, start=START, end=END)

@@ -63,3 +63,9 @@ def test_log_date_partitions_pruned(spark, tmp_path):
     fx = Fixtures(spark, SF_SMALL)
     b = sorted(tuple(r) for r in D.daily_log_count(fx.user_activity_logs, fx.users, "2024-01-15").collect())
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["goal_transitions_range", "goal_reminders_range"])
+def test_goal_range_reaches_the_scan(spark, name):
+    scans = [x for x in plan(E.queries()[name](spark, SF_SMALL)).splitlines() if "FileScan" in x]
+    assert scans and all("GreaterThanOrEqual(ts,2024-01-08T00:00)" in x and "LessThan(ts,2024-01-22T00:00)" in x for x in scans if "value" in x)
