@@ -36,12 +36,34 @@ def delete_activities(acts: DataFrame, logs: DataFrame, ids: DataFrame) -> tuple
     return new_acts, kept.unionByName(logs.where(F.col("activity_id").isNull()))
 
 
-# The reference's foreign keys on users — cascading ones
-# (table, column) and ones without ON DELETE (which block the delete).
-USER_CASCADES = [("user_goals", "user_id"), ("team_memberships", "user_id"),
-                 ("team_invitations", "sender_id"), ("team_invitations", "recipient_id"),
-                 ("user_activity_logs", "user_id"), ("user_streaks", "user_id")]
-USER_BLOCKERS = [("user_activities", "user_id"), ("teams", "created_by"), ("password_reset", "user_id")]
+# The constraints of the final schema. Per table: unique keys
+# (the primary key first), foreign keys (column, parent, what a delete of the
+# parent does), and the other columns that may not be NULL.
+CASCADE, BLOCK = "cascade", "block"
+CONSTRAINTS: dict[str, tuple] = {
+    "users": ([("id",), ("email",), ("username",), ("google_id",)], [], ["username", "email"]),
+    "user_activities": ([("id",)], [("user_id", "users", BLOCK)], ["name", "points", "activity_type"]),
+    "user_activity_logs": ([("id",)], [("user_id", "users", CASCADE), ("activity_id", "user_activities", CASCADE)],
+                           ["duration", "points", "activity_description", "logged_at"]),
+    "user_goals": ([("id",)], [("user_id", "users", CASCADE)], ["goal_date", "goal_points", "created_at"]),
+    "user_streaks": ([("user_id",)], [("user_id", "users", CASCADE)], []),
+    "teams": ([("id",)], [("created_by", "users", BLOCK)], ["name", "team_industry", "team_size", "is_private"]),
+    "team_memberships": ([("id",), ("team_id", "user_id")], [("team_id", "teams", CASCADE), ("user_id", "users", CASCADE)], []),
+    "team_roles": ([("id",), ("role_name", "team_id")], [("team_id", "teams", BLOCK)], ["role_name"]),
+    "team_user_roles": ([("id",), ("team_membership_id", "role_id")],
+                        [("team_membership_id", "team_memberships", CASCADE), ("role_id", "team_roles", CASCADE)], []),
+    "team_activities": ([("id",)], [("team_id", "teams", CASCADE)], ["activity_name", "points", "created_at", "updated_at"]),
+    "team_invitations": ([("id",)], [("team_id", "teams", CASCADE), ("sender_id", "users", CASCADE), ("recipient_id", "users", CASCADE)],
+                         ["status", "created_at"]),
+    "team_activity_logs": ([("id",)], [("team_id", "teams", BLOCK), ("user_id", "users", BLOCK)], ["activity_name", "points", "logged_at"]),
+    "team_activity_requests": ([("id",)], [("team_id", "teams", BLOCK), ("user_id", "users", BLOCK)], ["activity_name", "points", "created_at"]),
+    "password_reset": ([("token",)], [("user_id", "users", BLOCK)], ["expires_at"]),
+    "suggestions": ([("id",)], [], ["title", "description"]),
+}
+NULLABLE_KEYS = {("users", "google_id"), ("user_activity_logs", "activity_id")}
+
+USER_CASCADES = [(t, c) for t, (_, fks, _) in CONSTRAINTS.items() for c, ref, rule in fks if ref == "users" and rule == CASCADE]
+USER_BLOCKERS = [(t, c) for t, (_, fks, _) in CONSTRAINTS.items() for c, ref, rule in fks if ref == "users" and rule == BLOCK]
 
 
 def cascade_delete_users(tables: dict[str, DataFrame], user_ids: DataFrame) -> dict[str, DataFrame]:
@@ -67,64 +89,61 @@ def cascade_delete_users(tables: dict[str, DataFrame], user_ids: DataFrame) -> d
     return out
 
 
-# Further foreign keys of the reference schema (table, column, parent).
-USER_AND_TEAM_KEYS = [
-    ("user_goals", "user_id", "users"),
-    ("team_memberships", "team_id", "teams"),
-    ("team_memberships", "user_id", "users"),
-    ("team_roles", "team_id", "teams"),
-    ("team_user_roles", "role_id", "team_roles"),
-    ("team_invitations", "team_id", "teams"),
-    ("team_invitations", "sender_id", "users"),
-    ("team_invitations", "recipient_id", "users"),
-    ("password_reset", "user_id", "users"),
-]
+def audit_rules(tables: dict[str, list[str]]) -> list[tuple[str, str, str, tuple, str | None]]:
+    """(table, rule name, kind, columns, parent) of every constraint whose columns and parent are given; ``tables``:
+    table -> columns."""
+    rules = []
+    for t, (keys, fks, others) in CONSTRAINTS.items():
+        have = set(tables.get(t, ()))
+        for i, key in enumerate(keys):
+            if have.issuperset(key):
+                rules.append((t, f"{'unique' if i else 'pk'}({','.join(key)})", "unique", key, None))
+        for c, ref, _ in fks:
+            if c in have and ref in tables:
+                rules.append((t, f"fk({c})", "child", (c,), ref))
+        for c in dict.fromkeys([c for key in keys for c in key] + [f[0] for f in fks] + others):
+            if c in have and (t, c) not in NULLABLE_KEYS:
+                rules.append((t, f"not null({c})", "null", (c,), None))
+    return rules
 
 
 def integrity_audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """M4: violations per primary key, unique, foreign key and not-null
-    rule of the reference schema; one small aggregate per rule, unioned.
-    Rules on goals, teams and invitations need those tables to be given."""
-    rows: list[DataFrame] = []
-
-    def dup(t, cols, rule):
-        keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])  # NULLs never clash
-        d = tables[t].where(keyed).groupBy(*cols).count().where(F.col("count") > 1)
-        rows.append(d.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("violations"))
-                    .select(F.lit(t).alias("table"), F.lit(rule).alias("rule"), "violations"))
-
-    def fk(t, col, ref, ref_col, rule):
-        child = tables[t].where(F.col(col).isNotNull()).select(F.col(col).alias("_k"))
-        parent = tables[ref].select(F.col(ref_col).alias("_k")).distinct()
-        rows.append(child.join(parent, "_k", "left_anti").agg(F.count(F.lit(1)).alias("violations"))
-                    .select(F.lit(t).alias("table"), F.lit(rule).alias("rule"), "violations"))
-
-    def notnull(t, col, rule):
-        rows.append(tables[t].agg(F.sum(F.col(col).isNull().cast("bigint")).alias("violations"))
-                    .select(F.lit(t).alias("table"), F.lit(rule).alias("rule"),
-                            F.coalesce("violations", F.lit(0)).alias("violations")))
-
-    dup("users", ["id"], "pk(id)")
-    dup("users", ["email"], "unique(email)")
-    dup("users", ["username"], "unique(username)")
-    dup("users", ["google_id"], "unique(google_id)")
-    notnull("users", "email", "not null(email)")
-    dup("user_activities", ["id"], "pk(id)")
-    fk("user_activities", "user_id", "users", "id", "fk(user_id)")
-    dup("user_activity_logs", ["id"], "pk(id)")
-    fk("user_activity_logs", "user_id", "users", "id", "fk(user_id)")
-    fk("user_activity_logs", "activity_id", "user_activities", "id", "fk(activity_id)")
-    dup("team_memberships", ["team_id", "user_id"], "unique(team_id,user_id)")
-    dup("team_roles", ["role_name", "team_id"], "unique(role_name,team_id)")
-    dup("team_user_roles", ["team_membership_id", "role_id"], "unique(team_membership_id,role_id)")
-    fk("team_user_roles", "team_membership_id", "team_memberships", "id", "fk(team_membership_id)")
-    for t in ("user_goals", "teams", "team_memberships", "team_roles", "team_invitations"):
-        if t in tables:
-            dup(t, ["id"], "pk(id)")
-    for t, c, ref in USER_AND_TEAM_KEYS:
-        if t in tables and ref in tables:
-            fk(t, c, ref, "id", f"fk({c})")
-    return reduce(DataFrame.unionByName, rows).select("table", "rule", F.col("violations").cast("bigint"))
+    """M4: violations of every unique key, foreign key and not-null rule of
+    the schema that the given tables have the columns for.
+
+    Each table is read once: a row gives one entry (rule, key, side) per rule
+    that its table takes part in, as a key's holder, a reference, a parent
+    that references look for, or a NULL. One aggregate per (rule, key), with
+    map-side partial counts (so a much-referenced parent costs one row a
+    task), then one per rule. Rows beyond the first of a key, references
+    without a parent, and NULLs are violations; NULL keys never clash."""
+    spark = next(iter(tables.values())).sparkSession
+    rules = audit_rules({t: df.columns for t, df in tables.items()})
+    text = lambda cols: F.concat_ws("\x1f", *[F.col(c).cast("string") for c in cols])
+    parts = []
+    for t, df in tables.items():
+        entries = []
+        for n, (table, _, kind, cols, parent) in enumerate(rules):
+            entry = lambda key, side: F.struct(F.lit(n).alias("rule_id"), key.alias("k"), F.lit(side).alias("side"))  # noqa: B023, E731
+            given = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]) if table == t else None
+            if table == t and kind == "null":
+                entries.append(F.when(F.col(cols[0]).isNull(), entry(F.lit(""), 0)))
+            elif table == t:
+                entries.append(F.when(given, entry(text(cols), 0)))
+            if parent == t:
+                key = CONSTRAINTS[t][0][0]
+                entries.append(F.when(F.col(key[0]).isNotNull(), entry(text(key), 1)))
+        if entries:
+            parts.append(df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*"))
+    names = spark.createDataFrame([(n, t, r, kind) for n, (t, r, kind, _, _) in enumerate(rules)], "rule_id int, `table` string, rule string, kind string")
+    per = (reduce(DataFrame.unionByName, parts).groupBy("rule_id", "k")
+           .agg(F.count(F.when(F.col("side") == 0, 1)).alias("rows"), F.max("side").alias("parent")))
+    kinds = names.select("rule_id", "kind")
+    bad = (F.when(F.col("kind") == "unique", F.col("rows") - 1).when(F.col("kind") == "null", F.col("rows"))
+           .when(F.col("parent") == 0, F.col("rows")).otherwise(0))
+    counts = per.join(kinds, "rule_id").groupBy("rule_id").agg(F.sum(bad).alias("violations"))
+    return (names.join(counts, "rule_id", "left")
+            .select("table", "rule", F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations")))
 
 
 def rescore_catalog(acts: DataFrame, rates: DataFrame) -> DataFrame:

@@ -120,11 +120,11 @@ def redeem_resets(resets: DataFrame, attempts: DataFrame, users: DataFrame) -> D
 
 
 def account_kind(users: DataFrame) -> DataFrame:
-    """Password accounts hide google_id; Google accounts have no
-    password. (Fixtures: a password exists when google_id is NULL.)"""
-    has_pw = F.col("google_id").isNull()
+    """An account with a password shows no google_id, also when it has
+    one; an account without shows it."""
+    has_pw = F.col("password_hash").isNotNull()
     return users.select("id", "username", "email", has_pw.alias("has_password"),
-                        F.when(has_pw, F.lit(None).cast("string")).otherwise(F.col("google_id")).alias("google_id"))
+                        F.when(~has_pw, F.col("google_id")).alias("google_id"))
 
 
 EMAIL_TAKEN = "Email already exists"        # fixed values: the reference's

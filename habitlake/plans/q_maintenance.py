@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
+from ..sources.tables import APP_SCHEMAS
 from .registry import register
 
 _ACT_COLS = "id, user_id, name, points, activity_type"
@@ -39,7 +40,7 @@ def _m2l(fx):
 
 
 _M3_TABLES = ("users", "user_goals", "team_memberships", "team_invitations", "user_activities",
-              "user_activity_logs", "teams", "password_reset", "team_user_roles")
+              "user_activity_logs", "teams", "password_reset", "team_user_roles", "team_activity_logs", "team_activity_requests")
 
 
 def _m3_tables(fx):
@@ -49,7 +50,8 @@ def _m3_tables(fx):
 @register("cascade_delete_users", """
 WITH req AS (SELECT c_custkey AS uid FROM customer WHERE c_acctbal < 0),
 blk AS (SELECT uid FROM req WHERE uid IN (SELECT created_by FROM teams) OR uid IN (SELECT user_id FROM password_reset)
-  OR uid IN (SELECT user_id FROM user_activities)),
+  OR uid IN (SELECT user_id FROM user_activities) OR uid IN (SELECT user_id FROM team_activity_logs)
+  OR uid IN (SELECT user_id FROM team_activity_requests)),
 gone AS (SELECT uid FROM req WHERE uid NOT IN (SELECT uid FROM blk)),
 gm AS (SELECT id FROM team_memberships WHERE user_id IN (SELECT uid FROM gone))
 SELECT 'blocked' AS table_name, COUNT(*) AS n_rows FROM blk
@@ -62,6 +64,8 @@ UNION ALL SELECT 'user_activities', COUNT(*) FROM user_activities
 UNION ALL SELECT 'user_activity_logs', COUNT(*) FROM user_activity_logs WHERE user_id NOT IN (SELECT uid FROM gone)
 UNION ALL SELECT 'teams', COUNT(*) FROM teams
 UNION ALL SELECT 'password_reset', COUNT(*) FROM password_reset
+UNION ALL SELECT 'team_activity_logs', COUNT(*) FROM team_activity_logs
+UNION ALL SELECT 'team_activity_requests', COUNT(*) FROM team_activity_requests
 UNION ALL SELECT 'team_user_roles', COUNT(*) FROM team_user_roles WHERE team_membership_id NOT IN (SELECT id FROM gm)""",
           _M3_TABLES)
 def _m3(fx):
@@ -75,58 +79,33 @@ def _m3(fx):
     return res
 
 
+_AUDITED = ("user_activities", "user_activity_logs", "user_goals", "teams", "team_memberships", "team_roles", "team_user_roles",
+            "team_activities", "team_invitations", "team_activity_logs", "team_activity_requests", "password_reset", "suggestions")
+
+
 def _audit_tables(fx):
     # registrations stand in for the users table, so unique rules have hits
-    return {"users": fx.registrations.withColumn("google_id", F.lit(None).cast("string")),
-            "user_activities": fx.user_activities, "user_activity_logs": fx.user_activity_logs,
-            "team_memberships": fx.team_memberships, "team_roles": fx.team_roles,
-            "team_user_roles": fx.team_user_roles,
-            **{t: fx[t] for t in ("user_goals", "teams", "team_invitations", "password_reset")}}
-
-
-def _dup(t, cols, rule):
-    nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
-    return (f"SELECT '{t}' AS \"table\", '{rule}' AS rule, CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS violations FROM "
-            f"(SELECT COUNT(*) AS n FROM {t} WHERE {nn} GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1)")
-
-
-def _fk(t, c, ref, rc, rule):
-    return (f"SELECT '{t}', '{rule}', COUNT(*) FROM {t} WHERE {c} IS NOT NULL "
-            f"AND {c} NOT IN (SELECT {rc} FROM {ref} WHERE {rc} IS NOT NULL)")
-
-
-_AUDIT = "\nUNION ALL ".join([
-    _dup("users", ["id"], "pk(id)"), _dup("users", ["email"], "unique(email)"),
-    _dup("users", ["username"], "unique(username)"), _dup("users", ["google_id"], "unique(google_id)"),
-    "SELECT 'users', 'not null(email)', CAST(COUNT(*) FILTER (WHERE email IS NULL) AS BIGINT) FROM users",
-    _dup("user_activities", ["id"], "pk(id)"), _fk("user_activities", "user_id", "users", "id", "fk(user_id)"),
-    _dup("user_activity_logs", ["id"], "pk(id)"), _fk("user_activity_logs", "user_id", "users", "id", "fk(user_id)"),
-    _fk("user_activity_logs", "activity_id", "user_activities", "id", "fk(activity_id)"),
-    _dup("team_memberships", ["team_id", "user_id"], "unique(team_id,user_id)"),
-    _dup("team_roles", ["role_name", "team_id"], "unique(role_name,team_id)"),
-    _dup("team_user_roles", ["team_membership_id", "role_id"], "unique(team_membership_id,role_id)"),
-    _fk("team_user_roles", "team_membership_id", "team_memberships", "id", "fk(team_membership_id)"),
-    _dup("user_goals", ["id"], "pk(id)"),
-    _dup("teams", ["id"], "pk(id)"),
-    _dup("team_memberships", ["id"], "pk(id)"),
-    _dup("team_roles", ["id"], "pk(id)"),
-    _dup("team_invitations", ["id"], "pk(id)"),
-    _fk("user_goals", "user_id", "users", "id", "fk(user_id)"),
-    _fk("team_memberships", "team_id", "teams", "id", "fk(team_id)"),
-    _fk("team_memberships", "user_id", "users", "id", "fk(user_id)"),
-    _fk("team_roles", "team_id", "teams", "id", "fk(team_id)"),
-    _fk("team_user_roles", "role_id", "team_roles", "id", "fk(role_id)"),
-    _fk("team_invitations", "team_id", "teams", "id", "fk(team_id)"),
-    _fk("team_invitations", "sender_id", "users", "id", "fk(sender_id)"),
-    _fk("team_invitations", "recipient_id", "users", "id", "fk(recipient_id)"),
-    _fk("password_reset", "user_id", "users", "id", "fk(user_id)"),
-])
-
-
-@register("integrity_audit", f"""
-WITH users AS (SELECT id, username, email, CAST(NULL AS VARCHAR) AS google_id FROM registrations)
-{_AUDIT}""", ("registrations", "user_activities", "user_activity_logs", "team_memberships", "team_roles",
-              "team_user_roles", "user_goals", "teams", "team_invitations", "password_reset"))
+    return {"users": fx.registrations.withColumn("google_id", F.lit(None).cast("string")), **{t: fx[t] for t in _AUDITED}}
+
+
+def _rule_sql(table, rule, kind, cols, parent):
+    """One query per rule."""
+    keys = ", ".join(cols)
+    given = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    head = f"SELECT '{table}' AS \"table\", '{rule}' AS rule, CAST"
+    if kind == "unique":
+        return f"{head}(count(*) FILTER (WHERE {given}) - count(DISTINCT CASE WHEN {given} THEN ({keys}) END) AS BIGINT) AS violations FROM {table}"
+    if kind == "null":
+        return f"{head}(count(*) - count({keys}) AS BIGINT) FROM {table}"
+    key = M.CONSTRAINTS[parent][0][0][0]
+    return f"{head}(count(*) AS BIGINT) FROM (SELECT {keys} FROM {table} WHERE {given}) c ANTI JOIN {parent} p ON p.{key} = c.{keys}"
+
+
+_COLUMNS = {t: APP_SCHEMAS[t].names for t in _AUDITED} | {"users": ["id", "username", "email", "google_id"]}
+
+
+@register("integrity_audit", "WITH users AS (SELECT id, username, email, CAST(NULL AS VARCHAR) AS google_id FROM registrations)\n"
+          + "\nUNION ALL ".join(_rule_sql(*r) for r in M.audit_rules(_COLUMNS)), ("registrations", *_AUDITED))
 def _m4(fx):
     return M.integrity_audit(_audit_tables(fx))
 

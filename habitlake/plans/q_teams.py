@@ -352,8 +352,8 @@ def _u4(fx):
 
 
 @register("account_kind", """
-SELECT id, username, email, google_id IS NULL AS has_password,
- CASE WHEN google_id IS NULL THEN NULL ELSE google_id END AS google_id FROM users""", ("users",))
+SELECT id, username, email, password_hash IS NOT NULL AS has_password,
+ CASE WHEN password_hash IS NULL THEN google_id END AS google_id FROM users""", ("users",))
 def _u5(fx):
     return U.account_kind(fx.users)
 

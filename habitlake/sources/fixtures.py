@@ -56,7 +56,8 @@ def _values(rows, cols) -> str:
 VIEWS: dict[str, str] = {
     "users": """
 SELECT c_custkey AS id, c_name AS username, lower(concat(c_name,'@example.org')) AS email,
- CASE WHEN c_custkey % 4 = 0 THEN concat('g-', CAST(c_custkey AS STRING)) END AS google_id
+ CASE WHEN c_custkey % 4 = 0 THEN concat('g-', CAST(c_custkey AS STRING)) END AS google_id,
+ CASE WHEN c_custkey % 4 <> 0 OR c_mktsegment = 'BUILDING' THEN concat('hash-', CAST(c_custkey AS STRING)) END AS password_hash
 FROM {customer}""",
     "activity_rates": _values([(k, n, p) for k, (n, p) in enumerate(DEFAULT_CATALOG)],
                               ["k", "name", "points"]),
@@ -106,6 +107,13 @@ SELECT p_partkey AS id, p_partkey % 25 AS team_id, p_name AS activity_name, p_si
  CASE p_partkey % 4 WHEN 0 THEN array() WHEN 1 THEN array('1-URGENT') WHEN 2 THEN array('2-HIGH','3-MEDIUM')
   ELSE array('5-LOW','2-HIGH','1-URGENT') END AS activity_roles
 FROM {part}""",
+    # work that team members logged, and activities they asked for
+    "team_activity_logs": """
+SELECT event_id AS id, user_id % 27 AS team_id, user_id, event_type AS activity_name, CAST(floor(value) AS INT) - 40 AS points, ts AS logged_at
+FROM {events} WHERE event_type = 'purchase'""",
+    "team_activity_requests": """
+SELECT event_id AS id, user_id % 25 AS team_id, user_id, event_type AS activity_name, CAST(floor(value) AS INT) % 10 AS points, ts AS created_at
+FROM {events} WHERE event_type = 'error'""",
     "team_invitations": """
 SELECT o_orderkey AS id, o_orderkey % 25 AS team_id, o_orderkey % 97 AS sender_id, o_custkey AS recipient_id,
  'pending' AS status, o_orderdate AS created_at, o_orderstatus = 'F' AS seen

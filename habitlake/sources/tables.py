@@ -14,8 +14,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_L, _I, _S, _D, _TS = (T.LongType(), T.IntegerType(), T.StringType(),
-                       T.DoubleType(), T.TimestampNTZType())
+_L, _I, _S, _D, _TS, _B = (T.LongType(), T.IntegerType(), T.StringType(),
+                           T.DoubleType(), T.TimestampNTZType(), T.BooleanType())
 
 
 def _schema(*cols) -> T.StructType:
@@ -44,7 +44,7 @@ BASE_SCHEMAS: dict[str, T.StructType] = {
 
 # Application tables (final state of the reference schema, ids as BIGINT).
 APP_SCHEMAS: dict[str, T.StructType] = {
-    "users": _schema(("id", _L), ("username", _S), ("email", _S), ("google_id", _S)),
+    "users": _schema(("id", _L), ("username", _S), ("email", _S), ("google_id", _S), ("password_hash", _S)),
     "user_activities": _schema(("id", _L), ("user_id", _L), ("name", _S), ("points", _I),
                                ("activity_type", _S)),
     "user_activity_logs": _schema(("id", _L), ("user_id", _L), ("activity_id", _L),
@@ -54,9 +54,26 @@ APP_SCHEMAS: dict[str, T.StructType] = {
                           ("goal_points", _I), ("created_at", _TS), ("status", _S)),
     "user_streaks": _schema(("user_id", _L), ("current_streak", _I), ("longest_streak", _I),
                             ("last_logged_date", T.DateType())),
+    "teams": _schema(("id", _L), ("name", _S), ("team_industry", _S), ("team_size", _I), ("is_private", _B), ("created_by", _L)),
+    "team_memberships": _schema(("id", _L), ("team_id", _L), ("user_id", _L)),
+    "team_roles": _schema(("id", _L), ("role_name", _S), ("team_id", _L)),
+    "team_user_roles": _schema(("id", _L), ("team_membership_id", _L), ("role_id", _L)),
+    "team_activities": _schema(("id", _L), ("team_id", _L), ("activity_name", _S), ("points", _I), ("created_at", T.DateType()),
+                               ("updated_at", T.DateType()), ("activity_roles", T.ArrayType(_S))),
+    "team_invitations": _schema(("id", _L), ("team_id", _L), ("sender_id", _L), ("recipient_id", _L), ("status", _S),
+                                ("created_at", _TS), ("seen", _B)),
+    "team_activity_logs": _schema(("id", _L), ("team_id", _L), ("user_id", _L), ("activity_name", _S), ("points", _I), ("logged_at", _TS)),
+    "team_activity_requests": _schema(("id", _L), ("team_id", _L), ("user_id", _L), ("activity_name", _S), ("points", _I), ("created_at", _TS)),
+    "suggestions": _schema(("id", _L), ("title", _S), ("description", _S), ("user_id", _L), ("upvote", _I)),
+    "password_reset": _schema(("token", _L), ("user_id", _L), ("created_at", _TS), ("expires_at", _TS)),
 }
 
 
+def read_app_table(spark: SparkSession, app_dir: str, name: str) -> DataFrame:
+    """A stored application table with its fixed schema."""
+    return spark.read.schema(APP_SCHEMAS[name]).parquet(os.path.join(app_dir, f"{name}.parquet"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
     return spark.read.schema(BASE_SCHEMAS[name]).parquet(path)

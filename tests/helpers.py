@@ -7,7 +7,7 @@ from habitlake.sources.tables import APP_SCHEMAS
 LOGS = APP_SCHEMAS["user_activity_logs"]
 ACTS = APP_SCHEMAS["user_activities"]
 GOALS = APP_SCHEMAS["user_goals"]
-USERS = APP_SCHEMAS["users"]
+USERS = T.StructType(APP_SCHEMAS["users"].fields[:4])  # without the password
 
 
 def ts(s):

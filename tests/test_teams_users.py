@@ -253,3 +253,38 @@ def test_role_classes_complement(spark):
         mine.setdefault(r.team_membership_id, set()).add(r.role_id)
     got = {r.team_membership_id: names - h.get(r.class_id, set()) for r in members.collect()}
     assert got == {r.id: names - mine.get(r.id, set()) for r in mem.collect()}
+
+
+def test_account_with_password_and_google_id(spark):
+    users = df(spark, [(1, "a", "a@x", None, "h"), (2, "b", "b@x", "g", "h"), (3, "c", "c@x", "g3", None)],
+               "id long, username string, email string, google_id string, password_hash string")
+    assert rows(U.account_kind(users), "id", "has_password") == [(1, True), (2, True), (3, False)]
+    assert [r.google_id for r in U.account_kind(users).orderBy("id").collect()] == [None, None, "g3"]
+
+
+def test_audit_counts_every_rule_in_one_scan_per_table(spark):
+    users = df(spark, [(1, "a", "a@x", None), (1, "b", None, "g"), (2, None, "a@x", "g"), (None, "c", "c@x", "g")], USERS)
+    teams = df(spark, [(7, "t", "i", 5, False, 1), (8, None, "i", 5, None, 99), (8, "u", "i", None, True, None)], "id long, name string, "
+               "team_industry string, team_size int, is_private boolean, created_by long")
+    mem = df(spark, [(1, 7, 1), (2, 7, 1), (3, 7, None), (4, 9, 3)], TEAM_SCHEMAS["memberships"])
+    out = {(r.table, r.rule): r.violations for r in M.integrity_audit({"users": users, "teams": teams, "team_memberships": mem}).collect()}
+    assert {k: v for k, v in out.items() if v} == {
+        ("users", "pk(id)"): 1, ("users", "unique(email)"): 1, ("users", "unique(google_id)"): 2, ("users", "not null(id)"): 1,
+        ("users", "not null(email)"): 1, ("users", "not null(username)"): 1, ("teams", "pk(id)"): 1, ("teams", "fk(created_by)"): 1,
+        ("teams", "not null(created_by)"): 1, ("teams", "not null(name)"): 1, ("teams", "not null(team_size)"): 1, ("teams", "not null(is_private)"): 1,
+        ("team_memberships", "unique(team_id,user_id)"): 1, ("team_memberships", "fk(team_id)"): 1, ("team_memberships", "fk(user_id)"): 1,
+        ("team_memberships", "not null(user_id)"): 1}
+    assert out["users", "unique(username)"] == 0 and ("team_roles", "pk(id)") not in out
+    plan = M.integrity_audit({"users": users, "teams": teams, "team_memberships": mem})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 5  # three tables, the rules twice
+
+
+def test_stored_tables_have_the_fixed_schemas(spark, fx, tmp_path):
+    from habitlake.sources.tables import APP_SCHEMAS, read_app_table
+    for name, schema in APP_SCHEMAS.items():
+        if name == "user_streaks":
+            continue
+        wide = lambda t: t.simpleString().replace("int", "bigint").replace("bigbig", "big")  # noqa: E731  (small fixture keys are ints)
+        assert [(f.name, wide(f.dataType)) for f in fx[name].schema] == [(f.name, wide(f.dataType)) for f in schema], name
+    fx.teams.write.parquet(str(tmp_path / "teams.parquet"))
+    assert read_app_table(spark, str(tmp_path), "teams").count() == fx.teams.count()
