@@ -276,3 +276,37 @@ def test_parity_sketch_keeps_every_link(spark, percent):
     similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
                if i != j and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))}
     assert similar and similar <= left < {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j}
+
+
+def plain_distance(p, q):
+    """Jensen-Shannon distance (base 2) of two histograms."""
+    import math
+    keys = set(p) | set(q)
+    part = lambda a: sum(a.get(k, 0) * math.log2(2 * a.get(k, 0) / (p.get(k, 0) + q.get(k, 0))) for k in keys if a.get(k, 0) > 0)
+    return math.sqrt(max((part(p) + part(q)) / 2, 0))
+
+
+def test_divergence_of_many_languages(spark):
+    """40 languages of their own words and letters: clean documents of all of them are kept, also of the smallest;
+    word distances are those of plain histograms over each language's common words."""
+    import random
+    rng = random.Random(4)
+    rows, says = [], {}
+    for n in range(40):
+        letters = [chr(0x100 + 3 * n + k) if n % 2 else chr(97 + (n + 5 * k) % 26) for k in range(6)]
+        says[f"l{n}"] = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) + (f"{n}" if n % 3 == 0 else "") for _ in range(40)]
+        for i in range(8):
+            rows.append((n * 100 + i, " ".join(rng.choice(says[f"l{n}"]) for _ in range(120 - n)), f"l{n}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in divergence.judge(df).collect()}
+    assert len(got) == 320 and all(r.kept for r in got.values() if not r.base_failed) and sum(r.base_failed for r in got.values()) == 0
+    for lang in ("l0", "l35", "l39"):
+        mine = [t.split() for _, t, x in rows if x == lang]
+        total = Counter(w for t in mine for w in t)
+        whole = {w: c / sum(total.values()) for w, c in total.items()}
+        for d, t, x in rows:
+            if x == lang:
+                p = {w: c / len(t.split()) for w, c in Counter(t.split()).items()}
+                want = plain_distance(p, whole)
+                if want <= divergence.MAX_WORD_DISTANCE:
+                    assert abs(got[d].word_distance - want) < 1e-6, (lang, got[d].word_distance, want)
