@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.exprs import REMINDER_EVERY_HOURS, as_date, prune_days, ts_lit
 from ..functions.windows import running_sum
 
-# RFC 3339 layouts accepted for goal_date (UTC designator or numeric offset).
-RFC3339_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+# RFC 3339: date, 'T', time, any fraction of a second, and 'Z' or a numeric offset.
+RFC3339 = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
 
 
 def set_goals(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """G1: parse goal_date (RFC 3339) and append goals with status
-    'not completed'. The reference ignores a parse error and stores year 1;
-    here such rows go to the rejects frame with a reason."""
-    ts = F.coalesce(*[F.try_to_timestamp(F.col("goal_date"), F.lit(f)) for f in RFC3339_FORMATS])
-    parsed = requests.withColumn("_ts", ts)
+    'not completed'. The date is the one written, in its own offset, as a
+    DATE column takes it: 2024-01-15T00:30:00+02:00 is 2024-01-15. The
+    reference ignores a parse error and stores year 1; here such rows go to
+    the rejects frame with a reason."""
+    plain = F.concat(F.regexp_extract("goal_date", RFC3339, 1), F.regexp_extract("goal_date", RFC3339, 2))
+    parsed = requests.withColumn("_ts", F.try_to_timestamp(plain, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
     goals = parsed.where(F.col("_ts").isNotNull()).select(
-        "id", "user_id", F.to_date("_ts").alias("goal_date"), F.col("goal_points").cast("int").alias("goal_points"),
+        "id", "user_id", F.substring("goal_date", 1, 10).cast("date").alias("goal_date"), F.col("goal_points").cast("int").alias("goal_points"),
         F.col("requested_at").alias("created_at"), F.lit("not completed").alias("status"))
     rejects = parsed.where(F.col("_ts").isNull()).select(
         "id", "user_id", "goal_date", F.lit("invalid goal_date").alias("reason"))

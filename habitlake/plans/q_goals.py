@@ -5,11 +5,12 @@ from __future__ import annotations
 from ..operators import goals as G
 from .registry import END, START, register
 
-_GOAL_TS = ("timezone('UTC', try_strptime(replace(goal_date, 'Z', '+00:00'), '%Y-%m-%dT%H:%M:%S%z'))")
+# valid when DuckDB reads it as a time with an offset; the date is the one written
+_GOAL_TS = ("try_strptime(regexp_replace(replace(goal_date, 'Z', '+00:00'), '[.,][0-9]+', ''), '%Y-%m-%dT%H:%M:%S%z')")
 
 
 @register("set_goals", f"""
-SELECT id, user_id, CAST({_GOAL_TS} AS DATE) AS goal_date, CAST(goal_points AS INTEGER) AS goal_points,
+SELECT id, user_id, CAST(left(goal_date, 10) AS DATE) AS goal_date, CAST(goal_points AS INTEGER) AS goal_points,
  requested_at AS created_at, 'not completed' AS status
 FROM goal_requests WHERE {_GOAL_TS} IS NOT NULL""", ("goal_requests",))
 def _g1(fx):

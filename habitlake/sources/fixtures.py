@@ -172,11 +172,12 @@ SELECT event_id AS id, CASE WHEN event_id % 19 = 0 THEN '{{"activity_name": 5' E
  CASE WHEN event_id % 3 = 0 THEN concat(',"activity_id":"', CASE WHEN event_id % 9 = 0 THEN 'x' ELSE '' END,
   CAST(user_id * 10 + event_id % 10 AS STRING), '"') ELSE '' END, '}}') END AS value
 FROM {events}""",
-    # goal requests: every click sets a goal; some dates carry an offset, some are junk
+    # goal requests: every click sets a goal; some dates carry an offset or a fraction, some are junk
     "goal_requests": """
 SELECT event_id AS id, user_id,
  CASE WHEN event_id % 13 = 0 THEN concat('day ', CAST(event_id AS STRING))
   WHEN event_id % 5 = 0 THEN concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '+02:00')
+  WHEN event_id % 7 = 0 THEN concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '.123456789-11:30')
   ELSE date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") END AS goal_date,
  CAST(floor(value) AS INT) % 50 AS goal_points, ts AS requested_at
 FROM {events} WHERE event_type = 'click'""",
@@ -188,6 +189,7 @@ DUCKDB_OVERRIDES = {
 SELECT event_id AS id, user_id,
  CASE WHEN event_id % 13 = 0 THEN concat('day ', CAST(event_id AS VARCHAR))
   WHEN event_id % 5 = 0 THEN concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '+02:00')
+  WHEN event_id % 7 = 0 THEN concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '.123456789-11:30')
   ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS goal_date,
  CAST(floor(value) AS INT) % 50 AS goal_points, ts AS requested_at
 FROM {events} WHERE event_type = 'click'""",

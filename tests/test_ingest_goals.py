@@ -270,3 +270,15 @@ def test_append_is_idempotent_after_a_lost_writer(spark, tmp_path):
     assert rows(day, "id") == [(1,), (4,), (7,), (10,)]
     from test_plans import plan
     assert "PartitionFilters: [isnotnull(log_date" in plan(day)
+
+
+def test_goal_dates_are_the_ones_written(spark):
+    """Any offset and fraction; bad days, months, hours and layouts are rejected."""
+    good = {"2024-01-15T00:30:00+02:00": "2024-01-15", "2024-01-15T23:30:00-11:30": "2024-01-15", "2024-02-29T10:00:00.123456Z": "2024-02-29",
+            "2024-01-15T10:00:00.1Z": "2024-01-15", "2024-12-31T23:59:59.999999999+14:00": "2024-12-31"}
+    bad = ["", "2024-01-15", "2024-02-30T10:00:00Z", "2024-01-15T25:00:00Z", "2024-01-15 10:00:00Z", "2024-01-15T10:00:00", "2024-01-15T10:00:00.Z", "x2024-01-15T10:00:00Z", None]
+    req = df(spark, [(i, 1, g, 5, ts("2024-01-01 00:00:00")) for i, g in enumerate([*good, *bad])],
+             "id long, user_id long, goal_date string, goal_points int, requested_at timestamp_ntz")
+    goals, rejects = G.set_goals(req)
+    assert rows(goals, "id", "goal_date") == [(i, dt.date.fromisoformat(x)) for i, x in enumerate(good.values())]
+    assert rows(rejects, "id") == [(i,) for i in range(len(good), len(good) + len(bad))]
