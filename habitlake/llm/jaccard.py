@@ -6,9 +6,16 @@ prefix gram are paired under size and overlap bounds and pairs are expanded to t
 (one or two bits a gram) bounds the difference of a pair's sets from below, which drops most pairs that are no links and
 never one that is; the members left are verified on their whole sets.
 
-Only what decides the components is paired: in each group and each prefix gram's posting list, first every member with
-the least one; then, once the links found have been joined to components, members of different components. A pair left
-out lies in one component already, so no link between components is lost, and no group is spelled out into all pairs.
+Two sets of a and b grams are linked only if c = percent (a + b) / (100 + percent) of them are common, and the first
+common gram in the order has all common ones behind it: so a pair counts in a posting list only where both sets have c
+grams from that gram on. A set that has more rare grams of its own than a link can bear is met by none.
+
+Only what decides the components is paired: in each group every member with the least one, and in each posting list
+every group with the one in which the gram stands first (the copy with the least of its own in front, so that most near
+copies hang on it); then, once the links found have been joined to components, groups and members of different
+components. A pair left out lies in one component already, so no link between components is lost. All bounds, and that
+components differ, are conditions of the joins, so that pairs which fail them are never made; long posting lists are
+dealt to several tasks.
 
 Cases: null or wordless text has the empty set and stands alone; rows with one text count as one set; a component of
 rows without an id has a null component_id; rows that repeat an id are compared as rows of their own.
@@ -31,6 +38,8 @@ from .words import LOWER, NOT_SPACE, ngram_hashes, split_words, splitmix, text_c
 #: the counting sketch has 2**SKETCH_BITS counters (8 bytes each; 1 byte each once on a log scale), whatever the input
 SKETCH_BITS = 20
 _PART = 1 << 14
+#: a posting list is dealt to one task for each so many of its groups
+LIST_PART = 4096
 
 
 def sets_of(column: pa.Array, n: int):
@@ -135,13 +144,18 @@ def _odd_slots(x, y):
     return F.aggregate(differ, F.lit(0), lambda a, v: a + v)
 
 
+def _few_differ(percent: int, m: str, n: str, x: str, y: str):
+    """Not so many slots of the sketches x and y differ that sets of sizes m and n cannot be similar enough."""
+    slots = F.coalesce(_odd_slots(F.col(x), F.col(y)), F.lit(0))
+    return (100 + percent) * slots <= (100 - percent) * (F.col(m) + F.col(n))
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) less those whose sketches show that their sets differ in too many grams: sets of sizes m and n have at
     least `percent` % similarity only if they differ in (100 - percent) / (100 + percent) of m + n grams at most."""
     side = lambda name, n, odd: nodes.select(F.col("node").alias(name), F.col("n").alias(n), F.col("parity").alias(odd))
     both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
-    slots = F.coalesce(_odd_slots(F.col("x"), F.col("y")), F.lit(0))
-    return both.where((100 + percent) * slots <= (100 - percent) * (F.col("m") + F.col("n"))).select("a", "b")
+    return both.where(_few_differ(percent, "m", "n", "x", "y")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,44 +193,46 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     some = rows.where("n > 0")
     # the distinct sets, each with one of its rows, and the groups of equal size and prefix
     nodes = stored(some.groupBy("node", "grp", "n").agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity")), "nodes")
-    groups = some.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
+    groups = stored(some.groupBy("grp", "n").agg(F.first("prefix").alias("prefix")), "groups")
     heads = stored(nodes.groupBy("grp", "n").agg(F.min("node").alias("head")), "heads")
-    # posting lists of the prefix grams; size and position travel in one number, size first
-    entries = groups.select("grp", F.col("n"), F.posexplode("prefix").alias("pos", "gram")).select(
-        "gram", "grp", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
-    same = Window.partitionBy("gram")
-    posting = stored(entries.withColumn("least", F.min(F.struct("at", "grp")).over(same))
-                     .withColumn("many", F.count("*").over(same)).where("many > 1")
-                     .select("gram", "grp", *_unpacked("at", ""), F.col("least.grp").alias("grp0"), *_unpacked("least.at", "0")), "posting")
-
-    # round 1: each group's members with its head; each posting list's groups with the smallest of them
+    # posting lists of the prefix grams that several groups have
+    entries = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "gram"))
+    several = entries.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1")
+    posting = stored(entries.join(several, "gram"), "posting")
+
+    # round 1: each group's members with its head; each posting list's groups with that in which the gram stands first
     inner = nodes.join(heads, ["grp", "n"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    star = (posting.where("grp <> grp0 OR n <> n0").where(_similar(percent, "n", "n0", "pos", "pos0"))
+    centre = posting.groupBy("gram").agg(F.min(F.struct("pos", "n", "grp")).alias("c")).select(
+        "gram", F.col("c.pos").alias("pos0"), F.col("c.n").alias("n0"), F.col("c.grp").alias("grp0"))
+    star = (posting.join(centre, "gram").where("grp <> grp0 OR n <> n0").where(_similar(percent, "n", "n0", "pos", "pos0"))
             .select("grp", "n", "grp0", "n0").distinct())
     outer = (star.join(heads, ["grp", "n"])
              .join(heads.select(F.col("grp").alias("grp0"), F.col("n").alias("n0"), F.col("head").alias("head0")), ["grp0", "n0"])
              .select(F.least("head", "head0").alias("a"), F.greatest("head", "head0").alias("b")))
     first = stored(outer.unionAll(inner).distinct(), "pairs")
-    links = _link(docs, nodes, first, n, percent)
+    links = _link(docs, nodes, stored(_near(first, nodes, percent), "near"), n, percent)
     found = components(links)
 
     # round 2: what shares a group or a prefix gram but not a component yet
-    member = nodes.join(found.select("node", "comp"), "node", "left").select("node", "grp", "n", F.coalesce("comp", "node").alias("comp"))
-    member = stored(member, "member")
-    lists = posting.select("gram", "grp", "n", "pos").join(member, ["grp", "n"]).select(F.struct(F.lit(0).alias("kind"), F.col("gram").alias("key")).alias("list"), "node", "comp", "n", "pos")
-    alike = member.select(F.struct(F.lit(1).alias("kind"), F.col("grp").alias("key")).alias("list"), "node", "comp", "n", F.lit(0).alias("pos"))
-    lists = lists.unionAll(alike)
-    mixed = lists.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("list")
-    lists = stored(lists.join(mixed, "list"), "lists")
-    sides = lists.groupBy("list", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = sides.select("list", F.col("comp").alias("comp2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    across = (sides.join(other, "list").where(F.col("comp") < F.col("comp2"))
-              .where((100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))).select("list", "comp", "comp2"))
-    second = (across.join(lists, ["list", "comp"])
-              .join(lists.select("list", F.col("comp").alias("comp2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2")), ["list", "comp2"])
-              .where((F.col("list.kind") == 1) | _similar(percent, "n", "n2", "pos", "pos2"))
+    member = stored(nodes.join(found.select("node", "comp"), "node", "left").select("node", "grp", "n", "parity", F.coalesce("comp", "node").alias("comp")), "member")
+    spread = stored(member.groupBy("grp", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "spread")
+    lists = posting.join(spread, ["grp", "n"])
+    mixed = lists.groupBy("gram").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("gram")
+    lists = stored(lists.join(mixed, "gram").withColumn("parts", F.ceil(F.col("many") / LIST_PART)), "lists")
+    # the smaller set of a pair, or one of the same size, has the gram so far in front; it lies in one part of the list
+    small = (lists.where((100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n"))
+             .withColumn("part", F.pmod(F.xxhash64("grp", "n"), F.col("parts"))).drop("parts", "many"))
+    large = lists.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
+        "gram", "part", *[F.col(c).alias(c + "2") for c in ("grp", "n", "pos", "lo", "hi")])
+    across = (small.join(large, ["gram", "part"])
+              .where("(n < n2 OR (n = n2 AND grp < grp2)) AND least(lo, lo2) <> greatest(hi, hi2)")
+              .where(_similar(percent, "n", "n2", "pos", "pos2")).select("grp", "n", "grp2", "n2").distinct())
+    within = spread.where("lo <> hi").select("grp", "n", F.col("grp").alias("grp2"), F.col("n").alias("n2"))
+    second = (across.unionAll(within).join(member, ["grp", "n"])
+              .join(member.select(*[F.col(c).alias(c + "2") for c in member.columns]), ["grp2", "n2"])
+              .where("comp <> comp2 AND (grp <> grp2 OR n <> n2 OR node < node2)").where(_few_differ(percent, "n", "n2", "parity", "parity2"))
               .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")))
-    rest = stored(second.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    rest = stored(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     more = _link(docs, nodes, rest, n, percent)
     label = found.select("node", "comp")
     joined = (more.join(label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
@@ -231,19 +247,14 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _unpacked(col: str, tail: str):
-    return [F.shiftright(F.col(col), 32).alias("n" + tail), F.col(col).bitwiseAND(0xFFFFFFFF).alias("pos" + tail)]
-
-
 def _similar(percent: int, a: str, b: str, i: str, j: str):
-    """Sets of sizes a and b with a common gram at positions i and j of the global order can be similar enough: at most
-    min(i, j) common grams stand before it and min(a - i, b - j) from it on."""
-    most = F.least(F.col(i), F.col(j)) + F.least(F.col(a) - F.col(i), F.col(b) - F.col(j))
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most >= percent * (F.col(a) + F.col(b)))
+    """Sets of sizes a and b whose first common gram has the places i and j can be similar enough: their sizes allow it,
+    and each has as many grams from there on as have to be common."""
+    behind = F.least(F.col(a) - F.col(i), F.col(b) - F.col(j))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * behind >= percent * (F.col(a) + F.col(b)))
 
 
 def _link(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    pairs = stored(_near(pairs, nodes, percent), "near")
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     sets = stored(_sets(docs, nodes.join(wanted, "node").select("node", "doc_id"), n), "grams")
     return stored(_verified(pairs, sets, percent), "links")

@@ -1,6 +1,7 @@
 """Each operator against the plain form of its contract, on odd rows, on real rows and on an empty table."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -105,6 +106,35 @@ def test_jaccard(docs, n, percent):
     same(got, brute.components(pairs(docs), n, percent))
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (1, 60)])
+def test_jaccard_of_many_near_copies(spark, monkeypatch, n, percent):
+    """Near copies that differ in 0 to 15 words at chance places, chains of copies of copies, and a passage that texts
+    of all lengths share; posting lists are dealt to parts of two groups."""
+    monkeypatch.setattr(jaccard, "LIST_PART", 2)
+    rng = random.Random(n)
+    say = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
+
+    def edit(words, k):
+        out = list(words)
+        for _ in range(k):
+            out[rng.randrange(len(out))] = f"x{rng.randrange(10**6)}"
+        return out
+
+    base, passage = say(150), say(40)
+    texts = [edit(base, rng.randrange(16)) for _ in range(120)]
+    for _ in range(3):
+        chain = say(60)
+        for _ in range(25):
+            texts.append(chain)
+            chain = edit(chain, 1) + (["tail"] if rng.random() < 0.2 else [])
+    texts += [say(k) + passage + say(k // 2) for k in range(60)] + [list(reversed(passage))] * 3
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = brute.components(pairs(docs), n, percent)
+    assert 20 < len({c for _, _, c in want}) < len(texts) - 20
+    same([tuple(r) for r in jaccard.link_components(docs, n, percent).collect()], want)
+
+
 def test_one_of_each(docs):
     kept = jaccard.one_of_each(docs, 5, 80)
     assert kept.columns == docs.columns
