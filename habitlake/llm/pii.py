@@ -3,14 +3,17 @@ r"""Personal data by boosted candidates (op1, built of DataFrame functions only)
 Base rules find e-mail addresses, IPv4 addresses, card numbers and phone numbers. Wider generators of each kind propose
 further spans: obfuscated addresses, numbers that a base rule ran together or cut, phones without a plus. Boosted trees
 score a span by its format (digits, groups, separators, checksum) and context (neighbouring characters, cue words in
-front). They learn from the whole corpus: base spans are the positives, other candidates the unlabelled rest, counted in
-one grouping by feature vector, whose number is bounded by the feature ranges. Each kind's threshold is the lowest score
-at which ``PRECISION`` of the held-back candidates are positives, and even odds at least. Candidates from it on, off all base spans, are added.
+front). They learn from the whole corpus: positives are the base spans and what they look like rewritten into the other
+forms (``FORMS``; a card or phone rewritten so needs a cue word in front), negatives the generated spans that are
+implausible or, of cards and phones, have no cue; other generated spans stay unlabelled. Both are counted in one
+grouping by feature vector, whose number is bounded by the feature ranges. Each kind's threshold is the lowest score at
+which ``PRECISION`` of the held-back spans are positives, and even odds at least. Plausible candidates from it on, off
+all base spans, are added. Texts are scanned once: the spans are stored, for the fit and for the result.
 
 Positions are code points, ends exclusive. Texts are scanned whole, each pattern in one linear scan.
 
 Cases: null and empty texts have no spans; repeated rows are scanned each by itself; an empty corpus, or one without
-base spans of a kind, adds nothing of that kind; other columns are ignored (``find_pii``) or kept (``redacted``).
+base spans of a kind (also among the held-back), adds nothing of that kind; other columns are ignored (``find_pii``) or kept (``redacted``).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, boost, calibrated_threshold
-from .common import computed
+from .common import computed, stored
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.9
@@ -91,6 +94,41 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _plausible(kind: str, hit: Column) -> Column:
+    """What the checksum, the octets, the number of digits or the last label say, whatever stands between the parts."""
+    if kind == "ip":
+        return F.regexp_replace(hit, "[^0-9]+", ".").rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
+    return hit.rlike("[A-Za-z]{2,}$") if kind == "email" else _valid(kind, hit)
+
+
+def _forms(kind: str, x: Column) -> Column:
+    """The span and its rewritten forms, as spans in its context."""
+    digits, bare = _digits(x["hit"]), F.regexp_replace(x["hit"], r"^\+", "")
+    swap = lambda *to: [F.regexp_replace(x["hit"], r"\.", t) for t in to]
+    if kind == "email":
+        other = [F.regexp_replace(h, "@", at) for h, at in zip(swap(" (dot) ", "[dot]", "."), (" (at) ", "[at]", " @ "))]
+    elif kind == "ip":
+        other = swap(" . ", "[.]", " (dot) ")
+    elif kind == "card":
+        fours = r"^([0-9]{4})([0-9]{4})([0-9]{4})([0-9]{4})$"
+        other = [F.when(F.length(digits) == 16, F.regexp_replace(digits, fours, f"$1{c}$2{c}$3{c}$4")).otherwise(
+            F.regexp_replace(digits, r"^([0-9]{4})([0-9]{6})([0-9]{5})$", f"$1{c}$2{c}$3")) for c in "./_"]
+    else:
+        other = [F.regexp_replace(F.trim(bare), "[ ().-]+", c) for c in (" ", "-", ".", "/")] + [F.concat(F.lit("00"), bare)]
+    spans = [F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), h.alias("hit"), x["before"].alias("before"), x["after"].alias("after")) for h in (x["hit"], *other)]
+    every, itself = F.array(*spans).cast(_SPAN), F.array(spans[0]).cast(_SPAN)
+    return every if kind in ("email", "ip") else F.when(x["before"].rlike(CUES[kind]), every).otherwise(itself)
+
+
+def _negative(x: Column) -> Column:
+    """A generated span that is surely none: implausible, or, of the kinds that are mere digits, without a cue."""
+    out = F.lit(False)
+    for k in KINDS:
+        none = ~_plausible(k, x["hit"])
+        out = out | ((x["kind"] == k) & (none if k in ("email", "ip") else none | ~x["before"].rlike(CUES[k])))
+    return out
+
+
 def _side(c: Column) -> Column:
     return (F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"\p{L}"), 2).when(c.rlike("[0-9]"), 3).otherwise(4))
 
@@ -105,7 +143,7 @@ def _features(kind: str, x: Column) -> list[Column]:
     size = (F.when(n == 0, 0).when(n < 7, 1).when(n < 9, 2).when(n < 12, 3).when(n < 13, 4).when(n < 16, 5).when(n == 16, 6)
             .when(n <= 19, 7).otherwise(8))
     return [size, F.least(F.size(groups), F.lit(6)), F.least(F.length(F.coalesce(F.get(groups, F.lit(0)), F.lit(""))), F.lit(5)), separator,
-            _valid(kind, hit).cast("int"), _side(F.substring(x["before"], -1, 1)), _side(x["after"]), x["before"].rlike(CUES[kind]).cast("int")]
+            _plausible(kind, hit).cast("int"), _side(F.substring(x["before"], -1, 1)), _side(x["after"]), x["before"].rlike(CUES[kind]).cast("int")]
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -128,19 +166,22 @@ def _vector(x: Column) -> Column:
     return F.struct(*[pick(i).alias(f) for i, f in enumerate(FEATURES)])
 
 
-def fit(docs: DataFrame) -> dict[str, tuple[Trees, float]]:
-    """Trees and threshold of each kind, from all documents."""
-    spans = candidates(docs.select("text")).where("size(_base) + size(_more) > 0")
-    held = (F.pmod(F.xxhash64("text"), F.lit(HELD_BACK)) == 0).alias("held")
-    rows = spans.select(held, F.explode(F.concat(F.transform("_base", lambda x: F.struct(x.alias("x"), F.lit(1).alias("y"))),
-                                                 F.transform("_more", lambda x: F.struct(x.alias("x"), F.lit(0).alias("y"))))).alias("s"))
+def fit(found: DataFrame) -> dict[str, tuple[Trees, float]]:
+    """Trees and threshold of each kind, from the spans of all documents (``candidates``, and ``_seed``, a hash of the
+    text)."""
+    spans = found.select("_seed", "_base", "_more").where("size(_base) + size(_more) > 0")
+    held = (F.pmod("_seed", F.lit(HELD_BACK)) == 0).alias("held")
+    labelled = lambda spans, y: F.transform(spans, lambda x: F.struct(x.alias("x"), F.lit(y).alias("y")))
+    forms = lambda k: F.flatten(F.transform(F.filter("_base", lambda x: x["kind"] == k), lambda x: _forms(k, x)))
+    positive = F.concat(*[forms(k) for k in KINDS])
+    rows = spans.select(held, F.explode(F.concat(labelled(positive, 1), labelled(F.filter("_more", _negative), 0))).alias("s"))
     cells = (rows.select("held", F.col("s.x.kind").alias("kind"), "s.y", _vector(F.col("s.x")).alias("v"))
              .groupBy("held", "kind", "v").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect())  # distinct vectors only
     model = {}
     for k in KINDS:
         part = {h: [(tuple(c["v"]), float(c["pos"]), float(c["n"] - c["pos"])) for c in cells if c["kind"] == k and c["held"] == h] for h in (False, True)}
         trees = boost(part[False])
-        model[k] = (trees, max(0.5, calibrated_threshold(trees, part[True] or part[False], PRECISION)))
+        model[k] = (trees, max(0.5, calibrated_threshold(trees, part[True], PRECISION)))
     return model
 
 
@@ -149,7 +190,7 @@ def _selected(model) -> Column:
     def chosen(k):
         trees, threshold = model[k]
         scored = F.transform(F.filter("_more", lambda x: x["kind"] == k), lambda x: F.struct(x.alias("x"), F.struct(*[f.alias(n) for n, f in zip(FEATURES, _features(k, x))]).alias("v")))
-        good = F.filter(scored, lambda c: trees.expression([c["v"][n] for n in FEATURES]) >= threshold)
+        good = F.filter(scored, lambda c: (c["v"]["valid"] == 1) & (trees.expression([c["v"][n] for n in FEATURES]) >= threshold))
         both = F.concat(F.filter("_base", lambda x: x["kind"] == k), F.transform(good, lambda c: c["x"]))
         return F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     return F.concat(*[chosen(k) for k in KINDS])
@@ -161,8 +202,9 @@ def _listed(spans: Column) -> Column:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, their digest, and all spans as text and as structs."""
-    model = fit(docs)
-    found = candidates(docs.select("doc_id", "text")).withColumn("_all", computed(_selected(model)))
+    seen = docs.select("doc_id", "text", F.xxhash64("text").alias("_seed"))
+    found = stored(candidates(seen).drop("text"), "spans")
+    found = found.withColumn("_all", computed(_selected(fit(found))))
     count = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"),
                         _listed(F.col("_all")).alias("spans"), F.col("_all").alias("all_spans"))
@@ -171,9 +213,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with each span in ``text`` replaced by its kind in brackets (overlapping spans by the first
     one's), and ``n_chars``, where there is such a column, set to the new length."""
-    model = fit(docs)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    found = candidates(packed, "_text").withColumn("_all", computed(F.array_sort(_selected(model))))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"), F.xxhash64("text").alias("_seed"))
+    found = stored(candidates(packed, "_text").drop("_text"), "spans")
+    found = found.withColumn("_text", F.col("_row.text")).withColumn("_all", computed(F.array_sort(_selected(fit(found)))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc, x):
