@@ -3,13 +3,16 @@
 Benchmark items are a stated query set, taken in blocks of bounded size. Each task builds suffix arrays over its
 documents' words, one per shard of bounded length, and binary-searches the item suffixes in them, word by word: the
 range that is left after ``WINDOW`` words holds all places of that window, and from each place the match is followed on
-to its full verbatim length. Suffixes that begin with the same window are searched once. Words that no item of the
+to its full verbatim length: the other way round, in a suffix array of the block's items, whose range for the window is
+narrowed word by word, so that the longest match of any item is found. Suffixes that begin with the same window are
+searched once. Words that no item of the
 block has cannot be part of a match, so they end stretches, and stretches shorter than the shortest window are left out
 of the array.
 
 Cases: null or wordless texts have no words, are never hit and contaminate nothing; an item without an id hits words
 but is not listed or counted; items that repeat an id count once; rows that repeat a document are judged each by itself;
-an empty benchmark hits nothing; of items that share a window, the first stands for them in the longest match.
+an empty benchmark hits nothing; of a document's equally long longest matches the first is reported, and of the items
+that hold it from a window's place on the one with the least id as a string (without an id last).
 """
 
 from __future__ import annotations
@@ -43,7 +46,10 @@ class Block:
     starts: np.ndarray      # where the suffix begins that stands for each distinct window
     width: np.ndarray       # length of the window
     items: list             # ids of the items that have the window
-    owner: list             # id of the item of that suffix
+    array: np.ndarray       # the suffixes that begin with a window, sorted
+    ranges: np.ndarray      # where each distinct window's suffixes lie in the array
+    owner: np.ndarray       # place in names of the item of each suffix in the array
+    names: list             # sorted ids, None at the end
 
 
 def block_of(rows) -> Block:
@@ -59,7 +65,9 @@ def block_of(rows) -> Block:
     vocabulary = np.unique(flat)
     number = np.searchsorted(vocabulary, flat) + 1
     words, windows = [np.zeros(0, np.int64)], {}
-    starts, width, items, owner = [], [], [], []
+    starts, width, items, every, owner = [], [], [], [], []
+    names = sorted({x for x in ids if x is not None}) + [None]
+    place = {x: i for i, x in enumerate(names)}
     at = base = 0
     for k, length in enumerate(lengths):
         seq = number[at:at + length]
@@ -71,12 +79,20 @@ def block_of(rows) -> Block:
                 starts.append(base + s)
                 width.append(size)
                 items.append(set())
-                owner.append(ids[k])
+            every.append(base + s)
+            owner.append(place[ids[k]])
             if ids[k] is not None:
                 items[w].add(ids[k])
         at += length
         base += length + 1
-    return Block(vocabulary, np.concatenate(words), np.array(starts, np.int64), np.array(width, np.int64), items, owner)
+    words, every = np.concatenate(words), np.array(every, np.int64)
+    of = np.full(len(words), -1, np.int64)
+    of[every] = owner
+    array = suffix_array(words, np.flatnonzero(words), max(lengths, default=1))
+    array = array[of[array] >= 0]
+    block = Block(vocabulary, words, np.array(starts, np.int64), np.array(width, np.int64), items, array, np.zeros((0, 2), np.int64), of[array], names)
+    block.ranges = search(words, array, block)
+    return block
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -167,13 +183,13 @@ def shard_hits(words, block: Block):
     first = words.first + np.arange(n + 1)  # of each document, in text
     owner = np.searchsorted(first, hit, side="right") - 1
     places = {int(d): hit[a:b] - first[d] for d, a, b in _runs(owner)}
-    length = _followed(np.append(text, 0), found, block, window)
+    length, begin, end = _followed(np.append(text, 0), found, block, window)
     of = np.searchsorted(first, found, side="right") - 1
     order = np.lexsort((found, -length, of))
     items, best = {}, {}
     for d, a, b in _runs(of[order]):
         top = order[a]
-        best[int(d)] = (int(length[top]), block.owner[window[top]], int(found[top] - first[d]))
+        best[int(d)] = (int(length[top]), block.names[block.owner[begin[top]:end[top]].min()], int(found[top] - first[d]))
         items[int(d)] = set().union(*(block.items[w] for w in np.unique(window[order[a:b]])))
     return places, items, best
 
@@ -184,16 +200,20 @@ def _runs(sorted_: np.ndarray):
     return zip(value, begin, np.append(begin[1:], len(sorted_)))
 
 
-def _followed(text: np.ndarray, found: np.ndarray, block: Block, window: np.ndarray) -> np.ndarray:
-    """The full verbatim length of the match at each place found."""
-    length = block.width[window].copy()
+def _followed(text: np.ndarray, found: np.ndarray, block: Block, window: np.ndarray):
+    """The full verbatim length of the match at each place found, and the range of the block's suffixes that have it."""
+    length, lo, hi = block.width[window].copy(), block.ranges[window, 0], block.ranges[window, 1]
     live = np.arange(len(found))
     while len(live):
-        a = text[np.minimum(found[live] + length[live], len(text) - 1)]
-        b = block.words[block.starts[window[live]] + length[live]]
-        live = live[(a == b) & (b > 0)]
+        wanted = text[np.minimum(found[live] + length[live], len(text) - 1)]
+        column = lambda i, at=length[live]: block.words[np.minimum(block.array[i] + at, len(block.words) - 1)]
+        begin = _narrow(column, lo[live], hi[live], wanted, False)
+        end = _narrow(column, begin, hi[live], wanted, True)
+        on = (begin < end) & (wanted > 0)
+        live = live[on]
+        lo[live], hi[live] = begin[on], end[on]
         length[live] += 1
-    return length
+    return length, lo, hi
 
 
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType())),
@@ -232,18 +252,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     One pass over the documents for each block of the benchmark: the places hit and the items of all blocks are united
     per row."""
     spark = docs.sparkSession
-    bench = benchmark.select("item_id", "text").where("text IS NOT NULL")
+    bench = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     for b in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else bench
+        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else bench
         shared = spark.sparkContext.broadcast(block_of([tuple(r) for r in part.collect()]))  # about block_bytes of text
         now = annotate(df, "_text", FOUND, _finder(shared))
         if b:
             now = now.select("_row", "_text", "n_words", F.array_append("_all", F.col("_hits")).alias("_all"),
                              F.array_union("_names", F.coalesce("_items", F.array().cast("array<string>"))).alias("_names"),
-                             F.when(F.coalesce(F.col("_match.words"), F.lit(0)) > F.coalesce(F.col("_best.words"), F.lit(0)), F.col("_match")).otherwise(F.col("_best")).alias("_best"))
+                             _better().alias("_best"))
         else:
             now = now.select("_row", "_text", "n_words", F.array("_hits").alias("_all"), F.coalesce("_items", F.array().cast("array<string>")).alias("_names"), F.col("_match").alias("_best"))
         df = now if blocks == 1 else stored(now, f"block{b}")
@@ -254,6 +274,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
                           ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def _better():
+    """The longer match of ``_match`` and ``_best``; of equally long ones the earlier, then that of the least id."""
+    ranked = lambda c: F.struct(-F.col(f"{c}.words"), F.col(f"{c}.first_word"), F.col(f"{c}.item_id").isNull(), F.col(f"{c}.item_id"))
+    return F.when(F.col("_best").isNull() | (F.col("_match").isNotNull() & (ranked("_match") < ranked("_best"))), F.col("_match")).otherwise(F.col("_best"))
+
+
 def _united(df: DataFrame) -> DataFrame:
     """n_hit where several blocks have found places: the distinct ones."""
     schema = T.StructType(df.schema.fields + [T.StructField("n_hit", T.LongType())])
