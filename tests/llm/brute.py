@@ -84,6 +84,34 @@ def contamination(texts, items, n=13):
     return out
 
 
+def longest_match(texts, items, n=13):
+    """Per text: (words, item, first word) of the longest stretch from a window's place on that an item holds from a
+    window's place on: the first one, of the least id; or three times None."""
+    tails, windows = {}, set()
+    for item, text in items:
+        w = plain_words(text)
+        size = min(n, len(w))
+        for i in range(len(w) - size + 1 if w else 0):
+            windows.add(tuple(w[i:i + size]))
+            for k in range(1, size + 1):
+                tails.setdefault(tuple(w[i:i + k]), set()).add((item is None, "" if item is None else str(item), tuple(w[i:])))
+    sizes = {len(x) for x in windows}
+    out = []
+    for t in texts:
+        w, found = plain_words(t), []
+        for size in sizes:
+            for i in range(len(w) - size + 1):
+                if (at := tuple(w[i:i + size])) in windows:
+                    for none, item, rest in tails[at]:
+                        k = size
+                        while k < len(rest) and i + k < len(w) and rest[k] == w[i + k]:
+                            k += 1
+                        found.append((-k, i, none, item))
+        k, i, none, item = min(found, default=(None, None, True, None))
+        out.append((None if k is None else -k, None if none else item, i))
+    return out
+
+
 def shingles(text, n=3):
     w = words((text or "").translate(FOLD))
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())

@@ -37,6 +37,42 @@ def test_pii(docs):
         assert len(r.spans.split(",")) >= r.n_email + r.n_ip + r.n_card + r.n_phone
 
 
+def test_pii_adds_obfuscated_forms(spark):
+    """Addresses in brackets, spaced IPs, dotted cards and phones without a plus, beside plain ones and clean runs."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        d = "4" + digits(14)
+        return next(d + c for c in "0123456789" if brute.luhn(d + c))
+
+    octets = lambda: [str(rng.randint(1, 255)) for _ in range(4)]
+    phone = lambda: (str(rng.randint(10, 99)), digits(2), digits(4), digits(4))
+    fours = lambda d, c: c.join(d[i:i + 4] for i in range(0, 16, 4))
+    plain = [lambda: f"{word()}@{word()}.org", lambda: "host " + ".".join(octets()), lambda: "card " + fours(card(), " "), lambda: "phone +" + " ".join(phone())]
+    odd = [("email", "", lambda: f"{word()} (at) {word()} (dot) org"), ("ip", "host ", lambda: " . ".join(octets())), ("card", "card ", lambda: fours(card(), ".")), ("phone", "phone ", lambda: " ".join(phone()))]
+    # dates, sums, codes and versions: no digits of a card or phone behind a cue, octets too large, no letters behind the @
+    clean = [lambda: f"{digits(3)} {digits(4)} {digits(4)}", lambda: fours(digits(16), "."), lambda: f"{rng.randint(300, 999)} . {digits(2)} . {digits(2)} . {digits(2)}",
+             lambda: f"{digits(1)} @ {digits(2)}.{digits(2)}", lambda: f"card {fours('4111111111111112', '.')}"]
+    rows, planted = [], []
+    for i in range(2000):
+        rows.append(f"{word()} {word()} {rng.choice(plain)()} {word()}")
+    for i in range(600):
+        kind, cue, form = odd[i % 4]
+        text, hit = f"{word()} {word()} {cue}", form()
+        planted.append((len(rows), kind, len(text), len(text) + len(hit)))
+        rows.append(text + hit + " " + word())
+    first_clean = len(rows)
+    rows += [f"{word()} {word()} {rng.choice(clean)()} {word()}" for _ in range(600)]
+    got = {r.doc_id: {(x.kind, x.start, x.end) for x in r.all_spans} for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for kind in pii.KINDS:
+        mine = [p for p in planted if p[1] == kind]
+        assert len(mine) == 150 and sum(tuple(p[1:]) in got[p[0]] for p in mine) >= 0.9 * len(mine), kind
+    base = {i: set(brute.pii(rows[i])) for i in range(first_clean, len(rows))}
+    assert not {rows[i] for i in base if got[i] != base[i]}
+
+
 def test_pii_redaction(docs):
     out = pii.redacted(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -96,6 +132,23 @@ def test_contamination(spark, docs, block):
     assert suffixes.decontaminated(docs, bench).columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [8 << 20, 700])
+def test_longest_match_of_all_items(spark, block):
+    """Items that share windows and go on in different ways, repeat passages, are short, or have no id."""
+    rng = random.Random(block)
+    say = lambda k: [f"w{rng.randrange(9)}" for _ in range(k)]
+    stems = [[f"s{j}_{i}" for i in range(14)] for j in range(4)]
+    items = [(i, " ".join(rng.choice(stems) + say(rng.randrange(6)) + rng.choice(stems) + [f"z{k}" for k in range(rng.randrange(20))])) for i in range(40)]
+    items += [(None, items[3][1]), (77, items[3][1]), (78, "s0_0 s0_1"), (None, "s1_0"), (1, " ".join(stems[0] + ["aa"])), (2, " ".join(stems[0] + [f"z{k}" for k in range(20)]))]
+    rows = [(i, " ".join(say(3) + rng.choice(stems) + say(rng.randrange(6)) + rng.choice(stems) + [f"z{k}" for k in range(rng.randrange(24))] + say(2))) for i in range(80)]
+    rows += [(100, "s0_0 s0_1"), (101, None), (102, items[5][1] + " " + items[5][1]), (103, "x " + items[-1][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = suffixes.find_contamination(docs, bench, block).select("_row.doc_id", "longest_match.words", "longest_match.item_id", "longest_match.first_word")
+    want = [(d, *m) for (d, _), m in zip(rows, brute.longest_match([t for _, t in rows], items))]
+    assert max(m[1] or 0 for m in want) > 33
+    same([tuple(r) for r in got.collect()], want)
+
+
 def test_contamination_of_nothing(spark, odd):
     assert not suffixes.contamination_report(odd, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count()
 
