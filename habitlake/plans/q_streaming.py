@@ -22,15 +22,17 @@ from .q_teams import _U4_SQL, _U4_VIEWS
 from .registry import AS_OF, register
 
 
-def _run(fx, name, tables, build, mode="append"):
-    """Stage each (df, ts_col) in event order, build the stream, run it."""
+def _run(fx, name, tables, build, mode="append", heartbeat=False):
+    """Stage each (df, ts_col) in event order (stored once before, with a closing heartbeat if asked for), build the
+    stream, run it."""
     spark = fx.spark
     base = runner.scratch(spark, name)
     streams = []
     for i, (df, ts) in enumerate(tables):
         path = os.path.join(base, f"in{i}")
-        runner.stage_in_event_order(df, ts, path)
-        streams.append(runner.file_stream(spark, path, df.schema))
+        df = runner.stored(df, os.path.join(base, f"table{i}"))
+        runner.stage_in_event_order(with_heartbeat(df, ts) if heartbeat else df, ts, path)
+        streams.append(runner.file_stream(spark, path, df.schema, runner.files_per_batch(spark, path)))
     out = os.path.join(base, "out")
     info = runner.run_available_now(build(*streams), mode, out, os.path.join(base, "ckpt"))
     return spark.read.parquet(out), info
@@ -69,7 +71,8 @@ SELECT ti.id AS invitation_id, ti.recipient_id, ti.team_id, 'Invite received' AS
 WHERE ti.recipient_id IN (SELECT user_id FROM user_activity_logs WHERE {_CONNECTED})""",
           ("team_invitations", "user_activity_logs"))
 def _l5(fx):
-    connected = fx.user_activity_logs.where(F.expr(_CONNECTED)).select("user_id")
+    connected = runner.stored(fx.user_activity_logs.where(F.expr(_CONNECTED)).select("user_id").distinct(),
+                              runner.scratch(fx.spark, "l5-connected"))  # not derived anew in every micro-batch
     out, _ = _run(fx, "l5", [(fx.team_invitations, "created_at")],
                   lambda inv: S.invite_notify_stream(inv, connected))
     return out.drop("batch_id")
@@ -77,8 +80,8 @@ def _l5(fx):
 
 @register("reset_redeem_stream", _U4_SQL, _U4_VIEWS)
 def _l6(fx):
-    events = with_heartbeat(L.reset_events(fx.reset_attempts, fx.password_reset, fx.users), "at")
-    out, _ = _run(fx, "l6", [(events, "at")], L.reset_redeem_stream)
+    events = L.reset_events(fx.reset_attempts, fx.password_reset, fx.users)
+    out, _ = _run(fx, "l6", [(events, "at")], L.reset_redeem_stream, heartbeat=True)
     return out.drop("batch_id")
 
 
@@ -96,8 +99,8 @@ def _l3(fx):
 
 
 def _goal_run(fx):
-    ev = with_heartbeat(L.goal_events(fx.user_activity_logs, fx.user_goals), "at")
-    return _run(fx, "l2", [(ev, "at")], L.goal_stream)[0]
+    ev = L.goal_events(fx.user_activity_logs, fx.user_goals)
+    return _run(fx, "l2", [(ev, "at")], L.goal_stream, heartbeat=True)[0]
 
 
 @register("goal_stream", _G2_SQL, ("user_activity_logs", "user_goals"))

@@ -1,12 +1,16 @@
-"""Event-time order for keyed stream processors (``transformWithStateInPandas``).
+"""Event-time order for keyed stream processors (``applyInPandasWithState``).
 
 Files and partitions deliver rows in any order; a rule that depends on order
-must not see them so. :class:`InOrder` holds a key's events in list state
-until the watermark has passed them and then applies them by (time, kind,
-id). Events that arrive behind what was applied are late and ignored; they
-change nothing else. One event-time timer per key, at the earliest thing that
-waits (an event, or what the processor itself asks for), drives it, so keys
-without work cost nothing.
+must not see them so. :class:`InOrder` holds a key's events in state until the
+watermark has passed them and then applies them by (time, kind, id). Events
+that arrive behind what was applied are late and ignored; they change nothing
+else.
+
+A call into Python costs far more than a rule, so keys are dealt to groups by
+their hash, and a group's keys share one state row, one call a micro-batch and
+one event-time timeout, at the earliest thing that waits in it (an event, or
+what the processor itself asks for). A group holds the open keys that fell to
+it, and nothing of the closed ones.
 
 Live streams are driven by later events of any key. A replay ends with a
 heartbeat row (:func:`with_heartbeat`), which moves the watermark past the
@@ -15,95 +19,95 @@ last event and is itself ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HEARTBEAT = -1  # kind of a row that only carries time
 NEVER = 1 << 62
+GROUPS = 256    # groups that keys are dealt to; part of a query's checkpoint
+GROUP_STATE = T.StructType([T.StructField("kept", T.BinaryType())])
+
+
+def group_of(*keys) -> F.Column:
+    """The group of a key."""
+    return F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).cast("int")
+
+
+def load(state: GroupState):
+    """What :func:`save` kept for a group, or None."""
+    return pickle.loads(bytes(state.get[0])) if state.exists else None
+
+
+def save(state: GroupState, kept) -> None:
+    state.update((pickle.dumps(kept, pickle.HIGHEST_PROTOCOL),))
 
 
-class InOrder(StatefulProcessor):
-    """Applies each key's events in order. Input columns: the grouping key's, then ``at_us``, ``kind``, ``id`` and
-    ``payload`` columns. Subclasses give:
+class InOrder:
+    """Applies each key's events in order. Input columns: ``keys``, then ``at_us``, ``kind``, ``id`` and ``payload``
+    columns, all NOT NULL. Subclasses give:
 
-    * ``payload``: (name, SQL type) of the further input columns; ``memory``: those of the state, all NOT NULL longs or
-      strings; ``fresh``: the state of a new key; ``out``: names of the output columns;
+    * ``keys`` and ``payload``: names of these columns; ``fresh``: the state of a new key; ``out``: the output's schema;
     * ``apply(key, state, event, out)``: applies one event (a tuple at_us, kind, id, *payload), returns the state;
     * ``until(key, state, us, out)``: what happens by itself before ``us``, returns the state;
     * ``wake(key, state)``: when something happens by itself next (``NEVER`` if nothing);
     * ``over(key, state, us)``: whether the key can be forgotten at ``us``.
     """
 
+    keys: tuple = ()
     payload: tuple = ()
-    memory: tuple = ()
     fresh: tuple = ()
-    out: tuple = ()
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        event = "at_us long, kind int, id long" + "".join(f", {n} {t}" for n, t in self.payload)
-        self.pending = handle.getListState("pending", event)
-        own = "".join(f", {n} {t}" for n, t in self.memory)
-        self.kept = handle.getValueState("kept", f"applied_us long, timer_ms long, first_us long{own}")
-
-    def _load(self):
-        got = self.kept.get() if self.kept.exists() else None
-        return (got[0], got[1], got[2], tuple(got[3:])) if got else (-NEVER, 0, NEVER, self.fresh)
-
-    def _save(self, key, applied, timer, first, state, now_ms: int) -> None:
-        """Keeps the state with one timer at the earliest thing that waits (and not before the next millisecond)."""
-        next_us = min(first, self.wake(key, state))
-        want = max(-(-next_us // 1000), now_ms + 1) if next_us < NEVER else 0
-        if want != timer:
-            if timer > now_ms:
-                self.handle.deleteTimer(timer)
-            if want:
-                self.handle.registerTimer(want)
-        self.kept.update((applied, want, first, *state))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        applied, timer, first, state = self._load()
-        names = ["at_us", "kind", "id", *[n for n, _ in self.payload]]
-        for pdf in rows:
-            events = [tuple(e) for e in pdf[names].astype(object).itertuples(index=False, name=None) if e[1] != HEARTBEAT and e[0] > applied]
-            if events:
-                self.pending.appendList(events)
-                first = min(first, min(int(e[0]) for e in events))
-        if first < NEVER or self.kept.exists():
-            self._save(key, applied, timer, first, state, timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame(columns=list(self.out))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        applied, timer, first, state = self._load()
-        now_ms = timerValues.getCurrentWatermarkInMs()
-        us, out, first = now_ms * 1000, [], NEVER
-        events = sorted(tuple(e) for e in self.pending.get()) if self.pending.exists() else []
-        due = [e for e in events if e[0] <= us]
-        for e in due:
-            state = self.until(key, state, e[0], out)
-            state = self.apply(key, state, e, out)
-        state = self.until(key, state, us, out)
-        if len(due) == len(events) and self.over(key, state, us):
-            self.pending.clear()
-            self.kept.clear()
-        else:
-            if due:
-                if len(due) < len(events):
-                    self.pending.put(events[len(due):])
-                    first = events[len(due)][0]
-                else:
-                    self.pending.clear()
-            elif events:
-                first = events[0][0]
-            self._save(key, max(applied, us), 0, first, state, now_ms)
-        yield pd.DataFrame(out, columns=list(self.out))
-
-    def close(self) -> None:
-        pass
+    out: T.StructType = T.StructType()
+
+    def run(self, events: DataFrame) -> DataFrame:
+        return (events.withColumn("_group", group_of(*self.keys)).groupBy("_group")
+                .applyInPandasWithState(self._call, self.out, GROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+    def _call(self, _, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        states, pending = load(state) or ({}, {})  # per key: its state, its events that wait
+        if not state.hasTimedOut:
+            n = len(self.keys)
+            names = [*self.keys, "at_us", "kind", "id", *self.payload]
+            for pdf in rows:
+                for row in zip(*[pdf[c].tolist() for c in names]):
+                    if row[n + 1] != HEARTBEAT:
+                        pending.setdefault(row[:n], []).append(row[n:])
+        out, now_ms = [], state.getCurrentWatermarkMs()
+        if now_ms > 0:
+            self._advance(states, pending, now_ms * 1000, out)
+        if states or pending:
+            save(state, (states, pending))
+            first = min([min(e)[0] for e in pending.values()] + [self.wake(k, s) for k, s in states.items()])
+            if first < NEVER:
+                state.setTimeoutTimestamp(max(-(-first // 1000), now_ms + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=self.out.names, dtype=object)
+
+    def _advance(self, states: dict, pending: dict, us: int, out: list) -> None:
+        """Applies everything up to ``us``."""
+        for key in [*pending, *[k for k in states if k not in pending]]:
+            state = states.get(key, self.fresh)
+            events = sorted(pending.get(key, ()))
+            due = [e for e in events if e[0] <= us]
+            if not due and self.wake(key, state) > us:
+                continue
+            for e in due:
+                state = self.until(key, state, e[0], out)
+                state = self.apply(key, state, e, out)
+            state = self.until(key, state, us, out)
+            pending.pop(key, None)
+            states.pop(key, None)
+            if len(due) < len(events):
+                pending[key] = events[len(due):]
+            elif self.over(key, state, us):
+                continue
+            states[key] = state
 
 
 def with_heartbeat(events: DataFrame, at: str, days: int = 2) -> DataFrame:

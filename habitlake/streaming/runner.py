@@ -30,7 +30,8 @@ def stage_in_event_order(df: DataFrame, ts_col: str, path: str, rows_per_file: i
     reads them in event order. Rows of one instant may part. A file source
     orders files by modification time, so the files' times are set in the
     order of the ranges, after those staged before. Only a row count and the
-    list of files come to the driver."""
+    list of files come to the driver. A ``df`` that is costly to compute should
+    be stored first (:func:`stored`): counting, ranging and writing each run it."""
     spark = df.sparkSession
     n_files = max(min_files, -(-df.count() // rows_per_file))
     batch = f"{path}/staged-{uuid.uuid4().hex}"
@@ -49,6 +50,12 @@ def stage_in_event_order(df: DataFrame, ts_col: str, path: str, rows_per_file: i
     return path
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written once and read back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _files(fs, path) -> list:
     """Data files under a folder."""
     found, it = [], fs.listFiles(path, True)
@@ -59,6 +66,13 @@ def _files(fs, path) -> list:
     return found
 
 
+def files_per_batch(spark: SparkSession, path: str, batches: int = 16) -> int:
+    """How many of the staged files a micro-batch of a replay takes, for at most ``batches`` of them: the state that a
+    replay carries from batch to batch is then read and written as often however long the table is."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return -(-len(_files(root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root)) // batches)
+
+
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
             .parquet(path))

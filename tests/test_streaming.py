@@ -14,7 +14,7 @@ from habitlake.sources.fixtures import Fixtures
 from habitlake.streaming import runner
 from habitlake.streaming import stateful as L
 from habitlake.streaming import streams as S
-from habitlake.streaming.ordered import with_heartbeat
+from habitlake.streaming.ordered import GROUPS, with_heartbeat
 from conftest import SF_SMALL
 
 
@@ -191,3 +191,50 @@ def test_invite_notices_once_per_invitation(spark):
     got = sorted((r.invitation_id, r.recipient_id, r.message)
                  for r in spark.read.parquet(os.path.join(base, "out")).collect())
     assert got == [(1, 100, S.INVITE_MESSAGE), (3, 100, S.INVITE_MESSAGE)]
+
+
+def _replay(spark, df_, ts, build, files=4):
+    """The stream over ``df_`` in event order: its rows and its progress."""
+    base = runner.scratch(spark, "t-replay")
+    runner.stage_in_event_order(df_, ts, os.path.join(base, "in"), min_files=files)
+    per_batch = runner.files_per_batch(spark, os.path.join(base, "in"), 2)
+    info = runner.run_available_now(build(runner.file_stream(spark, os.path.join(base, "in"), df_.schema, per_batch)), "append",
+                                    os.path.join(base, "out"), os.path.join(base, "ck"))
+    return spark.read.parquet(os.path.join(base, "out")), info["progress"]
+
+
+def _state_rows(progress):
+    return max(op["numRowsTotal"] for p in progress for op in p["stateOperators"])
+
+
+def test_keys_share_state_rows_and_calls(spark):
+    """Thousands of user-days, tokens and users make no more state rows (nor calls into Python) than there are groups; results are the batch twins'."""
+    t0 = dt.datetime(2024, 1, 1)
+    logs = spark.range(6000).select(
+        F.col("id"), (F.col("id") % 1500).alias("user_id"), F.lit(None).cast("long").alias("activity_id"), F.lit(5).alias("duration"),
+        (F.col("id") % 13).cast("int").alias("points"), F.lit("x").alias("activity_description"),
+        (F.lit(t0).cast("timestamp_ntz") + F.make_dt_interval(days=F.col("id") % 3, mins=(F.col("id") * 2 + 1) % 1400)).alias("logged_at"))
+    goals = logs.where("id < 1500").select("id", "user_id", F.to_date("logged_at").alias("goal_date"), F.lit(9).alias("goal_points"),
+                                           F.date_trunc("day", "logged_at").cast("timestamp_ntz").alias("created_at"), F.lit("x").alias("status"))
+    out, progress = _replay(spark, with_heartbeat(L.goal_events(logs, goals), "at"), "at", L.goal_stream)
+    assert _goal_rows(out) == _batch_rows(logs, goals)
+    assert 0 < _state_rows(progress) <= GROUPS and sum(p["numInputRows"] > 0 for p in progress) <= 2
+    resets = logs.select(F.col("id").alias("token"), "user_id", F.col("logged_at").alias("created_at"),
+                         (F.col("logged_at") + F.expr("INTERVAL 20 MINUTES")).alias("expires_at"))
+    attempts = logs.select(F.col("id").alias("attempt_id"), F.col("id").alias("token"),
+                           (F.col("logged_at") + F.make_dt_interval(mins=F.col("id") % 40)).alias("attempted_at"))
+    users = logs.select(F.col("user_id").alias("id")).distinct().select("id", F.lit("u").alias("username"), F.lit("e").alias("email"), F.lit(None).cast("string").alias("google_id"))
+    out, progress = _replay(spark, with_heartbeat(L.reset_events(attempts, resets, users), "at"), "at", L.reset_redeem_stream)
+    key = lambda r: (r.attempt_id, r.token, r.outcome, r.email)
+    assert sorted(map(key, out.collect())) == sorted(map(key, U.redeem_resets(resets, attempts, users).collect()))
+    assert 0 < _state_rows(progress) <= GROUPS
+    out, progress = _replay(spark, logs, "logged_at", L.streak_stream)
+    assert out.count() == logs.select("user_id", F.to_date("logged_at")).distinct().count()
+    assert 0 < _state_rows(progress) <= GROUPS
+
+
+def test_streaks_of_a_null_user_and_logs_without_a_time(spark):
+    t0 = dt.datetime(2024, 1, 1, 9)
+    logs = spark.createDataFrame([(None, t0), (None, t0 + dt.timedelta(days=1)), (2**60 + 1, t0), (4, None)], "user_id long, logged_at timestamp_ntz")
+    out, _ = _replay(spark, logs, "logged_at", L.streak_stream)
+    assert {(r.user_id, r.date.day, r.streak_count) for r in out.collect()} == {(None, 1, 1), (None, 2, 2), (2**60 + 1, 1, 1)}
