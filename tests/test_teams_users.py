@@ -288,3 +288,18 @@ def test_stored_tables_have_the_fixed_schemas(spark, fx, tmp_path):
         assert [(f.name, wide(f.dataType)) for f in fx[name].schema] == [(f.name, wide(f.dataType)) for f in schema], name
     fx.teams.write.parquet(str(tmp_path / "teams.parquet"))
     assert read_app_table(spark, str(tmp_path), "teams").count() == fx.teams.count()
+
+
+def test_user_search_broadcasts_neither_users_nor_their_grams(spark):
+    """Whatever small size the user table seems to have, only searches and lists cut per gram may pass through the driver."""
+    from pyspark.sql import functions as F
+    from habitlake.operators import users as U
+    users = spark.range(300).select("id", F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("username"))
+    searches = spark.createDataFrame([(0, "CUSTOMER", 1, 0), (1, "_4%2", 1, 0), (2, "00001", 1, 0), (3, "99", 1, 99)], "search_id int, q string, team_id int, caller_id int")
+    inv = spark.createDataFrame([(7, 142, 1)], "id long, recipient_id long, team_id long")
+    out = U.search_users(searches, users, inv)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") + plan.count("leftHint=(strategy=merge)") == 4
+    got = {(r.search_id, r.id, r.has_been_invited) for r in out.collect()}
+    assert {x for x in got if x[0] == 1} == {(1, i, i == 142) for i in (42, 142, 242)}
+    assert {x[1] for x in got if x[0] == 3} == {199, 299} and len([x for x in got if x[0] == 0]) == 10
