@@ -112,24 +112,26 @@ def match_activities(extracted: DataFrame, acts: DataFrame, synonyms: DataFrame,
     after lower/trim, equal through the synonym table, or within
     ``max_edits`` edits. Replaces the reference's per-pair model call.
 
-    Catalog names are indexed by themselves and by their segments, extracted
-    names look these up (see ``_probe_keys``): one equi-join on (user, key),
-    then the exact test on what meets. No name is compared with a whole
-    catalog, no catalog is gathered, and nothing is broadcast by hint. The
-    matches of a name (a few catalog rows) are sorted by activity id."""
+    A user logs the same few names over and over, so each name of a user is
+    matched once. Catalog names are indexed by themselves and by their
+    segments, extracted names look these up (see ``_probe_keys``): one
+    equi-join on (user, key), then the exact test on what meets. No name is
+    compared with a whole catalog, no catalog is gathered, and nothing is
+    broadcast by hint. The matches of a name (a few catalog rows) are sorted
+    by activity id and joined to the extracted rows on (user, name)."""
     syn = synonyms.groupBy(_norm("term").alias("_key")).agg(F.collect_set(_norm("canonical")).alias("_canons"))
     cat = acts.select("user_id", F.struct(F.col("id").alias("activity_id"), "name", "points", "activity_type").alias("_act"), _norm("name").alias("_cname"))
     index = cat.select("user_id", "_act", "_cname", F.explode(_index_keys("_cname", max_edits)).alias("_k"))
-    names = extracted.select("id", "user_id", "activity", _norm("activity").alias("_key")).join(syn, "_key", "left")
-    probe = names.select("id", "user_id", "activity", "_key", "_canons", F.explode(_probe_keys("_key", "_canons", max_edits)).alias("_k"))
+    names = extracted.select("user_id", _norm("activity").alias("_key")).distinct().join(syn, "_key", "left")
+    probe = names.select("user_id", "_key", "_canons", F.explode(_probe_keys("_key", "_canons", max_edits)).alias("_k"))
     exact = (F.col("_cname") == F.col("_key")) | F.coalesce(F.array_contains("_canons", F.col("_cname")), F.lit(False))
     if max_edits > 0:
         exact = exact | (F.levenshtein("_cname", "_key", max_edits) >= 0)
-    found = (probe.join(index, ["user_id", "_k"]).where(exact).groupBy("id", "activity")
+    found = (probe.join(index, ["user_id", "_k"]).where(exact).groupBy("user_id", "_key")
              .agg(F.array_sort(F.collect_set("_act")).alias("matched")))
     none = F.array().cast(T.ArrayType(cat.schema["_act"].dataType))
-    return (extracted.join(found, ["id", "activity"], "left").withColumn("matched", F.coalesce("matched", none))
-            .select(*extracted.columns, "matched").withColumn("n_matched", F.size("matched")))
+    return (extracted.withColumn("_key", _norm("activity")).join(found, ["user_id", "_key"], "left")
+            .select(*extracted.columns, F.coalesce("matched", none).alias("matched")).withColumn("n_matched", F.size("matched")))
 
 
 # ---------------------------------------------------------------- I4 ----

@@ -63,7 +63,7 @@ def _ids(fx):
     boot = T.bootstrap_teams(q_teams._boot_requests(fx))
     return repeated_ids({
         "user_activities": [fx.user_activities, new_acts, I.seed_default_catalog(fx.users.withColumn("set_default", F.col("google_id").isNull()))],
-        "user_activity_logs": [fx.user_activity_logs, logs, texts["accepted"], texts["over_cap"]],
+        "user_activity_logs": [fx.user_activity_logs, logs, texts["decided"]],
         "teams": [fx.teams, boot["teams"]],
         "team_roles": [fx.team_roles, boot["team_roles"], T.add_roles(q_teams._role_requests(fx), fx.team_roles)[0]],
         "team_memberships": [boot["team_memberships"], V.apply_responses(fx.team_invitations, fx.team_memberships, fx.invite_responses)[1]],

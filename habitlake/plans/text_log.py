@@ -25,8 +25,8 @@ def text_log_responses(texts: DataFrame, acts: DataFrame, synonyms: DataFrame, m
 
 def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms: DataFrame,
                       cap: int = DAILY_MINUTES_CAP, max_edits: int = 1) -> dict[str, DataFrame]:
-    """``texts``: id, user_id, text, logged_at. Returns the accepted new
-    logs, the cap-rejected candidates, per-text responses and the texts
+    """``texts``: id, user_id, text, logged_at. Returns the decided
+    candidates, of them the accepted new logs and the cap-rejected ones, per-text responses and the texts
     rejected by extraction. Ids of new logs derive from (text id, position);
     at one instant stored logs come before new ones, and those in order of
     text and position."""
@@ -39,8 +39,8 @@ def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms:
                     F.least(F.col("duration").cast("bigint"), F.lit(MAX_INT)).cast("int").alias("duration"),
                     score_points(F.col("duration"), F.col("matched")[0]["points"]).alias("points"),
                     F.col("description").alias("activity_description"), "logged_at"))
-    # only user-days that receive a candidate need their stored minutes
-    days = cand.select("user_id", F.to_date("logged_at").alias("_day")).distinct()
+    # only user-days that may receive a candidate need their stored minutes: those of the texts, known without matching
+    days = texts.select("user_id", F.to_date("logged_at").alias("_day")).distinct()
     stored = (logs.withColumn("_day", F.to_date("logged_at")).join(days, ["user_id", "_day"], "left_semi")
               .select(F.col("id").cast("string").alias("id"), F.lit(False).alias("is_new"), F.col("id").alias("text_id"),
                       F.lit(0).alias("pos"), "user_id", "logged_at", "duration", F.lit(True).alias("forced"),
@@ -53,6 +53,7 @@ def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms:
         cap, keep=keep, order=("is_new", "text_id", "pos"))
     decided = adm.where(~F.col("forced")).select("id", "user_id", *keep, "logged_at", "accepted", "minutes_after")
     return {
+        "decided": decided,
         "accepted": decided.where("accepted").drop("accepted", "minutes_after"),
         "over_cap": decided.where(~F.col("accepted")).drop("accepted"),
         "responses": to_log_responses(cls),

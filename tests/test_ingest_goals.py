@@ -282,3 +282,21 @@ def test_goal_dates_are_the_ones_written(spark):
     goals, rejects = G.set_goals(req)
     assert rows(goals, "id", "goal_date") == [(i, dt.date.fromisoformat(x)) for i, x in enumerate(good.values())]
     assert rows(rejects, "id") == [(i,) for i in range(len(good), len(good) + len(bad))]
+
+
+def test_a_users_name_is_matched_once_however_often_it_is_logged(spark):
+    """Matching runs on distinct names of a user, and once in the text path; each row keeps its own user's matches."""
+    from habitlake.operators import ingest as I
+    from habitlake.plans import text_log
+    acts = spark.createDataFrame([(10, 1, "Reading", 4, "default"), (11, 1, "readings", 2, "custom"), (20, 2, "Reading", 9, "default")],
+                                 "id long, user_id long, name string, points int, activity_type string")
+    syn = spark.createDataFrame([("Studying", "Reading")], "term string, canonical string")
+    ex = spark.createDataFrame([(i, 1 + i % 3, " Reading" if i % 2 else "Studying", 5, 0, 1) for i in range(30)] + [(99, None, "Reading", 5, 0, 1)],
+                               "id long, user_id long, activity string, duration long, pos int, n_activities int")
+    got = {(r.id, r.user_id): (r.n_matched, [m.activity_id for m in r.matched]) for r in I.match_activities(ex, acts, syn).collect()}
+    assert len(got) == 31 and got[99, None] == (0, [])
+    assert all(v == ((2, [10, 11]) if u == 1 and i % 2 else (1, [10]) if u == 1 else (1, [20]) if u == 2 else (0, [])) for (i, u), v in got.items())
+    logs = spark.createDataFrame([], "id long, user_id long, duration int, logged_at timestamp_ntz")
+    texts = spark.createDataFrame([(1, 1, "Activity: Reading, Duration: 5")], "id long, user_id long, text string").selectExpr("*", "TIMESTAMP_NTZ '2024-01-01 10:00:00' AS logged_at")
+    plan = text_log.log_from_texts(texts, acts, logs, syn)["accepted"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, (((") + plan.count("levenshtein") <= 2 and plan.count("levenshtein") == 1
