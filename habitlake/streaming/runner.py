@@ -78,7 +78,7 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
             .parquet(path))
 
 
-#: provider of the state of ``transformWithState`` processors
+#: provider of the state of the stream processors
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
