@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import null_split_left_join
 
@@ -111,39 +112,56 @@ def integrity_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """M4: violations of every unique key, foreign key and not-null rule of
     the schema that the given tables have the columns for.
 
-    Each table is read once: a row gives one entry (rule, key, side) per rule
-    that its table takes part in, as a key's holder, a reference, a parent
-    that references look for, or a NULL. One aggregate per (rule, key), with
-    map-side partial counts (so a much-referenced parent costs one row a
-    task), then one per rule. Rows beyond the first of a key, references
-    without a parent, and NULLs are violations; NULL keys never clash."""
+    Each table is read once: a row gives one entry (group, key, side) per group
+    that its table takes part in. A group is a foreign key with its parent's
+    key, a unique key, or a NULL rule; a primary key that references look for
+    shares the group of the first of them, so its rows count once for both.
+    One aggregate per (group, key), with map-side partial counts (so a
+    much-referenced parent costs one row a task), then one per group. Rows
+    beyond the first of a key, references without a parent, and NULLs are
+    violations; NULL keys never clash. Whole numbers stay such in the keys
+    (up to two), other columns are joined as text."""
     spark = next(iter(tables.values())).sparkSession
     rules = audit_rules({t: df.columns for t, df in tables.items()})
-    text = lambda cols: F.concat_ws("\x1f", *[F.col(c).cast("string") for c in cols])
+    # the group of each rule: of a referenced primary key, that of its first reference
+    group = {n: next((m for m, r in enumerate(rules) if kind == "unique" and r[4] == t and cols == CONSTRAINTS[t][0][0]), n)
+             for n, (t, _, kind, cols, _) in enumerate(rules)}
+    whole = {(t, f.name) for t, df in tables.items() for f in df.schema if isinstance(f.dataType, T.IntegralType)}
+
+    def entry(n, held, cols, whole_cols):
+        numbers = [F.col(c).cast("bigint") for c, w in zip(cols, whole_cols) if w][:2]
+        rest = [c for c, w in zip(cols, whole_cols) if not w] + [c for c, w in zip(cols, whole_cols) if w][2:]
+        text = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in rest]) if rest else F.lit(None).cast("string")
+        a, b = (numbers + [F.lit(None).cast("bigint")] * 2)[:2]
+        given = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cols])
+        return F.when(given, F.struct(F.lit(n).alias("grp"), a.alias("a"), b.alias("b"), text.alias("s"), F.lit(held).alias("held")))
+
     parts = []
     for t, df in tables.items():
         entries = []
         for n, (table, _, kind, cols, parent) in enumerate(rules):
-            entry = lambda key, side: F.struct(F.lit(n).alias("rule_id"), key.alias("k"), F.lit(side).alias("side"))  # noqa: B023, E731
-            given = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]) if table == t else None
+            alike = [(table, c) in whole for c in cols]
+            if kind == "child":  # both sides of a reference as numbers, or both as text
+                key = CONSTRAINTS[parent][0][0]
+                alike = [(table, cols[0]) in whole and (parent, key[0]) in whole]
+                if parent == t:  # serves the parent's own key too, where that rule has this group
+                    entries.append(entry(n, True, key, alike))
             if table == t and kind == "null":
-                entries.append(F.when(F.col(cols[0]).isNull(), entry(F.lit(""), 0)))
-            elif table == t:
-                entries.append(F.when(given, entry(text(cols), 0)))
-            if parent == t:
-                key = CONSTRAINTS[t][0][0]
-                entries.append(F.when(F.col(key[0]).isNotNull(), entry(text(key), 1)))
+                entries.append(F.when(F.col(cols[0]).isNull(), F.struct(
+                    F.lit(n).alias("grp"), *[F.lit(None).cast(k).alias(c) for c, k in (("a", "bigint"), ("b", "bigint"), ("s", "string"))], F.lit(False).alias("held"))))
+            elif table == t and (kind == "child" or group[n] == n):
+                entries.append(entry(n, kind == "unique", cols, alike))
         if entries:
-            parts.append(df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*"))
-    names = spark.createDataFrame([(n, t, r, kind) for n, (t, r, kind, _, _) in enumerate(rules)], "rule_id int, `table` string, rule string, kind string")
-    per = (reduce(DataFrame.unionByName, parts).groupBy("rule_id", "k")
-           .agg(F.count(F.when(F.col("side") == 0, 1)).alias("rows"), F.max("side").alias("parent")))
-    kinds = names.select("rule_id", "kind")
-    bad = (F.when(F.col("kind") == "unique", F.col("rows") - 1).when(F.col("kind") == "null", F.col("rows"))
-           .when(F.col("parent") == 0, F.col("rows")).otherwise(0))
-    counts = per.join(kinds, "rule_id").groupBy("rule_id").agg(F.sum(bad).alias("violations"))
-    return (names.join(counts, "rule_id", "left")
-            .select("table", "rule", F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations")))
+            parts.append(df.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select("e.*"))
+    names = spark.createDataFrame([(n, group[n], t, r, kind) for n, (t, r, kind, _, _) in enumerate(rules)],
+                                  "rule_id int, grp int, `table` string, rule string, kind string")
+    per = (reduce(DataFrame.unionByName, parts).groupBy("grp", "a", "b", "s")
+           .agg(F.count(F.when(F.col("held"), 1)).alias("holders"), F.count(F.when(~F.col("held"), 1)).alias("others")))
+    counts = per.groupBy("grp").agg(F.sum(F.greatest(F.col("holders") - 1, F.lit(0))).alias("unique"),
+                                    F.sum(F.when(F.col("holders") == 0, F.col("others")).otherwise(0)).alias("unheld"))
+    found = F.when(F.col("kind") == "unique", F.col("unique")).otherwise(F.col("unheld"))
+    return (names.join(counts, "grp", "left")
+            .select("table", "rule", F.coalesce(found, F.lit(0)).cast("bigint").alias("violations")))
 
 
 def rescore_catalog(acts: DataFrame, rates: DataFrame) -> DataFrame:

@@ -279,6 +279,22 @@ def test_audit_counts_every_rule_in_one_scan_per_table(spark):
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 5  # three tables, the rules twice
 
 
+def test_audit_groups_keys_once_whatever_their_types(spark):
+    """A parent's key shares the group of its first reference, with no lambda per row; whole numbers of any width meet, and
+    where one side of a reference is text both are compared as text."""
+    users = df(spark, [(i, f"u{n}", f"{n}@x", None) for n, i in enumerate((1, 2, 2, 3))], USERS)
+    mem = df(spark, [(1, 7, 1), (2, 7, 9), (2, 8, 9), (4, 8, None)], "id int, team_id int, user_id int")
+    goals = df(spark, [(1, "2"), (2, "03"), (3, "9")], "id long, user_id string")
+    audit = M.integrity_audit({"users": users, "team_memberships": mem, "user_goals": goals})
+    assert {(r.table, r.rule): r.violations for r in audit.collect() if r.violations} == {
+        ("users", "pk(id)"): 1, ("team_memberships", "pk(id)"): 1, ("team_memberships", "fk(user_id)"): 2, ("team_memberships", "not null(user_id)"): 1,
+        ("user_goals", "fk(user_id)"): 2}
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    # the keys of all rules are grouped once, and not joined to the rules before they are counted
+    assert [x.split("Aggregate [")[1].split("#")[0] for x in plan.splitlines() if "Aggregate [" in x] == ["grp", "grp"] and plan.count("Join") == 1
+
+
 def test_stored_tables_have_the_fixed_schemas(spark, fx, tmp_path):
     from habitlake.sources.tables import APP_SCHEMAS, read_app_table
     for name, schema in APP_SCHEMAS.items():
