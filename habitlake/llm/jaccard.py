@@ -15,7 +15,7 @@ every group with the one in which the gram stands first (the copy with the least
 copies hang on it); then, once the links found have been joined to components, groups and members of different
 components. A pair left out lies in one component already, so no link between components is lost. All bounds, and that
 components differ, are conditions of the joins, so that pairs which fail them are never made; long posting lists are
-dealt to several tasks.
+dealt to several tasks. Texts are shuffled for the sets to verify only, behind a bit table of the wanted ids.
 
 Cases: null or wordless text has the empty set and stands alone; rows with one text count as one set; a component of
 rows without an id has a null component_id; rows that repeat an id are compared as rows of their own.
@@ -40,6 +40,8 @@ SKETCH_BITS = 20
 _PART = 1 << 14
 #: a posting list is dealt to one task for each so many of its groups
 LIST_PART = 4096
+#: the filter in front of the join that fetches texts has 2**FILTER_BITS bits (2 MB), whatever the input
+FILTER_BITS = 24
 
 
 def sets_of(column: pa.Array, n: int):
@@ -167,6 +169,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("c") >= percent * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b").distinct())
 
 
+def _slot(column):
+    """One of 2**FILTER_BITS slots; a null has one of its own hash too."""
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - FILTER_BITS)
+
+
+def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` less most of those whose ``column`` is not in the one column of ``wanted``, and none of the others, without a
+    shuffle of ``rows``: a table of bits, of a fixed size whatever the input, tells which slots are wanted."""
+    def mark(batches):
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for b in batches:
+            bits[b.column(0).to_numpy()] = True
+        parts = np.packbits(bits).reshape(-1, _PART)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["part", "bits"])
+
+    def unite(batches):
+        total = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                total[k] = total.get(k, 0) | np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([p.tobytes() for p in total.values()], pa.binary())], names=["part", "bits"])
+
+    kind = "part int, bits binary"
+    spark = rows.sparkSession
+    parts = wanted.select(_slot(wanted.columns[0])).mapInArrow(mark, kind).repartition(tasks(spark), "part").mapInArrow(unite, kind).collect()
+    table = np.zeros(((1 << FILTER_BITS) // 8 // _PART, _PART), np.uint8)
+    for r in parts:
+        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(table.reshape(-1))
+    packed = rows.withColumn("_slot", _slot(column))
+    at = len(packed.columns) - 1
+
+    def keep(batches):
+        bits = shared.value
+        for b in batches:
+            slot = b.column(at).to_numpy()
+            yield b.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+
+    return packed.mapInArrow(keep, packed.schema).drop("_slot")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, grams) of the wanted nodes (node, doc_id of one row that has it); rows alike in id and text repeat it."""
     def make():
@@ -179,7 +223,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             return [pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int64()))]
         return run
 
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("text", F.col("node").alias("want"))
+    maybe = _among(docs.select(F.col("doc_id").alias("_id"), "text"), "_id", wanted.select("doc_id"))
+    rows = maybe.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("text", F.col("node").alias("want"))
     added = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("grams", T.ArrayType(T.LongType()))])
     return annotate(rows, "text", added, make).where("node = want").select("node", "grams")
 
@@ -193,12 +238,11 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     some = rows.where("n > 0")
     # the distinct sets, each with one of its rows, and the groups of equal size and prefix
     nodes = stored(some.groupBy("node", "grp", "n").agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity")), "nodes")
-    groups = stored(some.groupBy("grp", "n").agg(F.first("prefix").alias("prefix")), "groups")
+    groups = some.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
     heads = stored(nodes.groupBy("grp", "n").agg(F.min("node").alias("head")), "heads")
     # posting lists of the prefix grams that several groups have
     entries = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "gram"))
-    several = entries.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1")
-    posting = stored(entries.join(several, "gram"), "posting")
+    posting = stored(entries.select("gram", "grp", "n", "pos", F.count("*").over(Window.partitionBy("gram")).alias("many")).where("many > 1"), "posting")
 
     # round 1: each group's members with its head; each posting list's groups with that in which the gram stands first
     inner = nodes.join(heads, ["grp", "n"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))

@@ -393,3 +393,17 @@ def test_divergence_of_many_languages(spark):
                 want = plain_distance(p, whole)
                 if want <= divergence.MAX_WORD_DISTANCE:
                     assert abs(got[d].word_distance - want) < 1e-6, (lang, got[d].word_distance, want)
+
+
+def test_texts_without_a_pair_are_not_shuffled(spark):
+    """In front of the join that fetches texts, rows of ids that are not wanted go; no wanted one does, nor a null id."""
+    from habitlake.llm import jaccard
+    rows = spark.range(20000).selectExpr("nullif(id, 7) AS _id", "concat('text ', id) AS text")
+    wanted = spark.range(0, 20000, 500).selectExpr("nullif(id, 500) AS doc_id")
+    got = jaccard._among(rows, "_id", wanted).collect()
+    assert all(r.text == f"text {7 if r._id is None else r._id}" for r in got)
+    ids = [r._id for r in got]
+    assert {None, *range(0, 20000, 500)} - {500} <= set(ids) and 40 <= len(ids) <= 60
+    assert jaccard._among(rows, "_id", wanted.limit(0)).count() == 0
+    plan = jaccard._among(rows, "_id", wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan
