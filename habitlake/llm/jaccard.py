@@ -15,7 +15,8 @@ every group with the one in which the gram stands first (the copy with the least
 copies hang on it); then, once the links found have been joined to components, groups and members of different
 components. A pair left out lies in one component already, so no link between components is lost. All bounds, and that
 components differ, are conditions of the joins, so that pairs which fail them are never made; long posting lists are
-dealt to several tasks. Texts are shuffled for the sets to verify only, behind a bit table of the wanted ids.
+dealt to several tasks. Texts are shuffled for the sets to verify, and whole rows where their id may go or is repeated,
+only: behind a bit table of the wanted ids.
 
 Cases: null or wordless text has the empty set and stands alone; rows with one text count as one set; a component of
 rows without an id has a null component_id; rows that repeat an id are compared as rows of their own.
@@ -174,9 +175,10 @@ def _slot(column):
     return F.shiftrightunsigned(F.xxhash64(column), 64 - FILTER_BITS)
 
 
-def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """``rows`` less most of those whose ``column`` is not in the one column of ``wanted``, and none of the others, without a
-    shuffle of ``rows``: a table of bits, of a fixed size whatever the input, tells which slots are wanted."""
+def _marked(rows: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: true where ``column`` is in the one column of ``wanted``, and false for most of the
+    others, without a shuffle of ``rows``: a table of bits, of a fixed size whatever the input, tells which slots are
+    wanted. Only the slots go through Python."""
     def mark(batches):
         bits = np.zeros(1 << FILTER_BITS, bool)
         for b in batches:
@@ -199,16 +201,18 @@ def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     for r in parts:
         table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(table.reshape(-1))
-    packed = rows.withColumn("_slot", _slot(column))
-    at = len(packed.columns) - 1
 
-    def keep(batches):
-        bits = shared.value
-        for b in batches:
-            slot = b.column(at).to_numpy()
-            yield b.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+    def look(slot: pa.Array) -> pa.Array:
+        s = slot.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1)
+
+    return rows.withColumn(name, F.arrow_udf(look, "boolean")(_slot(column)))
 
-    return packed.mapInArrow(keep, packed.schema).drop("_slot")
+
+def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` less most of those whose ``column`` is not in the one column of ``wanted``, and none of the others, without a
+    shuffle of ``rows``."""
+    return _marked(rows, column, wanted, "_wanted").where("_wanted").drop("_wanted")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -312,8 +316,10 @@ def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     going = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
     # an id that stays for one component is kept even if another row of that id goes
-    going = going.distinct().join(found.where("doc_id = component_id").select(F.col("doc_id").alias("_gone")), "_gone", "left_anti")
-    kept = docs.join(going, F.col("doc_id") == F.col("_gone"), "left_anti")
+    going = stored(going.distinct().join(found.where("doc_id = component_id").select(F.col("doc_id").alias("_gone")), "_gone", "left_anti"), "going")
+    # rows of other ids stay as they are, unshuffled
+    marked = _marked(docs, "doc_id", going.unionAll(twice), "_look")
+    kept = marked.where("_look").drop("_look").join(going, F.col("doc_id") == F.col("_gone"), "left_anti")
     once = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
     repeated = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionAll(repeated)
+    return marked.where("NOT _look").drop("_look").unionAll(once).unionAll(repeated)

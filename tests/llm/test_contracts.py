@@ -407,3 +407,34 @@ def test_texts_without_a_pair_are_not_shuffled(spark):
     assert jaccard._among(rows, "_id", wanted.limit(0)).count() == 0
     plan = jaccard._among(rows, "_id", wanted)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Repartition" not in plan
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Only rows whose id goes, or is repeated, meet a join; the others are kept whole as they are read."""
+    from habitlake.llm import jaccard
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(3000)]
+    texts += [(5000 + i, texts[7 * i][1]) for i in range(200)] + [(1, "another text of id one"), (1, "another text of id one"), (None, texts[0][1]), (None, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.one_of_each(docs, 5, 80)
+        plan = kept._jdf.queryExecution().optimizedPlan()
+        whole = [x for x in iter_plan(plan) if x.nodeName() == "Join"]
+        # no input of a join but those behind the bit table has the texts
+        assert all("ArrowEvalPython" in x.toString() for x in whole if "text#" in x.toString())
+        assert len(whole) and "ArrowEvalPython" in plan.toString()
+        parts = [plan.children().apply(i) for i in range(plan.children().size())]
+        assert any("Join" not in x.toString() and "text#" in x.toString() for x in parts)
+        got = Counter((r.doc_id, r.text) for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = Counter(t for t in texts if t[0] is None or t[0] < 5000)
+    want[(1, "another text of id one")] = 1
+    assert got == want
+
+
+def iter_plan(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from iter_plan(plan.children().apply(i))
