@@ -5,8 +5,9 @@ Every word that lies in a window of ``WINDOW`` words which also starts somewhere
 1. Phrases. Of each window the phrase of ``PHRASE`` words with the least hash is noted; equal windows note equal phrases.
    A phrase recurs if two texts, or two places of one text, note it. About one phrase in a dozen words is noted.
 2. Automata. Recurring phrases are dealt into shards by the text that owns them (the least text hash), and each shard is
-   compiled with pyahocorasick over numbers of words. Texts are streamed through the shards that hold one of their
-   phrases, not through all: a shard with many texts (a hot passage) is salted into groups of bounded size.
+   compiled with pyahocorasick over numbers of words, each spelled in ``PARTS`` symbols, so that no node has a child for
+   every word. Texts are streamed through the shards that hold one of their phrases, not through all: a shard with many
+   texts (a hot passage) is salted into groups of bounded size.
 3. Exact check. The automaton's hits give every place where a recurring phrase stands; the windows that note it are
    counted by 64-bit hash. A window notes one phrase, and a phrase has one owner, so each place of a window is counted in
    one shard only. Counts are final within a shard of one group; in salted shards, windows met once are counted across
@@ -40,6 +41,8 @@ PHRASE = 12
 #: phrases in a shard (an automaton has PHRASE nodes for each at most), and bytes of texts in a group, about
 SHARD_PHRASES = 50_000
 GROUP_BYTES = 16 << 20
+#: symbols of a word in an automaton; its nodes (PARTS times as many) search their children from first to last
+PARTS = 3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -62,8 +65,13 @@ def window_hashes(h: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
 
 def _least(grams: np.ndarray) -> np.ndarray:
     """Of the window at each place, the place of the phrase it notes."""
-    view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - PHRASE + 1)
-    return np.arange(len(view)) + view.argmin(axis=1)
+    at, least, width = np.arange(len(grams)), grams, 1
+    while width < WINDOW - PHRASE + 1:  # the least of twice as many, the first of equals
+        step = min(width, WINDOW - PHRASE + 1 - width)
+        first = least[:-step] <= least[step:]
+        at, least = np.where(first, at[:-step], at[step:]), np.where(first, least[:-step], least[step:])
+        width += step
+    return at
 
 
 def _noted(h: np.ndarray, first: np.ndarray):
@@ -137,11 +145,25 @@ def _own_phrases(batches):
 
 
 def _automaton(phrases):
+    """The phrases compiled, and the function from word numbers to the symbols to stream. Each place in a word has
+    symbols of its own, so a phrase is found at the beginning of a word only."""
+    seqs = np.frombuffer(b"".join(phrases), np.int32).reshape(-1, PHRASE)
+    known, word = np.unique(seqs, return_inverse=True)
+    base = 2
+    while base ** PARTS <= len(known):
+        base += 1
+    place = np.arange(PARTS)
+    spelled = np.arange(len(known) + 1)[:, None] // base ** place[::-1] % base + base * place  # the last: of no phrase
     a = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p in phrases:
-        a.add_word(tuple(np.frombuffer(p, np.int32).tolist()), 1)
+    for p in spelled[word.reshape(seqs.shape)].reshape(len(seqs), -1):
+        a.add_word(tuple(p.tolist()), 1)
     a.make_automaton()
-    return a
+
+    def symbols(numbers: np.ndarray) -> tuple:
+        at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+        return tuple(spelled[np.where(known[at] == numbers, at, len(known))].reshape(-1).tolist())
+
+    return a, symbols
 
 
 def _spans(starts: np.ndarray) -> np.ndarray:
@@ -160,7 +182,7 @@ def _locate(phrases: pa.Table, texts: pa.Table) -> pa.Table:
     hashes, first_of = np.unique(texts.column("text_hash").to_numpy(), return_index=True)
     seen, text, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if phrases.num_rows and texts.num_rows:
-        automaton = _automaton(set(phrases.column("seq").to_pylist()))
+        automaton, symbols = _automaton(sorted(set(phrases.column("seq").to_pylist())))
         mine = phrases.column("phrase").to_numpy().view(np.uint64)
         column = texts.column("text").combine_chunks().take(pa.array(first_of))
         for lo, hi, buf, offs in text_chunks(column):
@@ -168,8 +190,8 @@ def _locate(phrases: pa.Table, texts: pa.Table) -> pa.Table:
             h = w.hashes()
             if len(h) < WINDOW:
                 continue
-            end = np.array([e for e, _ in automaton.iter(tuple(_word_numbers(h).tolist()))], np.int64)
-            begin = end - (PHRASE - 1)
+            end = np.array([e for e, _ in automaton.iter(symbols(_word_numbers(h)))], np.int64)
+            begin = end // PARTS - (PHRASE - 1)
             grams = ngram_hashes(h, PHRASE)
             hit = np.zeros(len(grams), bool)
             hit[begin[np.isin(grams[begin], mine)]] = True  # word numbers are shorter than hashes

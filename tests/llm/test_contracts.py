@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,31 @@ def test_repeats_counts_a_place_in_one_shard(spark):
     same([tuple(r) for r in repeats.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard_phrases=20, group_bytes=20000).collect()], want)
 
 
+def test_repeats_automaton_has_no_wide_node():
+    """Thousands of first words: no node has a child for each (children are searched one by one), and a stream gives the
+    places of the phrases, words of no phrase and other beginnings between them."""
+    rng = random.Random(5)
+    phrases = [np.array([rng.randrange(1 << 31) for _ in range(repeats.PHRASE)], np.int32) for _ in range(3000)]
+    automaton, symbols = repeats._automaton([p.tobytes() for p in phrases])
+    _, edges, _ = automaton.dump()
+    assert max(Counter(e[0] for e in edges).values()) < 200
+    stream, want = [], []
+    for p in phrases[:200]:
+        stream += [rng.randrange(1 << 31) for _ in range(rng.randrange(3))] + p[:rng.randrange(repeats.PHRASE)].tolist()
+        want.append(len(stream))
+        stream += p.tolist()
+    ends = [e for e, _ in automaton.iter(symbols(np.array(stream, np.int64)))]
+    assert [e // repeats.PARTS - (repeats.PHRASE - 1) for e in ends] == want
+
+
+def test_repeats_least_is_the_first_of_equals():
+    rng = np.random.default_rng(3)
+    for n, top in ((24, 2), (25, 1), (400, 3), (400, 1 << 60)):
+        grams = rng.integers(0, top, n).astype(np.uint64)
+        want = [i + int(grams[i:i + 24].argmin()) for i in range(n - 23)]
+        assert repeats._least(grams).tolist() == want
+
+
 @pytest.mark.parametrize("block", [8 << 20, 2000])
 def test_contamination(spark, docs, block):
     rows = pairs(docs)
