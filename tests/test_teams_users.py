@@ -32,6 +32,26 @@ def test_visible_activities_roles(spark):
     assert out == [(100, 1), (100, 2), (100, 3), (101, 2), (101, 3)]
 
 
+def test_visible_activities_come_activity_by_activity(spark):
+    """Listed member by member, an answer of many members and activities hardly compresses."""
+    mem = df(spark, [(u, 7, 100 + u) for u in range(60)], TEAM_SCHEMAS["memberships"])
+    roles = df(spark, [(70, "owner", 7), (71, "A", 7)], TEAM_SCHEMAS["roles"])
+    tur = df(spark, [(u, u, 71 if u else 70) for u in range(60)], TEAM_SCHEMAS["tur"])
+    acts = df(spark, [(i, 7, f"a{i}", 1, d("2024-01-01"), d("2024-02-01"), ["A"] if i % 2 else []) for i in range(40)], ACT_T)
+    pairs = df(spark, [(100 + u, 7) for u in range(60)], "user_id long, team_id long")
+    want = sorted([(100, i) for i in range(40)] + [(100 + u, i) for u in range(1, 60) for i in range(1, 40, 2)])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        listed = [r["id"] for r in T.visible_team_activities(pairs, mem, tur, roles, acts).collect()]
+        # the owner's 40 activities and the 20 of role A: one run of rows each
+        assert sum(a != b for a, b in zip([None, *listed], listed)) <= 60 < len(listed)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    for block in (7, 1024):  # blocks change no row
+        assert rows(T.visible_team_activities(pairs, mem, tur, roles, acts, block), "user_id", "id") == want
+
+
 def test_owner_flags_members_and_unassigned(spark):
     mem, roles, tur = _team(spark)
     pairs = df(spark, [(100, 7), (101, 7), (102, 7), (100, 8)], "user_id long, team_id long")
