@@ -185,16 +185,20 @@ def bootstrap_teams(requests: DataFrame) -> dict[str, DataFrame]:
 
 
 def assign_roles(requests: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Explode the selected role ids of each request into assignment
-    rows; pairs that already exist break the unique key and are reported
-    as conflicts instead of written."""
-    ex = (requests.select("team_membership_id", F.explode("selected_roles").alias("role_id"))
-          .dropDuplicates(["team_membership_id", "role_id"]))
-    keys = existing.select("team_membership_id", "role_id")
-    new = ex.join(keys, ["team_membership_id", "role_id"], "left_anti").select(
-        assignment_id("team_membership_id", "role_id").alias("id"), "team_membership_id", "role_id")
-    conflicts = ex.join(keys, ["team_membership_id", "role_id"], "left_semi")
-    return new, conflicts
+    """One assignment row per selected role id of each request; pairs
+    that already exist break the unique key and are reported as conflicts
+    instead of written. Requests meet the roles held by their membership, a
+    handful, and are exploded behind that join: arrays are shuffled, not a
+    row per role, and repeats of a role lie in one task by then."""
+    held = existing.groupBy("team_membership_id").agg(F.collect_set("role_id").alias("_held"))
+    asked = requests.select("team_membership_id", "selected_roles").join(held, "team_membership_id", "left")
+
+    def taken(role):  # as in a join, NULL equals nothing
+        return F.coalesce(F.array_contains("_held", role), F.lit(False))
+
+    new, conflicts = [asked.select("team_membership_id", F.explode(F.filter("selected_roles", keep)).alias("role_id"))
+                      .dropDuplicates(["team_membership_id", "role_id"]) for keep in (lambda x: ~taken(x), taken)]
+    return new.select(assignment_id("team_membership_id", "role_id").alias("id"), "team_membership_id", "role_id"), conflicts
 
 
 def add_roles(requests: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:

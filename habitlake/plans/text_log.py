@@ -34,7 +34,7 @@ def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms:
         texts.select("id", "user_id", "text", "logged_at", F.col("text").alias("description")))
     cls = I.classify_matches(I.match_activities(pairs, acts, synonyms, max_edits))
     cand = (cls.where(F.col("outcome") == "log")
-            .select(new_id("text_log", "id", "pos").alias("id"), F.col("id").alias("text_id"), "pos", "user_id",
+            .select(F.col("id").cast("string").alias("id"), F.col("id").alias("text_id"), "pos", "user_id",
                     F.col("matched")[0]["activity_id"].alias("activity_id"),
                     F.least(F.col("duration").cast("bigint"), F.lit(MAX_INT)).cast("int").alias("duration"),
                     score_points(F.col("duration"), F.col("matched")[0]["points"]).alias("points"),
@@ -50,8 +50,10 @@ def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms:
     adm = I.daily_cap_admission(
         cand.select("id", F.lit(True).alias("is_new"), "text_id", "pos", "user_id", "logged_at",
                     F.lit(False).alias("forced"), *keep).unionByName(stored),
-        cap, keep=keep, order=("is_new", "text_id", "pos"))
-    decided = adm.where(~F.col("forced")).select("id", "user_id", *keep, "logged_at", "accepted", "minutes_after")
+        cap, keep=(*keep, "text_id", "pos"), order=("is_new", "text_id", "pos"))
+    # the new ids, which do not compress, are made behind the shuffle
+    decided = adm.where(~F.col("forced")).select(new_id("text_log", "text_id", "pos").alias("id"), "user_id", *keep, "logged_at",
+                                                 "accepted", "minutes_after")
     return {
         "decided": decided,
         "accepted": decided.where("accepted").drop("accepted", "minutes_after"),

@@ -77,6 +77,16 @@ def test_assign_and_add_roles_conflicts(spark):
     assert rows(conf, "request_id", "reason") == [(2, "duplicate in batch"), (3, "role exists")]
 
 
+def test_assign_roles_repeats_and_nulls(spark):
+    """Repeated requests give a pair once; NULL equals nothing, so it is no conflict."""
+    _, _, tur = _team(spark)
+    req = df(spark, [(2, [71, 73, None]), (2, [73, 74, 71]), (None, [71]), (9, []), (9, None)], "team_membership_id long, selected_roles array<long>")
+    held = tur.unionByName(df(spark, [(8, 2, None), (9, None, 71)], TEAM_SCHEMAS["tur"]))
+    new, conf = T.assign_roles(req, held)
+    assert sorted(new.select("team_membership_id", "role_id").collect(), key=str) == sorted([(2, 73), (2, 74), (2, None), (None, 71)], key=lambda r: f"Row(team_membership_id={r[0]}, role_id={r[1]})")
+    assert rows(conf, "team_membership_id", "role_id") == [(2, 71)]
+
+
 def test_search_wildcards_and_repeats(spark):
     users = df(spark, [(1, "a%b", "1@x", None), (2, "axb", "2@x", None), (3, "zzz", "3@x", None)], USERS)
     inv = df(spark, [(10, 5, 0, 2, "pending", ts("2024-01-01 00:00:00"), False),
