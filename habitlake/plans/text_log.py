@@ -34,7 +34,7 @@ def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms:
         texts.select("id", "user_id", "text", "logged_at", F.col("text").alias("description")))
     cls = I.classify_matches(I.match_activities(pairs, acts, synonyms, max_edits))
     cand = (cls.where(F.col("outcome") == "log")
-            .select(F.col("id").cast("string").alias("id"), F.col("id").alias("text_id"), "pos", "user_id",
+            .select("id", F.col("id").alias("text_id"), "pos", "user_id",
                     F.col("matched")[0]["activity_id"].alias("activity_id"),
                     F.least(F.col("duration").cast("bigint"), F.lit(MAX_INT)).cast("int").alias("duration"),
                     score_points(F.col("duration"), F.col("matched")[0]["points"]).alias("points"),
@@ -42,7 +42,7 @@ def log_from_texts(texts: DataFrame, acts: DataFrame, logs: DataFrame, synonyms:
     # only user-days that may receive a candidate need their stored minutes: those of the texts, known without matching
     days = texts.select("user_id", F.to_date("logged_at").alias("_day")).distinct()
     stored = (logs.withColumn("_day", F.to_date("logged_at")).join(days, ["user_id", "_day"], "left_semi")
-              .select(F.col("id").cast("string").alias("id"), F.lit(False).alias("is_new"), F.col("id").alias("text_id"),
+              .select("id", F.lit(False).alias("is_new"), F.col("id").alias("text_id"),
                       F.lit(0).alias("pos"), "user_id", "logged_at", "duration", F.lit(True).alias("forced"),
                       F.lit(None).cast("bigint").alias("activity_id"), F.lit(None).cast("int").alias("points"),
                       F.lit(None).cast("string").alias("activity_description")))
